@@ -24,6 +24,7 @@ from tenetdq.plans.frame import Frame
 from tenetdq.session import settle
 
 MIN_FIT = 5            # points a context needs before a trend is fitted
+NOISE = 12             # decimals kept of a residual, so equal ones rank equal
 MAX_POINTS = 1_000_000  # distinct x values of one context that a single fit accepts
 
 
@@ -246,7 +247,7 @@ def order_cells(df: DataFrame, s: OrderSpec) -> DataFrame:
             raise ValueError(f"{points} distinct values of {s.x} in one group: bin it before fitting a trend")
     fits = trend(cells, s.increasing)
     joined = settle(cells.join(fits, ["g", "x"], "left")
-                    .withColumn("resid", F.abs(F.col("y") - F.col("fit"))))
+                    .withColumn("resid", F.round(F.abs(F.col("y") - F.col("fit")), NOISE)))
     med = settle(weighted_median(joined.where("resid is not null"), ["g"], "resid", "n",
                                  small=bounded, out="med"))
     return (joined.join(med, "g", "left").withColumn("scale", F.col("med") + F.lit(1e-9))
