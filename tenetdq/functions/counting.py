@@ -7,8 +7,6 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tenetdq.session import settle
-
 BLOCK = 256                # column sets counted per scan
 COLLAPSE_ROWS = 1_000_000  # distinct tuples up to which a table is folded into weights
 
@@ -22,18 +20,10 @@ class Weighted:
     weight: str = "n"
 
 
-def fold(df: DataFrame, cols: Sequence[str], cards: dict[str, int], n: int) -> Weighted:
-    """Fold equal tuples of ``cols`` into one weighted row when that provably pays.
-
-    The number of distinct tuples is at most the product of the column cardinalities, so the
-    decision needs no extra job. A folded table is settled: every later statistic reads it
-    instead of the source.
-    """
-    cols = list(cols)
-    bound = prod(max(1, cards[c]) for c in cols)
-    if cols and bound <= max(COLLAPSE_ROWS, n // 20):
-        return Weighted(settle(df.groupBy(*[f"`{c}`" for c in cols]).agg(F.count("*").alias("n"))))
-    return Weighted(df.select(*[f"`{c}`" for c in cols], F.lit(1).cast("long").alias("n")))
+def fold_pays(cards: Sequence[int], n: int) -> bool:
+    """Whether folding equal tuples is certain to pay: the product of the cardinalities bounds
+    the number of distinct tuples, so no extra job is needed to decide."""
+    return prod(max(1, c) for c in cards) <= max(COLLAPSE_ROWS, n // 20)
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:

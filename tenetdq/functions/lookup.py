@@ -1,32 +1,38 @@
 """Joining rows with a table of statistics without moving the rows when that is safe."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tenetdq.session import settle_measured
+
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
 HOT_SHARE = 1_000          # a key is hot when it holds more than 1/HOT_SHARE of the rows
 
 
-def footprint(table: DataFrame) -> tuple[int, int]:
-    """(rows, approximate bytes) of a settled table."""
+def row_width(table: DataFrame) -> Column:
+    """Approximate bytes of a row."""
     width = F.lit(16 * len(table.columns))
     for f in table.schema.fields:
         if f.dataType.typeName() in ("string", "array"):
             width = width + F.coalesce(F.length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
-    row = table.agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).first()
-    return row["rows"], row["bytes"] or 0
+    return width
 
 
-def fits_broadcast(table: DataFrame) -> bool:
-    rows, size = footprint(table)
-    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+def within_broadcast(rows: int | None, size: int | None) -> bool:
+    return (rows or 0) <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[f"`{k}`"] == right[f"`{k}`"] for k in keys])
+def settle_sized(table: DataFrame) -> tuple[DataFrame, bool, int]:
+    """The settled table, whether it may be broadcast, and its rows (measured while writing)."""
+    settled, m = settle_measured(table, rows=F.count(F.lit(1)), size=F.sum(row_width(table)))
+    return settled, within_broadcast(m["rows"], m["size"]), m["rows"]
+
+
+def fits_broadcast(table: DataFrame) -> bool:
+    """Measures a settled table."""
+    row = table.agg(F.count("*").alias("rows"), F.sum(row_width(table)).alias("size")).first()
+    return within_broadcast(row["rows"], row["size"])
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], weight: str | None = None,

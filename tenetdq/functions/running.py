@@ -5,9 +5,11 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tenetdq.functions.lookup import attach
+from tenetdq.functions.lookup import attach, settle_sized
 from tenetdq.session import settle
 
+SMALL_HISTOGRAM = 1_000_000      # distinct values up to which one task ranks a histogram
+
 _FN = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -74,6 +76,23 @@ def average_rank(hist: DataFrame, group: Sequence[str], value: str, weight: str,
     return ranked.select(*group, value, rank.alias(out))
 
 
+def small_rank(hist: DataFrame, group: Sequence[str], value: str, weight: str,
+               constant_to_zero: bool = False, out: str = "rank01") -> DataFrame:
+    """``hist`` plus the average rank / n of ``value`` per group, by windows: for histograms
+    measured to fit a task."""
+    group = list(group)
+    if not group:
+        return small_rank(hist.withColumn("__all", F.lit(0)), ["__all"], value, weight,
+                          constant_to_zero, out).drop("__all")
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy(value)                       # ties included
+    ties = Window.partitionBy(*group, value)
+    rank = ((F.sum(weight).over(upto) - (F.sum(weight).over(ties) - 1) / 2) / F.sum(weight).over(whole))
+    if constant_to_zero:
+        rank = F.when(F.min(value).over(whole) == F.max(value).over(whole), F.lit(0.0)).otherwise(rank)
+    return hist.withColumn(out, rank)
+
+
 def weighted_median(hist: DataFrame, group: Sequence[str], value: str, weight: str,
                     small: bool = False, out: str = "median") -> DataFrame:
     """Exact median per group of a weighted histogram, interpolating between the two middles.
@@ -112,13 +131,16 @@ def rank_columns(scores: DataFrame, columns: Sequence[str], constant_to_zero: bo
         for c in columns]))
     hist = scores.select(cells.alias("c")).select("c.*").groupBy("column", "score").agg(
         F.count("*").alias("n"))
-    hist = settle(hist)
-    ranks = settle(average_rank(hist, ["column"], "score", "n", constant_to_zero)
-                   .join(hist, ["column", "score"]))
+    hist, small, rows = settle_sized(hist)
+    if rows <= SMALL_HISTOGRAM:
+        ranks = small_rank(hist, ["column"], "score", "n", constant_to_zero)
+    else:
+        ranks = settle(average_rank(hist, ["column"], "score", "n", constant_to_zero)
+                       .join(hist, ["column", "score"]))
     out = scores
     for c in columns:
         table = ranks.where(F.col("column") == c).select(
             F.col("score").alias(c), F.col("rank01").alias("__rank"), F.col("n").alias("__n"))
-        out = (attach(out.withColumn(c, F.col(f"`{c}`").cast("double")), table, [c], weight="__n")
+        out = (attach(out.withColumn(c, F.col(f"`{c}`").cast("double")), table, [c], weight="__n", small=small)
                .withColumn(c, F.col("__rank")).drop("__rank", "__n"))
     return out.select(*scores.columns)

@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenetdq.functions.counting import Weighted, joint_counts, spec_stats
+from tenetdq.functions.counting import joint_counts, spec_stats
 from tenetdq.operators.monitors import dc_monitor
 from tenetdq.operators.scoring import residual, split
 from tenetdq.plans.constraints import (Constraint, DenialConstraint, FunctionalDependency,
@@ -126,8 +126,7 @@ def check(frame: Frame, contract: DataFrame, order_counts: bool = False) -> list
     broken_groups = dict(broken_cells)
     if specs:
         cols = sorted({x for lhs, rhs in specs for x in (*lhs, rhs)})
-        plain = Weighted(frame.df.select(*[f"`{c}`" for c in cols], F.lit(1).cast("long").alias("n")))
-        for r in spec_stats(joint_counts(plain, cols, specs)).collect():
+        for r in spec_stats(joint_counts(frame.weighted(cols), cols, specs)).collect():
             broken_cells[owner[r["spec"]]] += r["rows"] - r["covered"]
             broken_groups[owner[r["spec"]]] += r["broken"]
     linear = [(i, LinearConstraint(tuple(c["terms"].items()), c["offset"] or 0.0, c["tolerance"] or 0.0))

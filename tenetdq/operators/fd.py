@@ -6,28 +6,25 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tenetdq.functions.counting import Spec, Weighted, fold, joint_counts, pair_stats, spec_stats
-from tenetdq.functions.lookup import BROADCAST_BYTES, BROADCAST_ROWS
+from tenetdq.functions.counting import Spec, Weighted, joint_counts, pair_stats, spec_stats
+from tenetdq.functions.lookup import row_width, within_broadcast
 from tenetdq.plans.constraints import FunctionalDependency
 from tenetdq.plans.frame import Frame
-from tenetdq.session import settle
+from tenetdq.session import settle_measured
 
 Confidences = dict[str, dict[str, float]]
 
 
-def modeling_rows(frame: Frame, columns: Sequence[str] | None = None) -> Weighted:
+def modeling_rows(frame: Frame) -> Weighted:
     """The modeling columns as weighted tuples, folded when their combinations are few."""
-    prof = frame.profile
-    cols = list(columns) if columns is not None else prof.modeling()
-    return fold(frame.df, cols, prof.cards, prof.rows)
+    return frame.weighted(frame.profile.modeling())
 
 
 def single_source_frame(frame: Frame, columns: Sequence[str]) -> DataFrame:
     """(lhs, rhs, confidence) for every ordered pair of ``columns``."""
     cols = list(columns)
     names = F.array(*[F.lit(c) for c in cols])
-    plain = Weighted(frame.df.select(*[f"`{c}`" for c in cols], F.lit(1).cast("long").alias("n")))
-    return pair_stats(plain, cols).select(
+    return pair_stats(frame.weighted(cols), cols).select(
         names[F.col("l")].alias("lhs"), names[F.col("r")].alias("rhs"),
         (F.col("covered") / F.col("rows")).alias("confidence"))
 
@@ -64,11 +61,10 @@ def confidence_frame(frame: Frame, specs: Sequence[Spec]) -> DataFrame:
     """(lhs, rhs, confidence, groups, avg_group_size) of arbitrary dependencies. An empty left
     side is one group, so its confidence is the base rate of the right side."""
     cols = sorted({c for lhs, rhs in specs for c in (*lhs, rhs)})
-    plain = Weighted(frame.df.select(*[f"`{c}`" for c in cols], F.lit(1).cast("long").alias("n")))
     names = frame.spark.createDataFrame(
         [(i, ", ".join(lhs), rhs) for i, (lhs, rhs) in enumerate(specs)],
         "spec int, lhs string, rhs string")
-    stats = spec_stats(joint_counts(plain, cols, specs))
+    stats = spec_stats(joint_counts(frame.weighted(cols), cols, specs))
     return stats.join(F.broadcast(names), "spec").select(
         "lhs", "rhs", (F.col("covered") / F.col("rows")).alias("confidence"), "groups",
         (F.col("rows") / F.col("groups")).alias("avg_group_size"))
@@ -151,7 +147,8 @@ class FdCells:
     """
     fds: list[FunctionalDependency]
     df: DataFrame
-    small: dict[int, bool] = field(default_factory=dict)
+    small: dict[int, bool] = field(default_factory=dict)     # whether a rule's cells may be broadcast
+    rows: dict[int, int] = field(default_factory=dict)       # cells per rule
 
     def where(self, i: int, condition=None) -> DataFrame:
         d = self.df.where(F.col("spec") == i)
@@ -172,18 +169,22 @@ class FdCells:
         return g.select(*[F.col("lhs")[k].alias(a) for k, a in enumerate(fd.lhs)], *outputs)
 
 
-def count_cells(df: DataFrame, fds: Sequence[FunctionalDependency]) -> FdCells:
+def count_cells(frame: Frame, fds: Sequence[FunctionalDependency]) -> FdCells:
+    """Count ``fds`` over the whole table. Both uses of the counts share one shuffle."""
     fds = list(fds)
     cols = sorted({c for fd in fds for c in fd.attributes})
-    plain = Weighted(df.select(*[f"`{c}`" for c in cols], F.lit(1).cast("long").alias("n")))
-    counts = settle(joint_counts(plain, cols, [(fd.lhs, fd.rhs) for fd in fds]))
+    counts = joint_counts(frame.weighted(cols), cols, [(fd.lhs, fd.rhs) for fd in fds])
     groups = counts.groupBy("spec", "lhs").agg(
         F.sum("n").alias("size"), F.max("n").alias("top"),
         F.min_by("rhs", F.struct(-F.col("n"), F.col("rhs"))).alias("mode"),
         F.count("*").alias("values"))
-    cells = settle(counts.join(groups, ["spec", "lhs"])
-                   .withColumn("violation", F.lit(1.0) - F.col("n") / F.col("size")))
-    width = 48 + F.length(F.array_join("lhs", "")) + F.length("rhs") + F.length("mode")
-    sizes = cells.groupBy("spec").agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).collect()
-    small = {r["spec"]: r["rows"] <= BROADCAST_ROWS and r["bytes"] <= BROADCAST_BYTES for r in sizes}
-    return FdCells(fds, cells, small)
+    cells = (counts.join(groups, ["spec", "lhs"])
+             .withColumn("violation", F.lit(1.0) - F.col("n") / F.col("size")))
+    width = row_width(cells)
+    mine = [F.col("spec") == i for i in range(len(fds))]
+    cells, seen = settle_measured(cells, **{
+        k: v for i, m in enumerate(mine)
+        for k, v in ((f"r{i}", F.count(F.when(m, 1))), (f"b{i}", F.sum(F.when(m, width))))})
+    small = {i: within_broadcast(seen[f"r{i}"], seen[f"b{i}"]) for i in range(len(fds))}
+    rows = {i: seen[f"r{i}"] for i in range(len(fds))}
+    return FdCells(fds, cells, small, rows)

@@ -6,14 +6,13 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenetdq.functions.counting import value_counts
-from tenetdq.functions.lookup import BROADCAST_BYTES, BROADCAST_ROWS, attach
-from tenetdq.functions.running import average_rank, weighted_median
+from tenetdq.functions.lookup import attach, row_width, settle_sized, within_broadcast
+from tenetdq.functions.running import SMALL_HISTOGRAM, average_rank, small_rank, weighted_median
 from tenetdq.functions.values import as_number, finite
 from tenetdq.operators.profile import NUMERIC
 from tenetdq.plans.frame import ROW_ID, Frame
-from tenetdq.session import settle
+from tenetdq.session import settle, settle_measured
 
-SMALL_HISTOGRAM = 1_000_000
 RARITY, LENGTH, DIGITS, NUMBER = "rarity", "length", "digits", "number"
 NAN = float("nan")
 
@@ -38,8 +37,9 @@ def robust_scores(hist: DataFrame, small: bool) -> DataFrame:
     """
     given = hist.where((F.col("metric") != RARITY) & ~F.isnan("v"))
     med = weighted_median(given, ["column", "metric"], "v", "n", small, out="med")
-    dev = settle(hist.join(F.broadcast(med), ["column", "metric"], "left").withColumn(
-        "dev", F.when(F.isnan("v") | F.col("med").isNull(), 0.0).otherwise(F.abs(F.col("v") - F.col("med")))))
+    dev = hist.join(F.broadcast(med), ["column", "metric"], "left").withColumn(
+        "dev", F.when(F.isnan("v") | F.col("med").isNull(), 0.0).otherwise(F.abs(F.col("v") - F.col("med"))))
+    dev = dev if small else settle(dev)
     mad = weighted_median(dev.where(F.col("metric") != RARITY), ["column", "metric"], "dev", "n",
                           small, out="mad")
     return dev.join(F.broadcast(mad), ["column", "metric"], "left").withColumn(
@@ -62,30 +62,35 @@ def marginal_cells(frame: Frame, columns: Sequence[str] | None = None) -> DataFr
     columns = list(columns) if columns is not None else frame.columns
     kinds, total = frame.profile.kinds, frame.profile.rows
     numeric = [c for c in columns if kinds[c] == NUMERIC]
-    hist = settle(value_counts(frame.df, columns))
+    w = frame.weighted(columns)
+    hist = settle(value_counts(w.df, columns, w.weight))
     is_num = F.col("column").isin(numeric)
     expr = metric_columns(total)
     measured = hist.select("column", "n", F.explode(F.when(
         is_num, F.array(F.struct(F.lit(NUMBER).alias("metric"), expr[NUMBER].alias("v")))
     ).otherwise(F.array(*[F.struct(F.lit(m).alias("metric"), expr[m].alias("v"))
                           for m in (RARITY, LENGTH, DIGITS)]))).alias("m"))
-    metrics = settle(measured.select("column", "m.metric", "m.v", "n")
-                     .groupBy("column", "metric", "v").agg(F.sum("n").alias("n")))
-    small = metrics.count() <= SMALL_HISTOGRAM
-    scored = settle(robust_scores(metrics, small))
-    ranks = average_rank(scored, ["column", "metric"], "z", "n", small=small, out="r")
-    table = settle(scored.join(ranks, ["column", "metric", "z"]).select("column", "metric", "v", "r"))
+    metrics, can_broadcast, size = settle_sized(
+        measured.select("column", "m.metric", "m.v", "n").groupBy("column", "metric", "v").agg(F.sum("n").alias("n")))
+    small = size <= SMALL_HISTOGRAM
+    scored = robust_scores(metrics, small)
+    if small:
+        table = small_rank(scored, ["column", "metric"], "z", "n", out="r").select("column", "metric", "v", "r")
+    else:
+        scored = settle(scored)
+        ranks = average_rank(scored, ["column", "metric"], "z", "n", out="r")
+        table = scored.join(ranks, ["column", "metric", "z"]).select("column", "metric", "v", "r")
+    table = settle(table)
     rows = hist
     for m in ([NUMBER] if numeric else []) + ([RARITY, LENGTH, DIGITS] if len(numeric) < len(columns) else []):
         part = table.where(F.col("metric") == m).select("column", F.col("v").alias("__v"), F.col("r").alias(f"__{m}"))
-        rows = attach(rows.withColumn("__v", expr[m]), part, ["column", "__v"],
-                      small=True if small else None).drop("__v")
+        rows = attach(rows.withColumn("__v", expr[m]), part, ["column", "__v"], small=can_broadcast).drop("__v")
     found = [F.col(c) for c in rows.columns if c.startswith("__")]
     surprise = F.greatest(*found) if len(found) > 1 else found[0]
     if numeric and len(numeric) < len(columns):
         surprise = F.when(is_num, F.col(f"__{NUMBER}")).otherwise(
             F.greatest(*[F.col(f"__{m}") for m in (RARITY, LENGTH, DIGITS)]))
-    return settle(rows.select("column", "value", "n", surprise.alias("surprise")))
+    return rows.select("column", "value", "n", surprise.alias("surprise"))
 
 
 class MarginalSurprise:
@@ -103,13 +108,15 @@ class MarginalSurprise:
         if not columns:
             return rows
         cells = marginal_cells(frame, columns)
-        width = F.lit(40) + F.length("value")
-        sizes = {r["column"]: r["rows"] <= BROADCAST_ROWS and r["bytes"] <= BROADCAST_BYTES
-                 for r in cells.groupBy("column").agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).collect()}
+        width, own = row_width(cells), {c: F.col("column") == c for c in columns}
+        cells, seen = settle_measured(cells, **{
+            k: v for i, c in enumerate(columns)
+            for k, v in ((f"r{i}", F.count(F.when(own[c], 1))), (f"b{i}", F.sum(F.when(own[c], width))))})
+        sizes = {c: within_broadcast(seen[f"r{i}"], seen[f"b{i}"]) for i, c in enumerate(columns)}
         for c in columns:
             table = cells.where(F.col("column") == c).select(
                 F.col("value").alias(c), F.col("surprise").alias(f"{prefix}{c}"), F.col("n").alias("__n"))
-            rows = attach(rows, table, [c], weight="__n", small=sizes.get(c, True)).drop("__n")
+            rows = attach(rows, table, [c], weight="__n", small=sizes[c]).drop("__n")
         return rows
 
     def score(self, frame: Frame) -> DataFrame:

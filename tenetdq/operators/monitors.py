@@ -6,14 +6,13 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tenetdq.functions.lookup import attach
+from tenetdq.functions.lookup import attach, settle_sized
 from tenetdq.functions.running import running
 from tenetdq.functions.values import as_number
 from tenetdq.operators.fd import count_cells
 from tenetdq.operators.scoring import residual
 from tenetdq.plans.constraints import DenialConstraint, FunctionalDependency, LinearConstraint, Predicate
 from tenetdq.plans.frame import ROW_ID, Frame
-from tenetdq.session import settle
 
 NUMERIC_OPS = ("<", "<=", ">", ">=")
 
@@ -37,7 +36,7 @@ def fd_holds(df: DataFrame, fd: FunctionalDependency) -> DataFrame:
 
 def fd_deviations(frame: Frame, fd: FunctionalDependency) -> DataFrame:
     """Rows that differ from the majority of their group (smallest value on ties)."""
-    cells = count_cells(frame.df, [fd])
+    cells = count_cells(frame, [fd])
     bad = cells.table(0, F.col("mode").alias("expected"), F.col("n").alias("__n"),
                       condition=F.col("rhs") != F.col("mode"))
     return attach(frame.df, bad, [*fd.lhs, fd.rhs], weight="__n", how="inner",
@@ -172,12 +171,12 @@ def _many_comparisons(left, right, keys, rest) -> DataFrame:
 def dc_monitor(frame: Frame, dc: DenialConstraint, against: Frame | None = None) -> DataFrame:
     """Rows that take part as ``t1`` in a violation, each once."""
     eq, rest = _parts(dc)
-    culprits = settle(dc_culprits(frame.df, (against or frame).df, dc))
+    culprits, small, _ = settle_sized(dc_culprits(frame.df, (against or frame).df, dc))
     keys, cs = _keys(eq), [f"c{i}" for i in range(len(rest))]
     rows = frame.df.withColumns({
         **{k: _side(p, p.left) for k, p in zip(keys, eq)},
         **{c: _side(p, p.left) for c, p in zip(cs, rest)}})
-    return attach(rows, culprits, keys + cs, how="left_semi").select(ROW_ID, *frame.columns)
+    return attach(rows, culprits, keys + cs, how="left_semi", small=small).select(ROW_ID, *frame.columns)
 
 
 def order_constraint(x: str, y: str, context: str | None = None, increasing: bool = True,
@@ -226,9 +225,9 @@ def mirrored(dc: DenialConstraint) -> DenialConstraint:
 def _flag(rows: DataFrame, reference: DataFrame, dc: DenialConstraint, name: str) -> DataFrame:
     eq, rest = _parts(dc)
     keys, cs = _keys(eq), [f"c{i}" for i in range(len(rest))]
-    culprits = settle(dc_culprits(rows, reference, dc)).withColumn(name, F.lit(True))
+    culprits, small, _ = settle_sized(dc_culprits(rows, reference, dc).withColumn(name, F.lit(True)))
     probe = rows.withColumns({
         **{k: _side(p, p.left) for k, p in zip(keys, eq)},
         **{c: _side(p, p.left) for c, p in zip(cs, rest)}})
-    return (attach(probe, culprits, keys + cs).drop(*keys, *cs)
+    return (attach(probe, culprits, keys + cs, small=small).drop(*keys, *cs)
             .withColumn(name, F.coalesce(name, F.lit(False))))

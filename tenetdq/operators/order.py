@@ -18,10 +18,10 @@ from tenetdq.functions.values import as_number, finite
 from tenetdq.operators.fd import Confidences, fd_confidences, modeling_rows
 from tenetdq.operators.monitors import order_constraint
 from tenetdq.operators.profile import NUMERIC
-from tenetdq.operators.ranking import score_by_cells
+from tenetdq.operators.ranking import Cells, score_by_cells
 from tenetdq.plans.constraints import DenialConstraint
 from tenetdq.plans.frame import Frame
-from tenetdq.session import settle
+from tenetdq.session import settle, settle_measured
 
 MIN_FIT = 5            # points a context needs before a trend is fitted
 NOISE = 12             # decimals kept of a residual, so equal ones rank equal
@@ -187,12 +187,12 @@ class OrderLearner:
     def rules(self) -> list[DenialConstraint]:
         return list(self.rules_)
 
-    def cells(self, frame: Frame, column: str) -> tuple[list[str], DataFrame]:
-        """Key columns and (keys, score, n): residual score of each value combination."""
+    def cells(self, frame: Frame, column: str) -> Cells:
+        """Residual score of each value combination."""
         s = self.specs[column]
         keys = ([s.context] if s.context else []) + [s.x, s.y]
-        cells = order_cells(frame.df, s)
-        return keys, cells.select(*[F.col(k).alias(n) for k, n in zip(_cell_keys(s), keys)], "score", "n")
+        table = order_cells(frame.weighted(keys), s)
+        return Cells(keys, table.select(*[F.col(k).alias(n) for k, n in zip(_cell_keys(s), keys)], "score", "n"))
 
     def score(self, frame: Frame) -> DataFrame:
         """Wide scores: average rank of the residual for governed columns, 0 elsewhere."""
@@ -221,13 +221,12 @@ def trend(cells: DataFrame, increasing: bool) -> DataFrame:
     Only one point per distinct x of a group reaches the fitting task; contexts and x are
     modeling columns, so a group has at most the identifier bound of them.
     """
-    points = settle(cells.dropna(subset=["x", "y"]).groupBy("g", "x").agg(
-        (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("y"), F.sum("n").alias("n")))
-    return settle(points.groupBy("g").applyInPandas(
-        _fit_group(increasing), "g string, x double, fit double"))
+    points = cells.dropna(subset=["x", "y"]).groupBy("g", "x").agg(
+        (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("y"), F.sum("n").alias("n"))
+    return points.groupBy("g").applyInPandas(_fit_group(increasing), "g string, x double, fit double")
 
 
-def order_cells(df: DataFrame, s: OrderSpec) -> DataFrame:
+def order_cells(rows: Weighted, s: OrderSpec) -> DataFrame:
     """(ctx, xt, yt, n, x, y, fit, resid, scale, score) of each value combination.
 
     score = |y - fit| / (median |y - fit| of the context + 1e-9); 0 where no trend was fitted.
@@ -235,12 +234,14 @@ def order_cells(df: DataFrame, s: OrderSpec) -> DataFrame:
     identifier bound) are refused rather than sent to one task.
     """
     ctx = F.col(f"`{s.context}`") if s.context else F.lit("")
-    cells = settle(df.select(ctx.alias("ctx"), F.col(f"`{s.x}`").alias("xt"), F.col(f"`{s.y}`").alias("yt"))
-                   .groupBy("ctx", "xt", "yt").agg(F.count("*").alias("n"))
-                   .select("ctx", "xt", "yt", "n", F.col("ctx").alias("g"),
-                           finite(as_number(F.col("xt"))).alias("x"), finite(as_number(F.col("yt"))).alias("y")))
-    widest = cells.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-    bounded = widest <= MAX_POINTS
+    cells, total = settle_measured(
+        rows.df.select(ctx.alias("ctx"), F.col(f"`{s.x}`").alias("xt"), F.col(f"`{s.y}`").alias("yt"),
+                       F.col(rows.weight).alias("w"))
+        .groupBy("ctx", "xt", "yt").agg(F.sum("w").alias("n"))
+        .select("ctx", "xt", "yt", "n", F.col("ctx").alias("g"),
+                finite(as_number(F.col("xt"))).alias("x"), finite(as_number(F.col("yt"))).alias("y")),
+        rows=F.count(F.lit(1)))
+    bounded = total["rows"] <= MAX_POINTS
     if not bounded:
         points = cells.select("g", "x").distinct().groupBy("g").count().agg(F.max("count")).first()[0]
         if points > MAX_POINTS:
@@ -248,7 +249,6 @@ def order_cells(df: DataFrame, s: OrderSpec) -> DataFrame:
     fits = trend(cells, s.increasing)
     joined = settle(cells.join(fits, ["g", "x"], "left")
                     .withColumn("resid", F.round(F.abs(F.col("y") - F.col("fit")), NOISE)))
-    med = settle(weighted_median(joined.where("resid is not null"), ["g"], "resid", "n",
-                                 small=bounded, out="med"))
+    med = weighted_median(joined.where("resid is not null"), ["g"], "resid", "n", small=bounded, out="med")
     return (joined.join(med, "g", "left").withColumn("scale", F.col("med") + F.lit(1e-9))
             .withColumn("score", F.coalesce(F.col("resid") / F.col("scale"), F.lit(0.0))).drop("g", "med"))

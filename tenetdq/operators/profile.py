@@ -17,7 +17,7 @@ NUMERIC_SHARE = 0.95
 class ColumnProfile:
     column: str
     distinct: int          # a sketch estimate for columns far above the identifier bound
-    numeric_fraction: float
+    numeric_fraction: float | None   # not measured for identifiers
     top: int               # rows holding the most frequent value (0 if not counted)
     kind: str
 
@@ -46,13 +46,21 @@ class Profile:
         return self.by_column[column].top / self.rows if self.rows else 0.0
 
 
-def _scan_stats(frame: Frame, columns: list[str]):
-    """One pass without a shuffle: rows, sketched cardinalities and numeric shares."""
-    aggs = [F.count("*").alias("rows")]
-    for i, c in enumerate(columns):
-        aggs.append(F.approx_count_distinct(f"`{c}`").alias(f"d{i}"))
-        aggs.append(F.sum(as_number(F.col(f"`{c}`")).isNotNull().cast("long")).alias(f"n{i}"))
-    return frame.df.agg(*aggs).first()
+def sketch(frame: Frame) -> tuple[int, dict[str, int]]:
+    """Rows and approximate cardinalities, from one pass over the source types and no shuffle
+    of values."""
+    aggs = [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(frame.columns)]
+    row = frame.source.agg(F.count("*").alias("rows"), *aggs).first()
+    return row["rows"], {c: row[f"d{i}"] for i, c in enumerate(frame.columns)}
+
+
+def value_stats(counts: DataFrame) -> DataFrame:
+    """Per column of a value histogram: rows, distinct values, largest count, numeric rows.
+
+    Only the histogram is parsed for numbers, never the rows."""
+    return counts.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.count("*").alias("distinct"), F.max("n").alias("top"),
+        F.sum(F.when(as_number(F.col("value")).isNotNull(), F.col("n")).otherwise(0)).alias("num"))
 
 
 def profile_columns(frame: Frame) -> Profile:
@@ -60,23 +68,27 @@ def profile_columns(frame: Frame) -> Profile:
 
     Columns whose sketch is more than twice the identifier bound are identifiers beyond doubt
     (the sketch errs by 5 %); only the others are counted exactly, so no identifier is ever
-    shuffled.
+    shuffled. Where the remaining columns have few combinations, they are folded into weighted
+    tuples on the way, and mining reads those instead of the table.
     """
-    cap, cols = frame.id_cardinality, frame.columns
-    scan = _scan_stats(frame, cols)
-    rows = scan["rows"]
-    near = [c for i, c in enumerate(cols) if scan[f"d{i}"] <= 2 * cap]
+    cap = frame.id_cardinality
+    rows, approx = sketch(frame)
+    near = [c for c in frame.columns if approx[c] <= 2 * cap]
     exact = {}
     if near and rows:
-        counted = (value_counts(frame.df, near).groupBy("column")
-                   .agg(F.count("*").alias("distinct"), F.max("n").alias("top")).collect())
-        exact = {r["column"]: (r["distinct"], r["top"]) for r in counted}
+        frame.fold(near, [approx[c] + 1 for c in near], rows)
+        w = frame.weighted(near)
+        exact = {r["column"]: r for r in value_stats(value_counts(w.df, near, w.weight)).collect()}
     out = {}
-    for i, c in enumerate(cols):
-        distinct, top = exact.get(c, (scan[f"d{i}"], 0))
-        share = (scan[f"n{i}"] or 0) / rows if rows else 0.0
-        kind = (IDENTIFIER if distinct > cap else NUMERIC if share > NUMERIC_SHARE else CATEGORICAL)
-        out[c] = ColumnProfile(c, distinct, share, top, kind)
+    for c in frame.columns:
+        r = exact.get(c)
+        if r is None or r["distinct"] > cap:
+            out[c] = ColumnProfile(c, r["distinct"] if r else approx[c], None, r["top"] if r else 0,
+                                   IDENTIFIER if rows else CATEGORICAL)
+        else:
+            share = r["num"] / rows
+            out[c] = ColumnProfile(c, r["distinct"], share, r["top"],
+                                   NUMERIC if share > NUMERIC_SHARE else CATEGORICAL)
     return Profile(rows, out, cap)
 
 
@@ -91,10 +103,7 @@ def profile_frame(frame: Frame) -> DataFrame:
     Per value the histogram is reduced before it is grouped by column, so a column with many
     values never gathers them in one task.
     """
-    counts = value_counts(frame.df, frame.columns)
-    stats = counts.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.count("*").alias("distinct"), F.max("n").alias("top"),
-        F.sum(F.when(as_number(F.col("value")).isNotNull(), F.col("n")).otherwise(0)).alias("num"))
+    stats = value_stats(value_counts(frame.df, frame.columns))
     share = F.col("num") / F.col("rows")
     return stats.select(
         "column", "rows", "distinct", share.alias("numeric_fraction"),
@@ -106,11 +115,13 @@ def profile_frame(frame: Frame) -> DataFrame:
 def full_value_counts(frame: Frame) -> DataFrame:
     """(column, value, n) of the columns within the identifier bound."""
     near = [c for c, p in frame.profile.by_column.items() if p.distinct <= frame.id_cardinality]
-    return value_counts(frame.df, near)
+    w = frame.weighted(near)
+    return value_counts(w.df, near, w.weight)
 
 
 def base_rates(frame: Frame, columns: list[str]) -> DataFrame:
-    return (value_counts(frame.df, columns).groupBy("column")
+    w = frame.weighted(columns)
+    return (value_counts(w.df, columns, w.weight).groupBy("column")
             .agg((F.max("n") / F.sum("n")).alias("base_rate")))
 
 

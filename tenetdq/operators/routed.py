@@ -11,14 +11,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tenetdq.functions.lookup import attach
 from tenetdq.functions.running import rank_columns
 from tenetdq.operators.fd import (Confidences, FdCells, count_cells, mine, modeling_rows,
                                   single_source_confidences)
 from tenetdq.operators.linear import LinearLearner
 from tenetdq.operators.marginal import MarginalSurprise
 from tenetdq.operators.order import OrderLearner
-from tenetdq.operators.ranking import Cells, cell_ranks
+from tenetdq.operators.ranking import Cells, attach_cell_ranks
 from tenetdq.operators.scoring import fd_cell_scores
 from tenetdq.plans.constraints import Constraint, FunctionalDependency
 from tenetdq.plans.frame import ROW_ID, Frame
@@ -51,14 +50,15 @@ class FdLearner:
     def statistics(self, frame: Frame) -> FdCells:
         """Joint counts of the learned rules over ``frame``, counted once per table."""
         if self._cells is None or self._cells_of is not frame.df:
-            self._cells, self._cells_of = count_cells(frame.df, self.rules_), frame.df
+            self._cells, self._cells_of = count_cells(frame, self.rules_), frame.df
         return self._cells
 
     def cells(self, frame: Frame, column: str) -> Cells:
         stats = self.statistics(frame)
         i = next(k for k, fd in enumerate(self.rules_) if fd.rhs == column)
         fd = self.rules_[i]
-        return [*fd.lhs, fd.rhs], stats.table(i, F.col("violation").alias("score"), "n")
+        table = stats.table(i, F.col("violation").alias("score"), "n")
+        return Cells([*fd.lhs, fd.rhs], table, stats.small[i], stats.rows[i])
 
     def score(self, frame: Frame) -> DataFrame:
         if not self.rules_:
@@ -122,12 +122,11 @@ def attach_ranks(frame: Frame, rows: DataFrame, learner, at: dict[str, str]) ->
     none = [c for c in at if c not in learner.governed]
     some = [c for c in at if c in learner.governed]
     if isinstance(learner, LinearLearner) and some:
-        rows = learner.attach_rank(rows, "__lin", constant_to_zero=True)
+        rows = learner.attach_rank(frame, rows, "__lin", constant_to_zero=True)
         rows = rows.withColumns({at[c]: F.col("__lin") for c in some}).drop("__lin")
     elif hasattr(learner, "cells"):
         for c in some:
-            keys, cells = learner.cells(frame, c)
-            rows = attach(rows, cell_ranks(cells, keys, at[c]), keys, weight="n").drop("n")
+            rows = attach_cell_ranks(rows, learner.cells(frame, c), at[c])
     elif not isinstance(learner, LinearLearner):
         some, none = list(at), []
         ranked = rank_columns(learner.score(frame).select(ROW_ID, *[f"`{c}`" for c in some]), some)

@@ -48,7 +48,7 @@ def with_violations(rows: DataFrame, cells: FdCells, prefix: str = "__v") -> Dat
 def fd_cell_scores(frame: Frame, fds: Sequence[FunctionalDependency],
                    cells: FdCells | None = None) -> DataFrame:
     """Wide scores: per governed column the largest violation among its rules, else 0."""
-    cells = cells or count_cells(frame.df, fds)
+    cells = cells or count_cells(frame, fds)
     rows = with_violations(frame.df, cells)
     out = []
     for c in frame.columns:
@@ -77,7 +77,7 @@ def score_rows(frame: Frame, rules: Sequence[Constraint], cells: FdCells | None
     rows = frame.df
     names, parts = [], []
     if fds:
-        rows = with_violations(rows, cells or count_cells(rows, fds))
+        rows = with_violations(rows, cells or count_cells(frame, fds))
         parts += [F.col(f"__v{i}") for i in range(len(fds))]
         names += [str(fd) for fd in fds]
     for r in linear:

@@ -2,22 +2,30 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tenetdq.functions.values import value_view
+from tenetdq.functions.counting import Weighted, fold_pays
+from tenetdq.functions.values import as_text, value_view
 from tenetdq.session import settle
 
 ROW_ID = "row_id"
 
+# types whose text form is one to one, so equal values can be folded before they become text
+_EXACT = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 @dataclass
 class Frame:
-    """``df`` holds ``row_id`` plus one normalized string column per entry of ``columns``."""
+    """``df`` holds ``row_id`` plus one normalized string column per entry of ``columns``;
+    ``raw`` the same rows and names with their source types."""
     df: DataFrame
     columns: list[str]
     id_cardinality: int = 300
+    raw: DataFrame | None = field(default=None, repr=False)
     _profile: object = field(default=None, repr=False)
+    _folded: Weighted | None = field(default=None, repr=False)
 
     @property
     def spark(self):
@@ -33,7 +41,32 @@ class Frame:
 
     def with_df(self, df: DataFrame) -> "Frame":
         """Same columns and profile over other rows (a new batch, a repaired table)."""
-        return Frame(df, self.columns, self.id_cardinality, self._profile)
+        return Frame(df, self.columns, self.id_cardinality, None, self._profile)
+
+    @property
+    def source(self) -> DataFrame:
+        return self.raw if self.raw is not None else self.df
+
+    def fold(self, columns: Sequence[str], cards: Sequence[int], n: int) -> Weighted | None:
+        """Distinct tuples of ``columns`` with their multiplicities, if that pays; kept, so
+        later statistics of these columns read them instead of the rows."""
+        columns = list(columns)
+        if self._folded is None and columns and fold_pays(cards, n):
+            types = {f.name: f.dataType for f in self.source.schema.fields}
+            keys = [F.col(f"`{c}`") if isinstance(types[c], _EXACT) else as_text(F.col(f"`{c}`"), types[c]).alias(c)
+                    for c in columns]
+            tuples = self.source.groupBy(*keys).agg(F.count("*").alias("n"))
+            plain = {f.name: f.dataType for f in tuples.schema.fields}
+            self._folded = Weighted(settle(tuples.select(
+                *[as_text(F.col(f"`{c}`"), plain[c]).alias(c) for c in columns], "n")))
+        return self._folded
+
+    def weighted(self, columns: Sequence[str]) -> Weighted:
+        """``columns`` with a weight: folded tuples where they cover the columns, else the rows."""
+        columns = list(columns)
+        if self._folded is not None and set(columns) <= set(self._folded.df.columns):
+            return Weighted(self._folded.df.select(*[f"`{c}`" for c in columns], "n"))
+        return Weighted(self.df.select(*[f"`{c}`" for c in columns], F.lit(1).cast("long").alias("n")))
 
 
 def from_df(df: DataFrame, row_id: str | None = None, columns: list[str] | None = None,
@@ -48,4 +81,5 @@ def from_df(df: DataFrame, row_id: str | None = None, columns: list[str] | None
     view = value_view(df, columns, keep=row_id)
     if row_id != ROW_ID:
         view = view.withColumnRenamed(row_id, ROW_ID)
-    return Frame(view, columns, id_cardinality)
+    raw = df.select(F.col(f"`{row_id}`").alias(ROW_ID), *[f"`{c}`" for c in columns])
+    return Frame(view, columns, id_cardinality, raw)

@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -60,3 +60,10 @@ def settle(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def settle_measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`settle`, with aggregates of the written rows observed in the same job."""
+    seen = Observation()
+    settled = settle(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]))
+    return settled, seen.get

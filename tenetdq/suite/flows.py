@@ -117,7 +117,8 @@ FROM geo LEFT JOIN g USING (nationkey) LEFT JOIN c ON c.nationkey = geo.nationke
 
 @query("stream_score", FROZEN)
 def stream_score(spark, sf_dir):
-    cells = count_cells(fx.geo(spark, sf_dir).df.where("row_id % 3 <> 0"), [GEO_FDS[1]])
+    rows = fx.geo(spark, sf_dir)
+    cells = count_cells(rows.with_df(rows.df.where("row_id % 3 <> 0")), [GEO_FDS[1]])
     path = scratch_path(spark, "stream")
     st.drain(st.to_files(st.score_stream(_geo_stream(spark, sf_dir), cells), path, scratch_path(spark, "progress")))
     return spark.read.parquet(path)

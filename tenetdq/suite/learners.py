@@ -4,7 +4,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tenetdq.functions.counting import Weighted
 from tenetdq.operators import evaluate as ev
 from tenetdq.operators import linear as ln
 from tenetdq.operators import order as od
@@ -30,14 +29,10 @@ taus AS (SELECT context, g, total, (p - q) / sqrt((total * (total - 1) / 2 - tx.
   FROM pairs JOIN tx USING (context, g) JOIN ty USING (context, g))"""
 
 
-def _plain(frame, *cols):
-    return Weighted(frame.df.select(*cols, F.lit(1).cast("long").alias("n")))
-
-
 @query("kendall_tau", f"WITH {TAU} SELECT g AS \"group\", CAST(total AS BIGINT) AS \"rows\", round(tau, {SIX}) AS tau FROM taus")
 def kendall_tau(spark, sf_dir):
     frame = fx.ordered(spark, sf_dir)
-    taus = od.group_taus(_plain(frame, "ctx", "x", "y"), [("x", "y")], ["ctx"])
+    taus = od.group_taus(frame.weighted(["ctx", "x", "y"]), [("x", "y")], ["ctx"])
     return taus.select(F.coalesce("group", F.lit("")).alias("group"), "rows", F.round("tau", SIX).alias("tau"))
 
 
@@ -47,7 +42,7 @@ COND = "cond AS (SELECT context, round(sum(tau * total) / sum(total), 6) AS tau
 @query("conditional_tau", f"WITH {TAU}, {COND} SELECT context, tau FROM cond")
 def conditional_tau(spark, sf_dir):
     frame = fx.ordered(spark, sf_dir)
-    taus = od.context_taus(od.group_taus(_plain(frame, "ctx", "x", "y"), [("x", "y")], ["ctx"]), 30)
+    taus = od.context_taus(od.group_taus(frame.weighted(["ctx", "x", "y"]), [("x", "y")], ["ctx"]), 30)
     return taus.select(F.coalesce("context", F.lit("")).alias("context"), F.round("tau", SIX).alias("tau"))
 
 
@@ -75,7 +70,7 @@ med AS (SELECT ctx, median(round(resid, 12)) AS med FROM res GROUP BY ctx)"""
   count(*) AS n, round(max(fit), {SIX}) AS fit, round(max(resid), {SIX}) AS resid FROM res GROUP BY ctx, x, y""")
 def isotonic_residual(spark, sf_dir):
     spec = od.OrderSpec("x", "y", "ctx", True, 0.98)
-    cells = od.order_cells(fx.ordered(spark, sf_dir).df, spec)
+    cells = od.order_cells(fx.ordered(spark, sf_dir).weighted(["ctx", "x", "y"]), spec)
     return cells.select("ctx", "xt", "yt", "n", F.round("fit", SIX).alias("fit"), F.round("resid", SIX).alias("resid"))
 
 
