@@ -5,10 +5,16 @@ from dataclasses import dataclass
 from math import prod
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 256                # column sets counted per scan
 COLLAPSE_ROWS = 1_000_000  # distinct tuples up to which a table is folded into weights
+GRID_COLUMNS = 6           # columns from which pairs are counted on grids instead of by exploding
+GRID_CELLS = 16_000_000    # counters a task holds while counting pairs (128 MB)
+FLUSH_ROWS = 200_000       # rows coded before their pairs are counted
 
 Spec = tuple[tuple[str, ...], str]
 
@@ -76,6 +82,18 @@ def spec_stats(counts: DataFrame) -> DataFrame:
         F.count("*").alias("groups"), F.sum((F.col("values") > 1).cast("long")).alias("broken"))
 
 
+def _both_directions(joint: DataFrame) -> DataFrame:
+    """(l, r, covered, combos, rows) from joint counts (i, j, a, b, n) of unordered pairs."""
+    both = joint.select("n", F.explode(F.array(
+        F.struct(F.col("i").alias("l"), F.col("j").alias("r"), F.col("a").alias("key")),
+        F.struct(F.col("j").alias("l"), F.col("i").alias("r"), F.col("b").alias("key")),
+    )).alias("d")).select("d.*", "n")
+    return (both.groupBy("l", "r", "key")
+            .agg(F.max("n").alias("top"), F.sum("n").alias("size"), F.count("*").alias("values"))
+            .groupBy("l", "r").agg(F.sum("top").alias("covered"), F.sum("values").alias("combos"),
+                                   F.sum("size").alias("rows")))
+
+
 def pair_stats(rows: Weighted, cols: Sequence[str]) -> DataFrame:
     """(l, r, covered, combos, rows) for all ordered pairs, by column position.
 
@@ -89,17 +107,77 @@ def pair_stats(rows: Weighted, cols: Sequence[str]) -> DataFrame:
     for at in range(0, len(pairs), BLOCK):
         lits = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
                          for i, j in pairs[at:at + BLOCK]])
-        joint = (base.select("v", "w", F.explode(lits).alias("p"))
-                 .select("p.i", "p.j", F.col("v")[F.col("p.i")].alias("a"),
-                         F.col("v")[F.col("p.j")].alias("b"), "w")
-                 .groupBy("i", "j", "a", "b").agg(F.sum("w").alias("n")))
-        both = joint.select("n", F.explode(F.array(
-            F.struct(F.col("i").alias("l"), F.col("j").alias("r"), F.col("a").alias("key")),
-            F.struct(F.col("j").alias("l"), F.col("i").alias("r"), F.col("b").alias("key")),
-        )).alias("d")).select("d.*", "n")
-        part = (both.groupBy("l", "r", "key")
-                .agg(F.max("n").alias("top"), F.sum("n").alias("size"), F.count("*").alias("values"))
-                .groupBy("l", "r").agg(F.sum("top").alias("covered"), F.sum("values").alias("combos"),
-                                       F.sum("size").alias("rows")))
+        part = _both_directions(
+            base.select("v", "w", F.explode(lits).alias("p"))
+            .select("p.i", "p.j", F.col("v")[F.col("p.i")].alias("a"),
+                    F.col("v")[F.col("p.j")].alias("b"), "w")
+            .groupBy("i", "j", "a", "b").agg(F.sum("w").alias("n")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _grid_kernel(values: list[list[str]], pairs: list[tuple[int, int]]):
+    """Arrow task: codes every column once, then counts each pair by one integer histogram."""
+    def count(batches):
+        lookups = [pa.array(v, pa.string()) for v in values]
+        used = sorted({c for p in pairs for c in p})
+        grids = {p: np.zeros(len(values[p[0]]) * len(values[p[1]]), np.int64) for p in pairs}
+        held: dict[int, list[np.ndarray]] = {c: [] for c in used}
+        size = 0
+
+        def flush():
+            codes = {c: np.concatenate(a) for c, a in held.items()}
+            for (i, j), grid in grids.items():
+                grid += np.bincount(codes[i] * len(values[j]) + codes[j], minlength=len(grid))
+            for a in held.values():
+                a.clear()
+
+        for batch in batches:
+            for c in used:
+                codes = pc.index_in(batch.column(c), value_set=lookups[c])
+                held[c].append(codes.to_numpy(zero_copy_only=False).astype(np.intp))
+            size += batch.num_rows
+            if size >= FLUSH_ROWS:
+                flush()
+                size = 0
+        if size:
+            flush()
+        for (i, j), grid in grids.items():
+            at = np.flatnonzero(grid)
+            if len(at):
+                whole = np.full(len(at), 0, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(whole + i), pa.array(whole + j), pa.array((at // len(values[j])).astype(np.int32)),
+                     pa.array((at % len(values[j])).astype(np.int32)), pa.array(grid[at])],
+                    names=["i", "j", "a", "b", "n"])
+    return count
+
+
+def grid_pair_stats(df: DataFrame, cols: Sequence[str], values: dict[str, list[str]]) -> DataFrame:
+    """:func:`pair_stats` for many columns whose distinct values are known and few.
+
+    Exploding rows costs one record per row and pair; here a row is coded once per column and
+    a pair costs one integer addition. A task keeps a grid of all value pairs (bounded by
+    ``GRID_CELLS`` per pass), so it reads several input splits and emits each pair once: the
+    shuffle grows with the number of tasks, not with the rows.
+    """
+    cols = list(cols)
+    known = [values[c] for c in cols]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.select(*[f"`{c}`" for c in cols]).coalesce(tasks)
+    blocks: list[list[tuple[int, int]]] = [[]]
+    cells = 0
+    for p in pairs:
+        cells += len(known[p[0]]) * len(known[p[1]])
+        if cells > GRID_CELLS and blocks[-1]:
+            blocks.append([])
+            cells = len(known[p[0]]) * len(known[p[1]])
+        blocks[-1].append(p)
+    out = None
+    for block in blocks:
+        counted = rows.mapInArrow(_grid_kernel(known, block), "i int, j int, a int, b int, n long")
+        part = _both_directions(counted.groupBy("i", "j", "a", "b").agg(F.sum("n").alias("n")))
         out = part if out is None else out.unionByName(part)
     return out

@@ -39,11 +39,12 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], weight: str | Non
            how: str = "left", small: bool | None = None) -> DataFrame:
     """``rows`` joined with the statistics ``table`` (one row per ``keys``).
 
-    ``small=True`` is for tables whose size the caller has proven or measured; ``None``
-    measures ``table`` first (it should be settled). A table too large to broadcast is joined by a
-    shuffle, except for its hot keys: at most ``HOT_SHARE`` keys can hold more than
-    1/``HOT_SHARE`` of the total ``weight``, so those are always broadcast and the rows that
-    carry them never meet in one task.
+    ``small`` says whether the table was measured, or is proven, to fit a broadcast; ``None``
+    measures it now (it should be settled). A table too large for that is joined by a shuffle.
+    Its ``weight`` column (rows per key) then tells the hot keys: at most ``HOT_SHARE`` keys can
+    hold more than 1/``HOT_SHARE`` of all rows. Each hot key is split into as many parts as its
+    share of the shuffle partitions, so the rows that carry it never meet in one task; the
+    table is repeated for those keys only.
     """
     if small is None:
         small = fits_broadcast(table)
@@ -52,8 +53,14 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], weight: str | Non
     if weight is None:
         return rows.join(table, keys, how)
     total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = F.col(f"`{weight}`") * HOT_SHARE > F.lit(total)
-    hot_table = F.broadcast(table.where(hot))
-    in_hot = rows.join(hot_table, keys, "inner")
-    others = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti")
-    return in_hot.unionByName(others.join(table.where(~hot), keys, how))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.col(f"`{weight}`") / F.lit(float(max(1, total)))
+    hot = F.broadcast(table.where(share * HOT_SHARE > 1).select(
+        *[f"`{k}`" for k in keys], F.greatest(F.lit(2), F.ceil(share * parts)).alias("__parts")))
+    # the part of a row depends on the row alone, so a retried task sends it to the same place
+    spread = F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns]), F.col("__parts"))
+    split_rows = rows.join(hot, keys, "left").withColumn("__part", F.coalesce(spread, F.lit(0))).drop("__parts")
+    split_table = (table.join(hot, keys, "left")
+                   .withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+                   .drop("__parts"))
+    return split_rows.join(split_table, [*keys, "__part"], how).drop("__part")

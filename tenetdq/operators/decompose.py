@@ -11,7 +11,7 @@ from tenetdq.operators.scoring import CELL_ABOVE
 from tenetdq.plans import algebra
 from tenetdq.plans.algebra import RelationSpec
 from tenetdq.plans.constraints import Constraint, FunctionalDependency
-from tenetdq.plans.frame import ROW_ID, Frame
+from tenetdq.plans.frame import ROW_ID, Frame, from_df
 
 
 class Schema:
@@ -82,6 +82,31 @@ def lossless(df: DataFrame, relations: dict[str, DataFrame]) -> DataFrame:
                     F.sum((F.col("o") < F.col("r")).cast("long")).alias("spurious"))
 
 
+def cross_relation_rows(relations: dict[str, DataFrame], attributes) -> Frame:
+    """The rebuilt rows restricted to what a rule needs, so that rules spanning several
+    relations can be checked on stored relations. Only relations that carry a needed attribute,
+    or connect those that do, are joined. Rows get ids of their own."""
+    need, kept = set(attributes), dict(relations)
+    for name in list(kept):
+        rest = {n: r for n, r in kept.items() if n != name}
+        if rest and need <= {c for r in rest.values() for c in r.columns} and _connected(rest):
+            kept = rest
+    rows = reconstruct(kept).select(*[f"`{a}`" for a in sorted(need)]).distinct()
+    return from_df(rows, columns=sorted(need))
+
+
+def _connected(relations: dict[str, DataFrame]) -> bool:
+    todo = [set(r.columns) for r in relations.values()]
+    seen = todo.pop()
+    while True:
+        hit = [c for c in todo if c & seen]
+        if not hit:
+            return not todo
+        for c in hit:
+            seen |= c
+            todo.remove(c)
+
+
 def links(relations: Sequence[RelationSpec]) -> list[tuple[str, str, tuple[str, ...]]]:
     """Pairs of relations with common attributes."""
     return [(a.name, b.name, tuple(sorted(a.attributes & b.attributes)))

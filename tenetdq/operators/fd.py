@@ -6,7 +6,8 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tenetdq.functions.counting import Spec, Weighted, joint_counts, pair_stats, spec_stats
+from tenetdq.functions.counting import (GRID_COLUMNS, Spec, Weighted, grid_pair_stats, joint_counts,
+                                        pair_stats, spec_stats)
 from tenetdq.functions.lookup import row_width, within_broadcast
 from tenetdq.plans.constraints import FunctionalDependency
 from tenetdq.plans.frame import Frame
@@ -29,15 +30,25 @@ def single_source_frame(frame: Frame, columns: Sequence[str]) -> DataFrame:
         (F.col("covered") / F.col("rows")).alias("confidence"))
 
 
-def single_source_confidences(rows: Weighted, columns: Sequence[str], n: int,
-                              max_combos: int | None = None) -> Confidences:
-    """conf[A][B] for all ordered pairs. Pairs with more than ``max_combos`` distinct value
-    pairs are left out when that bound is given."""
+def pair_table(frame: Frame, columns: Sequence[str]) -> DataFrame:
+    """Pair statistics of modeling columns by the cheaper route: folded tuples or few columns
+    are exploded; many columns over unfolded rows are counted on grids of their known values."""
     cols = list(columns)
+    if frame._folded is None and len(cols) >= GRID_COLUMNS:
+        values = frame.known_values(cols)
+        if values is not None:
+            return grid_pair_stats(frame.df, cols, values)
+    return pair_stats(frame.weighted(cols), cols)
+
+
+def single_source_confidences(frame: Frame, max_combos: int | None = None) -> Confidences:
+    """conf[A][B] for all ordered pairs of modeling columns. Pairs with more than
+    ``max_combos`` distinct value pairs are left out when that bound is given."""
+    cols, n = frame.profile.modeling(), frame.profile.rows
     conf = {a: {b: 0.0 for b in cols if b != a} for a in cols}
     if n == 0 or len(cols) < 2:
         return conf
-    for r in pair_stats(rows, cols).collect():
+    for r in pair_table(frame, cols).collect():
         a, b = cols[r["l"]], cols[r["r"]]
         if max_combos is not None and r["combos"] > max_combos:
             del conf[a][b]
@@ -97,7 +108,7 @@ def mine(frame: Frame, tau: float = 0.90, lift: float = 0.10, max_lhs: int = 2,
     if len(cols) < 2 or n == 0:
         return []
     rows = rows or modeling_rows(frame)
-    conf = conf if conf is not None else single_source_confidences(rows, cols, n)
+    conf = conf if conf is not None else single_source_confidences(frame)
     growing: list[_Growth] = []
     for rhs in cols:
         sources = [a for a in (order or {}).get(rhs, cols) if a != rhs and rhs in conf[a]]
@@ -130,11 +141,8 @@ def learn_simple(frame: Frame, tau: float = 0.90, lift: float = 0.10,
                  max_pair_entries: int | None = None) -> list[FunctionalDependency]:
     """Single-source dependencies over the whole table. ``max_pair_entries`` optionally drops
     pairs with more distinct combinations (off by default: the count is exact either way)."""
-    prof = frame.profile
-    cols = prof.modeling()
-    rows = modeling_rows(frame)
-    conf = single_source_confidences(rows, cols, prof.rows, max_pair_entries)
-    return mine(frame, tau, lift, max_lhs=1, conf=conf, rows=rows)
+    conf = single_source_confidences(frame, max_pair_entries)
+    return mine(frame, tau, lift, max_lhs=1, conf=conf)
 
 
 @dataclass

@@ -5,9 +5,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from tenetdq.functions.counting import value_counts
+from tenetdq.functions.counting import GRID_COLUMNS, value_counts
 from tenetdq.functions.values import as_number
 from tenetdq.plans.frame import Frame
+from tenetdq.session import settle
 
 CATEGORICAL, NUMERIC, IDENTIFIER = "categorical", "numeric", "identifier"
 NUMERIC_SHARE = 0.95
@@ -46,12 +47,21 @@ class Profile:
         return self.by_column[column].top / self.rows if self.rows else 0.0
 
 
+WIDE = 64      # columns up to which all sketches fit one generated aggregation
+
+
 def sketch(frame: Frame) -> tuple[int, dict[str, int]]:
     """Rows and approximate cardinalities, from one pass over the source types and no shuffle
-    of values."""
-    aggs = [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(frame.columns)]
-    row = frame.source.agg(F.count("*").alias("rows"), *aggs).first()
-    return row["rows"], {c: row[f"d{i}"] for i, c in enumerate(frame.columns)}
+    of values. Wide tables sketch value hashes grouped by column instead of column by column."""
+    cols = frame.columns
+    if len(cols) <= WIDE:
+        aggs = [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]
+        row = frame.source.agg(F.count("*").alias("rows"), *aggs).first()
+        return row["rows"], {c: row[f"d{i}"] for i, c in enumerate(cols)}
+    hashes = F.posexplode(F.array(*[F.xxhash64(F.col(f"`{c}`")) for c in cols])).alias("i", "h")
+    got = {r["i"]: r for r in frame.df.select(hashes).groupBy("i").agg(
+        F.count("*").alias("rows"), F.approx_count_distinct("h").alias("d")).collect()}
+    return (got[0]["rows"] if got else 0), {c: got[i]["d"] if got else 0 for i, c in enumerate(cols)}
 
 
 def value_stats(counts: DataFrame) -> DataFrame:
@@ -78,7 +88,10 @@ def profile_columns(frame: Frame) -> Profile:
     if near and rows:
         frame.fold(near, [approx[c] + 1 for c in near], rows)
         w = frame.weighted(near)
-        exact = {r["column"]: r for r in value_stats(value_counts(w.df, near, w.weight)).collect()}
+        counts = value_counts(w.df, near, w.weight)
+        if frame._folded is None and len(near) >= GRID_COLUMNS:
+            counts = frame._counts = settle(counts)
+        exact = {r["column"]: r for r in value_stats(counts).collect()}
     out = {}
     for c in frame.columns:
         r = exact.get(c)

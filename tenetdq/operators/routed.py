@@ -12,8 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tenetdq.functions.running import rank_columns
-from tenetdq.operators.fd import (Confidences, FdCells, count_cells, mine, modeling_rows,
-                                  single_source_confidences)
+from tenetdq.operators.fd import Confidences, FdCells, count_cells, mine, single_source_confidences
 from tenetdq.operators.linear import LinearLearner
 from tenetdq.operators.marginal import MarginalSurprise
 from tenetdq.operators.order import OrderLearner
@@ -35,9 +34,8 @@ class FdLearner:
     _cells_of: DataFrame | None = field(default=None, repr=False)
 
     def fit(self, frame: Frame) -> "FdLearner":
-        rows = modeling_rows(frame)
-        self.conf = single_source_confidences(rows, frame.profile.modeling(), frame.profile.rows)
-        self.rules_ = mine(frame, self.tau, self.lift, self.max_lhs, conf=self.conf, rows=rows)
+        self.conf = single_source_confidences(frame)
+        self.rules_ = mine(frame, self.tau, self.lift, self.max_lhs, conf=self.conf)
         return self
 
     @property

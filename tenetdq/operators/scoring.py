@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tenetdq.functions.lookup import attach
+from tenetdq.functions.lookup import attach, settle_sized
 from tenetdq.functions.values import as_number, round_even
 from tenetdq.operators.fd import FdCells, count_cells
 from tenetdq.plans.constraints import Constraint, FunctionalDependency, LinearConstraint
@@ -158,5 +158,6 @@ def clean_rows(frame: Frame, scores: DataFrame | None, threshold: float = CELL_A
     """Rows whose largest cell score stays within ``threshold``; all rows without scores."""
     if scores is None:
         return frame.df
-    flagged = tuple_scores(scores, frame.columns).where(F.col("score") > threshold)
-    return frame.df.join(flagged.select(ROW_ID), ROW_ID, "left_anti")
+    flagged, small, _ = settle_sized(
+        tuple_scores(scores, frame.columns).where(F.col("score") > threshold).select(ROW_ID))
+    return attach(frame.df, flagged, [ROW_ID], how="left_anti", small=small)

@@ -26,6 +26,7 @@ class Frame:
     raw: DataFrame | None = field(default=None, repr=False)
     _profile: object = field(default=None, repr=False)
     _folded: Weighted | None = field(default=None, repr=False)
+    _counts: DataFrame | None = field(default=None, repr=False)     # value histogram of wide tables
 
     @property
     def spark(self):
@@ -61,6 +62,19 @@ class Frame:
                 *[as_text(F.col(f"`{c}`"), plain[c]).alias(c) for c in columns], "n")))
         return self._folded
 
+    def known_values(self, columns: Sequence[str], limit: int = 32 * 1024 * 1024) -> dict[str, list[str]] | None:
+        """The distinct values of modeling columns, if the profile kept their histogram and
+        their total size stays within ``limit`` bytes."""
+        if self._counts is None:
+            return None
+        mine = self._counts.where(F.col("column").isin(list(columns)))
+        if (mine.agg(F.sum(F.octet_length("value") + 8)).first()[0] or 0) > limit:
+            return None
+        out: dict[str, list[str]] = {c: [] for c in columns}
+        for r in mine.select("column", "value").collect():
+            out[r["column"]].append(r["value"])
+        return out
+
     def weighted(self, columns: Sequence[str]) -> Weighted:
         """``columns`` with a weight: folded tuples where they cover the columns, else the rows."""
         columns = list(columns)

@@ -318,6 +318,17 @@ def relation_links(spark, sf_dir):
     return dn.check_links(tables, dn.links(schema.relations_bcnf))
 
 
+@query("cross_relation_monitor", "WITH " + fx.CHAIN + """, o AS (SELECT DISTINCT suppkey, region_name FROM chain)
+SELECT suppkey, region_name FROM o a WHERE EXISTS (SELECT 1 FROM o b WHERE a.region_name = b.region_name
+   AND CAST(a.suppkey AS BIGINT) > CAST(b.suppkey AS BIGINT))""")
+def cross_relation_monitor(spark, sf_dir):
+    """Suppliers that are not the first of their region: the two attributes live in different relations."""
+    frame, schema = _chain_schema(spark, sf_dir)
+    tables = dn.materialize(frame.df, schema.relations_bcnf)
+    rule = DenialConstraint((Predicate("region_name", "=", "region_name"), Predicate("suppkey", ">", "suppkey")))
+    return mo.dc_monitor(dn.cross_relation_rows(tables, rule.attributes), rule).drop("row_id")
+
+
 @query("candidate_key_check", "WITH " + fx.CHAIN + """
 SELECT 'suppkey' AS "key", 'lower than 3NF' AS normal_form, CAST(sum(extra) AS BIGINT) AS disagreeing FROM (
   SELECT count(DISTINCT nationkey) + count(DISTINCT region_name) - 2 AS extra FROM chain GROUP BY suppkey)""")

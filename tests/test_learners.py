@@ -28,6 +28,22 @@ def test_simple_learner_equals_miner(spark):
     assert learn_simple(frame, max_pair_entries=3) == []
 
 
+def test_wide_tables_are_counted_on_grids(spark):
+    """Eight columns whose combinations are too many to fold: both counting routes agree."""
+    from tenetdq.functions.counting import grid_pair_stats, pair_stats
+    rng = np.random.default_rng(2)
+    data = {f"c{i}": rng.integers(0, 20 + i, 1500) for i in range(7)}
+    data["d"] = data["c0"] % 7
+    frame = frame_of(spark, data)
+    cols = frame.profile.modeling()
+    values = frame.known_values(cols)
+    assert frame._folded is None and values is not None
+    keys = ["l", "r", "covered", "combos", "rows"]
+    grid = rows_of(grid_pair_stats(frame.df, cols, values), *keys)
+    assert grid == rows_of(pair_stats(frame.weighted(cols), cols), *keys) and len(grid) == 56
+    assert "c0 -> d" in map(str, mine(frame))
+
+
 def test_three_attribute_rule(spark):
     rng = np.random.default_rng(1)
     a, b, c = (rng.integers(0, 3, 2000) for _ in range(3))
