@@ -40,6 +40,25 @@ def as_number(col: Column) -> Column:
     return F.coalesce(plain, special)
 
 
+def number_of(col: Column, dtype: T.DataType) -> Column:
+    """Number of a typed column: numeric types are cast, everything else read from its text."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(col), col.cast("double"))
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        return col.cast("double")
+    return as_number(as_text(col, dtype))
+
+
+def num_name(column: str) -> str:
+    return f"__num_{column}"
+
+
+def number_in(rows: DataFrame, column: str) -> Column:
+    """The number of a text column of ``rows``: its typed companion if ``rows`` carries one."""
+    typed = num_name(column)
+    return F.col(f"`{typed}`") if typed in rows.columns else as_number(F.col(f"`{column}`"))
+
+
 def finite(col: Column) -> Column:
     """Null for infinities, the number otherwise."""
     return F.when(F.abs(col) < F.lit(float("inf")), col)

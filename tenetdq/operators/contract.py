@@ -132,8 +132,9 @@ def check(frame: Frame, contract: DataFrame, order_counts: bool = False) -> list
     linear = [(i, LinearConstraint(tuple(c["terms"].items()), c["offset"] or 0.0, c["tolerance"] or 0.0))
               for i, c in usable if c["kind"] == "linear"]
     if linear:
-        row = frame.df.agg(*[
-            F.sum((F.abs(residual(r)) > r.tolerance + CHECK_SLACK).cast("long")).alias(f"v{i}")
+        rows = frame.numeric_rows({c for _, r in linear for c in r.attributes})
+        row = rows.agg(*[
+            F.sum((F.abs(residual(r, rows)) > r.tolerance + CHECK_SLACK).cast("long")).alias(f"v{i}")
             for i, r in linear]).first()
         for i, _ in linear:
             broken_cells[i] = row[f"v{i}"] or 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenetdq.functions.lookup import attach, settle_sized
 from tenetdq.functions.running import running
-from tenetdq.functions.values import as_number
+from tenetdq.functions.values import as_number, number_in
 from tenetdq.operators.fd import count_cells
 from tenetdq.operators.scoring import residual
 from tenetdq.plans.constraints import DenialConstraint, FunctionalDependency, LinearConstraint, Predicate
@@ -52,14 +52,16 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 def linear_monitor(frame: Frame, rule: LinearConstraint, slack: float | None = None) -> DataFrame:
     """Rows whose residual exceeds the tolerance (or ``slack`` where that is larger)."""
     bound = rule.tolerance if slack is None else max(rule.tolerance, slack)
-    return (frame.df.withColumn("residual", residual(rule))
+    rows = frame.numeric_rows(rule.attributes)
+    return (rows.withColumn("residual", residual(rule, rows))
             .where(F.abs("residual") > bound).select(ROW_ID, *frame.columns, "residual"))
 
 
 def exact_sum_monitor(frame: Frame, columns: Sequence[str], total: float) -> DataFrame:
     """Rows whose ``columns`` do not add up to exactly ``total``."""
     rule = LinearConstraint(tuple((c, 1.0) for c in columns), offset=total)
-    return (frame.df.withColumn("residual", residual(rule)).where("residual != 0")
+    rows = frame.numeric_rows(columns)
+    return (rows.withColumn("residual", residual(rule, rows)).where("residual != 0")
             .select(ROW_ID, *frame.columns, "residual"))
 
 
@@ -77,9 +79,13 @@ def type_check(frame: Frame, expected: dict[str, str]) -> DataFrame:
 
 
 # -- two-row denial constraints ----------------------------------------------
-def _side(p: Predicate, name: str) -> Column:
-    col = F.col(f"`{name}`")
-    return as_number(col) if p.op in NUMERIC_OPS else col
+def _side(rows: DataFrame, p: Predicate, name: str) -> Column:
+    return number_in(rows, name) if p.op in NUMERIC_OPS else F.col(f"`{name}`")
+
+
+def _compared(dcs: Sequence[DenialConstraint]) -> set[str]:
+    """Columns the constraints compare as numbers."""
+    return {c for dc in dcs for p in dc.predicates if p.op in NUMERIC_OPS for c in (p.left, p.right)}
 
 
 def _compare(a: Column, op: str, b: Column) -> Column:
@@ -114,11 +120,11 @@ def dc_culprits(probe: DataFrame, against: DataFrame, dc: DenialConstraint) -> D
     if not rest and not eq:
         raise ValueError("a denial constraint needs at least one predicate")
     keys, cs = _keys(eq), [f"c{i}" for i in range(len(rest))]
-    left = probe.select(*[_side(p, p.left).alias(k) for k, p in zip(keys, eq)],
-                        *[_side(p, p.left).alias(c) for c, p in zip(cs, rest)]).distinct()
+    left = probe.select(*[_side(probe, p, p.left).alias(k) for k, p in zip(keys, eq)],
+                        *[_side(probe, p, p.left).alias(c) for c, p in zip(cs, rest)]).distinct()
     left = left.dropna()
-    right = against.select(*[_side(p, p.right).alias(k) for k, p in zip(keys, eq)],
-                           *[_side(p, p.right).alias(c) for c, p in zip(cs, rest)]).dropna()
+    right = against.select(*[_side(against, p, p.right).alias(k) for k, p in zip(keys, eq)],
+                           *[_side(against, p, p.right).alias(c) for c, p in zip(cs, rest)]).dropna()
     if not rest:
         return left.join(right.distinct(), keys, "left_semi")
     if not keys:
@@ -171,11 +177,12 @@ def _many_comparisons(left, right, keys, rest) -> DataFrame:
 def dc_monitor(frame: Frame, dc: DenialConstraint, against: Frame | None = None) -> DataFrame:
     """Rows that take part as ``t1`` in a violation, each once."""
     eq, rest = _parts(dc)
-    culprits, small, _ = settle_sized(dc_culprits(frame.df, (against or frame).df, dc))
+    rows, other = frame.numeric_rows(_compared([dc])), (against or frame).numeric_rows(_compared([dc]))
+    culprits, small, _ = settle_sized(dc_culprits(rows, other, dc))
     keys, cs = _keys(eq), [f"c{i}" for i in range(len(rest))]
-    rows = frame.df.withColumns({
-        **{k: _side(p, p.left) for k, p in zip(keys, eq)},
-        **{c: _side(p, p.left) for c, p in zip(cs, rest)}})
+    rows = rows.withColumns({
+        **{k: _side(rows, p, p.left) for k, p in zip(keys, eq)},
+        **{c: _side(rows, p, p.left) for c, p in zip(cs, rest)}})
     return attach(rows, culprits, keys + cs, how="left_semi", small=small).select(ROW_ID, *frame.columns)
 
 
@@ -195,17 +202,19 @@ def gate(batch: Frame, reference: Frame, rules: Sequence, linear_slack: float =
     Linear rules test the row itself; order constraints test it, as ``t1``, against the stored
     ``reference`` rows (``symmetric`` also as ``t2``).
     """
-    rows = batch.df
+    order = _compared([r for r in rules if isinstance(r, DenialConstraint)])
+    rows = batch.numeric_rows(order | {c for r in rules if isinstance(r, LinearConstraint) for c in r.attributes})
+    stored = reference.numeric_rows(order)
     reasons = []
     for i, r in enumerate(rules):
         if isinstance(r, LinearConstraint):
-            bad = F.abs(residual(r)) > max(r.tolerance, linear_slack)
+            bad = F.abs(residual(r, rows)) > max(r.tolerance, linear_slack)
             reasons.append(F.when(bad, str(r)))
         elif isinstance(r, DenialConstraint):
-            rows = _flag(rows, reference.df, r, f"__g{i}")
+            rows = _flag(rows, stored, r, f"__g{i}")
             hit = F.col(f"__g{i}")
             if symmetric:
-                rows = _flag(rows, reference.df, mirrored(r), f"__m{i}")
+                rows = _flag(rows, stored, mirrored(r), f"__m{i}")
                 hit = hit | F.col(f"__m{i}")
             reasons.append(F.when(hit, str(r)))
     reason = F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
@@ -227,7 +236,7 @@ def _flag(rows: DataFrame, reference: DataFrame, dc: DenialConstraint, name: str
     keys, cs = _keys(eq), [f"c{i}" for i in range(len(rest))]
     culprits, small, _ = settle_sized(dc_culprits(rows, reference, dc).withColumn(name, F.lit(True)))
     probe = rows.withColumns({
-        **{k: _side(p, p.left) for k, p in zip(keys, eq)},
-        **{c: _side(p, p.left) for c, p in zip(cs, rest)}})
+        **{k: _side(rows, p, p.left) for k, p in zip(keys, eq)},
+        **{c: _side(rows, p, p.left) for c, p in zip(cs, rest)}})
     return (attach(probe, culprits, keys + cs, small=small).drop(*keys, *cs)
             .withColumn(name, F.coalesce(name, F.lit(False))))

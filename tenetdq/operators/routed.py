@@ -98,7 +98,8 @@ class RoutedLearner:
 
     def score(self, frame: Frame) -> DataFrame:
         """Ranked scores in [0, 1]; a column on which its owner sees no difference scores 0."""
-        rows = frame.df
+        linear = {c for o in self.owner.values() if isinstance(o, LinearLearner) for c in o.cols}
+        rows = frame.numeric_rows(linear) if linear else frame.df
         at = {c: f"__r{j}" for j, c in enumerate(frame.columns)}
         for learner in self.learners or []:
             owned = {c: at[c] for c, o in self.owner.items() if o is learner}

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenetdq.functions.lookup import attach, settle_sized
-from tenetdq.functions.values import as_number, round_even
+from tenetdq.functions.values import number_in, round_even
 from tenetdq.operators.fd import FdCells, count_cells
 from tenetdq.plans.constraints import Constraint, FunctionalDependency, LinearConstraint
 from tenetdq.plans.frame import ROW_ID, Frame
@@ -24,12 +24,12 @@ def split(rules: Sequence[Constraint]):
     return fds, linear, order
 
 
-def residual(rule: LinearConstraint, missing_as_zero: bool = False) -> Column:
-    """sum(coefficient * column) - offset on text columns; null where a value is no number,
+def residual(rule: LinearConstraint, rows: DataFrame, missing_as_zero: bool = False) -> Column:
+    """sum(coefficient * column) - offset over ``rows``; null where a value is no number,
     unless ``missing_as_zero``."""
     terms = []
     for c, v in rule.coefficients:
-        x = as_number(F.col(f"`{c}`"))
+        x = number_in(rows, c)
         terms.append(F.lit(v) * (F.coalesce(x, F.lit(0.0)) if missing_as_zero else x))
     return reduce(lambda a, b: a + b, terms) - F.lit(float(rule.offset))
 
@@ -74,14 +74,14 @@ def score_rows(frame: Frame, rules: Sequence[Constraint], cells: FdCells | None
     rule scores 1 (text that is no number counts as 0 here). Order constraints take no part.
     """
     fds, linear, _ = split(rules)
-    rows = frame.df
+    rows = frame.numeric_rows({c for r in linear for c in r.attributes}) if linear else frame.df
     names, parts = [], []
     if fds:
         rows = with_violations(rows, cells or count_cells(frame, fds))
         parts += [F.col(f"__v{i}") for i in range(len(fds))]
         names += [str(fd) for fd in fds]
     for r in linear:
-        parts.append((F.abs(residual(r, missing_as_zero=True)) > r.tolerance).cast("double"))
+        parts.append((F.abs(residual(r, rows, missing_as_zero=True)) > r.tolerance).cast("double"))
         names.append(str(r))
     if not parts:
         return rows.withColumns({"score": F.lit(0.0), "rule": F.lit("")})

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tenetdq.functions.counting import Weighted, fold_pays
-from tenetdq.functions.values import as_text, value_view
+from tenetdq.functions.values import as_number, as_text, num_name, number_of, value_view
 from tenetdq.session import settle
 
 ROW_ID = "row_id"
@@ -75,6 +75,17 @@ class Frame:
             out[r["column"]].append(r["value"])
         return out
 
+    def numeric_rows(self, columns: Sequence[str]) -> DataFrame:
+        """``df`` plus the numbers of ``columns`` (see ``values.number_in``), taken from the
+        source types so that typed numbers are not written as text and read back."""
+        columns = sorted(set(columns))
+        if self.raw is None:
+            return self.df.select("*", *[as_number(F.col(f"`{c}`")).alias(num_name(c)) for c in columns])
+        types = {f.name: f.dataType for f in self.raw.schema.fields}
+        return self.raw.select(
+            ROW_ID, *[as_text(F.col(f"`{c}`"), types[c]).alias(c) for c in self.columns],
+            *[number_of(F.col(f"`{c}`"), types[c]).alias(num_name(c)) for c in columns])
+
     def weighted(self, columns: Sequence[str]) -> Weighted:
         """``columns`` with a weight: folded tuples where they cover the columns, else the rows."""
         columns = list(columns)

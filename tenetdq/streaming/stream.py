@@ -37,7 +37,7 @@ def score_stream(rows: DataFrame, cells: FdCells, linear: Sequence[LinearConstra
         parts.append(F.when(F.col(f"__g{i}").isNull(), 0.0).otherwise(F.coalesce(f"__v{i}", F.lit(1.0))))
         names.append(str(fd))
     for r in linear:
-        parts.append((F.abs(residual(r, missing_as_zero=True)) > r.tolerance).cast("double"))
+        parts.append((F.abs(residual(r, rows, missing_as_zero=True)) > r.tolerance).cast("double"))
         names.append(str(r))
     if not parts:
         return rows.withColumns({"score": F.lit(0.0), "rule": F.lit("")})
