@@ -69,17 +69,61 @@ def reconstruct(relations: dict[str, DataFrame]) -> DataFrame:
     return out.select(*sorted(out.columns))
 
 
+def _join_tree(relations: dict[str, DataFrame]) -> list[tuple[str, str | None]] | None:
+    """Order in which relations can be folded into a neighbour that holds all they share with
+    the rest: (relation, neighbour) pairs, or None if they overlap in a cycle."""
+    left = {n: set(r.columns) for n, r in relations.items()}
+    order: list[tuple[str, str | None]] = []
+    while len(left) > 1:
+        for n, attrs in left.items():
+            shared = attrs & set().union(*[a for m, a in left.items() if m != n])
+            host = next((m for m, a in left.items() if m != n and shared and shared <= a), None)
+            if host:
+                order.append((n, host))
+                break
+        else:
+            return None
+        del left[n]
+    return [*order, (next(iter(left)), None)]
+
+
+def joined_rows(relations: dict[str, DataFrame]) -> DataFrame:
+    """One row ``rebuilt``: the size of the natural join of distinct relations, without joining.
+
+    Each relation is reduced to a count per shared value, which multiplies the counts of its
+    neighbour, so nothing grows even where the join would. Relations that overlap in a cycle
+    are joined.
+    """
+    tree = _join_tree(relations)
+    if tree is None:
+        return reconstruct(relations).agg(F.count("*").alias("rebuilt"))
+    held = {n: r.distinct().withColumn("__w", F.lit(1).cast("decimal(38,0)")) for n, r in relations.items()}
+    for name, host in tree[:-1]:
+        on = [c for c in relations[name].columns if c in relations[host].columns]
+        folded = held[name].groupBy(*[f"`{c}`" for c in on]).agg(F.sum("__w").cast("decimal(38,0)").alias("__k"))
+        held[host] = (held[host].join(folded, on)
+                      .withColumn("__w", (F.col("__w") * F.col("__k")).cast("decimal(38,0)")).drop("__k"))
+    return held[tree[-1][0]].agg(F.coalesce(F.sum("__w"), F.lit(0)).cast("long").alias("rebuilt"))
+
+
 def lossless(df: DataFrame, relations: dict[str, DataFrame]) -> DataFrame:
-    """One row: original and rebuilt distinct rows, and how many differ either way."""
+    """One row: original and rebuilt distinct rows, and how many differ either way.
+
+    A row is in the join exactly if each relation holds its projection, so lost rows come from
+    semi joins and spurious ones from the size of the join.
+    """
+    if not _connected(relations):
+        raise ValueError("relations share no attributes, so they cannot be joined")
     attrs = sorted({a for r in relations.values() for a in r.columns})
-    sides = (project(df, attrs).withColumn("__o", F.lit(1)).withColumn("__r", F.lit(0))
-             .unionByName(reconstruct(relations).select(*attrs).distinct()
-                          .withColumn("__o", F.lit(0)).withColumn("__r", F.lit(1))))
-    seen = sides.groupBy(*[f"`{a}`" for a in attrs]).agg(F.max("__o").alias("o"), F.max("__r").alias("r"))
-    return seen.agg(F.sum(F.col("o").cast("long")).alias("original"),
-                    F.sum(F.col("r").cast("long")).alias("rebuilt"),
-                    F.sum((F.col("o") > F.col("r")).cast("long")).alias("lost"),
-                    F.sum((F.col("o") < F.col("r")).cast("long")).alias("spurious"))
+    rows = project(df, attrs).withColumn("__in", F.lit(1))
+    for k, r in enumerate(relations.values()):
+        rows = rows.join(r.distinct().withColumn(f"__h{k}", F.lit(1)), list(r.columns), "left")
+        rows = rows.withColumn("__in", F.col("__in") * F.coalesce(f"__h{k}", F.lit(0))).drop(f"__h{k}")
+    original = rows.agg(F.count("*").alias("original"), F.coalesce(F.sum("__in"), F.lit(0)).alias("kept"))
+    one = F.lit(1).alias("one")
+    both = original.select("*", one).join(joined_rows(relations).select("*", one), "one")
+    return both.select("original", "rebuilt", (F.col("original") - F.col("kept")).alias("lost"),
+                       (F.col("rebuilt") - F.col("kept")).alias("spurious"))
 
 
 def cross_relation_rows(relations: dict[str, DataFrame], attributes) -> Frame:

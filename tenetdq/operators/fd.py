@@ -111,7 +111,8 @@ def mine(frame: Frame, tau: float = 0.90, lift: float = 0.10, max_lhs: int = 2,
     conf = conf if conf is not None else single_source_confidences(frame)
     growing: list[_Growth] = []
     for rhs in cols:
-        sources = [a for a in (order or {}).get(rhs, cols) if a != rhs and rhs in conf[a]]
+        first = [a for a in (order or {}).get(rhs, []) if a in conf]
+        sources = [a for a in [*first, *[c for c in cols if c not in first]] if a != rhs and rhs in conf[a]]
         ranked = sorted(sources, key=lambda a: -conf[a][rhs])
         if ranked:
             best = conf[ranked[0]][rhs]

@@ -14,7 +14,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from tenetdq.operators.fd import mine, modeling_rows
+from tenetdq.operators.fd import mine
 from tenetdq.plans.constraints import FunctionalDependency
 from tenetdq.plans.frame import ROW_ID, Frame
 
@@ -27,6 +27,7 @@ class GatedLearner:
     tau: float = 0.90
     lift: float = 0.10
     max_lhs: int = 3
+    value_cap: int = 300       # columns with more distinct values are neither targets nor sources
     cols: list[str] = field(default_factory=list)
     gates: dict[str, dict[str, float]] = field(default_factory=dict)
     rules_: list[FunctionalDependency] = field(default_factory=list)
@@ -34,11 +35,11 @@ class GatedLearner:
 
     def fit(self, frame: Frame) -> "GatedLearner":
         prof = frame.profile
-        self.cols = prof.modeling()
+        self.cols = [c for c in prof.modeling() if prof.cards[c] <= self.value_cap]
         self.gates, self._models, self.rules_ = {}, {}, []
         if len(self.cols) < 2:
             return self
-        rows = modeling_rows(frame)
+        rows = frame.weighted(self.cols)
         self._index = StringIndexer(inputCols=self.cols, outputCols=[f"i_{c}" for c in self.cols],
                                     stringOrderType="frequencyDesc", handleInvalid="keep").fit(rows.df)
         indexed = self._index.transform(rows.df)
@@ -65,7 +66,7 @@ class GatedLearner:
             self.gates[target] = gate
             self._models[target] = (asm, model)
         order = {t: sorted(g, key=lambda c: -g[c]) for t, g in self.gates.items()}
-        self.rules_ = mine(frame, self.tau, self.lift, self.max_lhs, order=order, rows=rows)
+        self.rules_ = mine(frame, self.tau, self.lift, self.max_lhs, order=order)
         return self
 
     @property

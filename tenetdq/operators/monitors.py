@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -112,7 +113,7 @@ def dc_culprits(probe: DataFrame, against: DataFrame, dc: DenialConstraint) -> D
     """Distinct ``t1`` projections of ``probe`` for which ``against`` has a matching ``t2``.
 
     Columns: ``k*`` for equality predicates, ``c*`` for the others (numbers for order
-    comparisons). Up to two non-equality predicates are decided in linear work from running
+    comparisons). Any number of differences, or up to two comparisons, are decided in linear work from running
     extremes instead of comparing pairs: for ``a.X > b.X and a.Y < b.Y`` row ``a`` is a culprit
     when the largest Y among the smaller X of its group exceeds its own Y.
     """
@@ -133,6 +134,8 @@ def dc_culprits(probe: DataFrame, against: DataFrame, dc: DenialConstraint) -> D
         found = _one_comparison(left, right, keys, rest[0])
     elif len(rest) == 2 and any(p.op in NUMERIC_OPS for p in rest):
         found = _two_comparisons(left, right, keys, rest)
+    elif all(p.op == "!=" for p in rest):
+        found = _only_differences(left, right, keys, cs)
     else:
         found = _many_comparisons(left, right, keys, rest)
     return found.drop("k") if keys == ["k"] else found
@@ -165,8 +168,22 @@ def _two_comparisons(left, right, keys, rest) -> DataFrame:
     return hit.where(_against_extremes("low", "high", F.col(y), py.op)).select(*left.columns)
 
 
+def _only_differences(left, right, keys, cs) -> DataFrame:
+    """Rows with a partner that differs in all of ``cs``, by inclusion and exclusion: partners
+    in the group, minus those equal in one column, plus those equal in two, and so on. Each
+    term is one count per value combination; no pair is compared."""
+    counts = right.groupBy(*keys, *cs).agg(F.count("*").alias("__n"))
+    out = left.withColumn("__partners", F.lit(0).cast("long"))
+    for size in range(len(cs) + 1):
+        for equal in combinations(cs, size):
+            term = counts.groupBy(*keys, *equal).agg(F.sum("__n").alias("__t"))
+            out = out.join(term, [*keys, *equal], "left").withColumn(
+                "__partners", F.col("__partners") + (-1) ** size * F.coalesce("__t", F.lit(0))).drop("__t")
+    return out.where("__partners > 0").select(*left.columns)
+
+
 def _many_comparisons(left, right, keys, rest) -> DataFrame:
-    """Three or more comparisons: semi join of the distinct projections. Within a key group it
+    """Three or more mixed comparisons: semi join of the distinct projections. Within a key group it
     compares distinct combinations, so it suits constraints with selective equalities."""
     a, b = left.alias("a"), right.distinct().alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]

@@ -1,7 +1,7 @@
 """Order dependencies: discovery by Kendall's tau and scoring against an isotonic trend.
 
-Everything is computed from joint value histograms of columns within the identifier bound, so
-the per-group pandas helpers below see at most (bound x bound) cells, whatever the row count.
+Everything is computed from joint value histograms of columns with at most ``value_cap`` distinct
+values, so the per-group pandas helpers below see at most cap x cap cells, whatever the row count.
 """
 from __future__ import annotations
 
@@ -127,6 +127,7 @@ class OrderLearner:
     min_group: int = 30
     min_distinct: int = 5
     max_functional: float = 0.95
+    value_cap: int = 1_000          # distinct values a compared column may have, whatever the identifier bound
     specs: dict[str, OrderSpec] = field(default_factory=dict)
     rules_: list[DenialConstraint] = field(default_factory=list)
 
@@ -134,7 +135,7 @@ class OrderLearner:
             rows: Weighted | None = None) -> "OrderLearner":
         prof = frame.profile
         self.specs, self.rules_ = {}, []
-        num = prof.numeric()
+        num = [c for c in prof.numeric() if prof.cards[c] <= self.value_cap]
         contexts = [c for c in prof.modeling()
                     if prof.kinds[c] != NUMERIC and prof.cards[c] <= self.ctx_cap]
         pairs = [(x, y) for i, x in enumerate(num) for y in num[i + 1:]]

@@ -12,6 +12,8 @@ NA_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+ROWS_PER_FILE = 1 << 40      # row ids of one file start at a multiple of this
+
 
 def _capped(df: DataFrame, nrows: int | None, sample: float | None = None, seed: int = 0) -> DataFrame:
     """A prefix (``nrows``) or a random share (``sample``) on request; everything by default."""
@@ -38,8 +40,19 @@ def read_tsv(spark: SparkSession, path: str, nrows: int | None = None, **kw) ->
 
 
 def read_parquet(spark: SparkSession, path: str, nrows: int | None = None,
-                 sample: float | None = None) -> DataFrame:
-    return _capped(spark.read.parquet(path), nrows, sample)
+                 sample: float | None = None, row_id: str | None = None) -> DataFrame:
+    """``row_id`` adds a column that numbers the rows by file and position. It is read from the
+    file metadata, so it is stable without writing the table again."""
+    df = spark.read.parquet(path)
+    if row_id is not None:
+        # file names as the scan reports them (no column is read for this)
+        names = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+        files = spark.createDataFrame([(f, i) for i, f in enumerate(names)], "__file string, __ord long")
+        located = df.select("*", F.col("_metadata.file_path").alias("__file"),
+                            F.col("_metadata.row_index").alias("__pos"))
+        df = located.join(F.broadcast(files), "__file").select(
+            (F.col("__ord") * F.lit(ROWS_PER_FILE) + F.col("__pos")).alias(row_id), *df.columns)
+    return _capped(df, nrows, sample)
 
 
 def _first_keys(spark: SparkSession, path: str) -> list[str]:

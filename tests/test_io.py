@@ -38,6 +38,14 @@ def test_every_format_reduces_to_the_same_text(spark, tmp_path):
         readers.read_any(spark, "x.xyz")
 
 
+def test_parquet_row_ids_are_stable(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(100).repartition(3).write.parquet(path)
+    df = readers.read_parquet(spark, path, row_id="row_id")
+    first = rows_of(df, "row_id", "id")
+    assert len({r[0] for r in first}) == 100 and first == rows_of(df.repartition(7), "row_id", "id")
+
+
 def test_types_become_text(spark):
     df = spark.sql("select 1 as i, cast('NaN' as double) as nan, cast(null as string) as s, true as b, "
                    "array(1,2) as a, named_struct('k', 1) as st, X'0A' as bin")
