@@ -56,7 +56,8 @@ def running(points: DataFrame, group: Sequence[str], order: Sequence[str],
 def average_rank(hist: DataFrame, group: Sequence[str], value: str, weight: str,
                  constant_to_zero: bool = False, small: bool = False,
                  out: str = "rank01") -> DataFrame:
-    """(group, value, out): average rank / n of every distinct value of a weighted histogram.
+    """(group, value, weight, out): average rank / n of every distinct value of a weighted
+    histogram.
 
     ``group`` names a bounded set (columns and metrics), so its totals are broadcast.
     """
@@ -73,7 +74,7 @@ def average_rank(hist: DataFrame, group: Sequence[str], value: str, weight: str,
     rank = (F.col("__before") + (F.col("__w") + 1) / 2) / F.col("__n")
     if constant_to_zero:
         rank = F.when(F.col("__lo") == F.col("__hi"), F.lit(0.0)).otherwise(rank)
-    return ranked.select(*group, value, rank.alias(out))
+    return ranked.select(*group, value, F.col("__w").alias(weight), rank.alias(out))
 
 
 def small_rank(hist: DataFrame, group: Sequence[str], value: str, weight: str,
@@ -135,8 +136,7 @@ def rank_columns(scores: DataFrame, columns: Sequence[str], constant_to_zero: bo
     if rows <= SMALL_HISTOGRAM:
         ranks = small_rank(hist, ["column"], "score", "n", constant_to_zero)
     else:
-        ranks = settle(average_rank(hist, ["column"], "score", "n", constant_to_zero)
-                       .join(hist, ["column", "score"]))
+        ranks = settle(average_rank(hist, ["column"], "score", "n", constant_to_zero))
     out = scores
     for c in columns:
         table = ranks.where(F.col("column") == c).select(

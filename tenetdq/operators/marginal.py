@@ -78,7 +78,7 @@ def marginal_cells(frame: Frame, columns: Sequence[str] | None = None) -> DataFr
         table = small_rank(scored, ["column", "metric"], "z", "n", out="r").select("column", "metric", "v", "r")
     else:
         scored = settle(scored)
-        ranks = average_rank(scored, ["column", "metric"], "z", "n", out="r")
+        ranks = average_rank(scored, ["column", "metric"], "z", "n", out="r").drop("n")
         table = scored.join(ranks, ["column", "metric", "z"]).select("column", "metric", "v", "r")
     table = settle(table)
     rows = hist

@@ -37,7 +37,7 @@ def attach_cell_ranks(rows: DataFrame, cells: Cells, out: str, constant_to_zero:
     if cells.rows <= SMALL_HISTOGRAM:
         ranked = small_rank(cells.df, [], "score", "n", constant_to_zero, out=out).select(*keys, out, "n")
     else:
-        ranks = average_rank(cells.df, [], "score", "n", constant_to_zero, out=out)
+        ranks = average_rank(cells.df, [], "score", "n", constant_to_zero, out=out).drop("n")
         ranked = settle(cells.df.join(ranks, "score").select(*keys, out, "n"))
     return attach(rows, ranked, cells.keys, weight="n", small=cells.small).drop("n")
 

@@ -67,6 +67,24 @@ def test_ranks_and_medians_agree_on_both_paths(spark):
     assert {weighted_median(even, ["c"], "v", "n", small=s).first()["median"] for s in (True, False)} == {2.5}
 
 
+def test_large_histograms_rank_the_same(spark, monkeypatch):
+    """With the one-task bound at zero every rank and median takes the distributed route."""
+    import tenetdq.operators.linear as lin
+    import tenetdq.operators.marginal as mar
+    import tenetdq.operators.ranking as rank
+    from tenetdq.functions import running as run
+    from tenetdq.operators.routed import FdLearner, RoutedLearner
+    from tenetdq.operators.linear import LinearLearner
+    frame, nums = countries(spark), sums(spark)
+    score = lambda: (RoutedLearner([FdLearner()]).fit(frame).score(frame).orderBy("row_id").collect(),
+                     LinearLearner().fit(nums).score(nums).orderBy("row_id").collect(),
+                     run.rank_columns(frame.df.selectExpr("row_id", "row_id % 7 as s"), ["s"]).orderBy("row_id").collect())
+    want = score()
+    for module in (lin, mar, rank, run):
+        monkeypatch.setattr(module, "SMALL_HISTOGRAM", 0)
+    assert score() == want
+
+
 def test_whole_table_scoring(spark):
     country = [str(i % 10) for i in range(1000)]
     bad = set(range(5, 1000, 34))
