@@ -15,6 +15,8 @@ from tenetdq.session import settle_measured
 
 Confidences = dict[str, dict[str, float]]
 
+CANDIDATES = 8        # left-side extensions per target that one scan of plain rows tries
+
 
 def modeling_rows(frame: Frame) -> Weighted:
     """The modeling columns as weighted tuples, folded when their combinations are few."""
@@ -34,7 +36,7 @@ def pair_table(frame: Frame, columns: Sequence[str]) -> DataFrame:
     """Pair statistics of modeling columns by the cheaper route: folded tuples or few columns
     are exploded; many columns over unfolded rows are counted on grids of their known values."""
     cols = list(columns)
-    if frame._folded is None and len(cols) >= GRID_COLUMNS:
+    if not frame.is_folded(cols) and len(cols) >= GRID_COLUMNS:
         values = frame.known_values(cols)
         if values is not None:
             return grid_pair_stats(frame.df, cols, values)
@@ -117,18 +119,21 @@ def mine(frame: Frame, tau: float = 0.90, lift: float = 0.10, max_lhs: int = 2,
         if ranked:
             best = conf[ranked[0]][rhs]
             growing.append(_Growth(rhs, [ranked[0]], best, ranked[1:], best < tau and max_lhs > 1))
+    # folded tuples are cheap to count, so every candidate is tried at once; over plain rows
+    # the candidates are tried a few at a time, since the first acceptable one ends the search
+    step = len(cols) if frame.is_folded(cols) else CANDIDATES
     while any(g.open and g.rest for g in growing):
-        tried = [(g, a) for g in growing if g.open for a in g.rest]
+        tried = [(g, a) for g in growing if g.open for a in g.rest[:step]]
         stats = fd_confidences(rows, [((*g.lhs, a), g.rhs) for g, a in tried], n)
         outcome = {(g.rhs, a): s for (g, a), s in zip(tried, stats)}
         for g in growing:
             if not g.open:
                 continue
-            taken = next((k for k, a in enumerate(g.rest)
+            taken = next((k for k, a in enumerate(g.rest[:step])
                           if outcome[g.rhs, a][0] > g.conf + jump
                           and outcome[g.rhs, a][1] >= min_group), None)
             if taken is None:
-                g.open = False
+                g.rest = g.rest[step:]
                 continue
             g.conf = outcome[g.rhs, g.rest[taken]][0]
             g.lhs.append(g.rest[taken])

@@ -86,10 +86,13 @@ class Frame:
             ROW_ID, *[as_text(F.col(f"`{c}`"), types[c]).alias(c) for c in self.columns],
             *[number_of(F.col(f"`{c}`"), types[c]).alias(num_name(c)) for c in columns])
 
+    def is_folded(self, columns: Sequence[str]) -> bool:
+        return self._folded is not None and set(columns) <= set(self._folded.df.columns)
+
     def weighted(self, columns: Sequence[str]) -> Weighted:
         """``columns`` with a weight: folded tuples where they cover the columns, else the rows."""
         columns = list(columns)
-        if self._folded is not None and set(columns) <= set(self._folded.df.columns):
+        if self.is_folded(columns):
             return Weighted(self._folded.df.select(*[f"`{c}`" for c in columns], "n"))
         return Weighted(self.df.select(*[f"`{c}`" for c in columns], F.lit(1).cast("long").alias("n")))
 
