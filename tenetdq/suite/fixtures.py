@@ -95,11 +95,12 @@ GRADED = r"""graded AS (
   FROM part)"""
 
 
-def ordered(spark: SparkSession, sf_dir: str) -> Frame:
+def ordered(spark: SparkSession, sf_dir: str, planted: bool = True) -> Frame:
     """Parts where y grows with x within each type, except for 1/101 planted rows."""
     p = table(spark, sf_dir, "part")
-    y = F.when(F.col("p_partkey") % 101 == 7, 0).otherwise(
-        2 * F.col("p_size") + 10 * F.length("p_type") + F.col("p_partkey") % 3)
+    y = 2 * F.col("p_size") + 10 * F.length("p_type") + F.col("p_partkey") % 3
+    if planted:
+        y = F.when(F.col("p_partkey") % 101 == 7, 0).otherwise(y)
     return from_df(p.select(F.col("p_partkey").alias("row_id"), F.col("p_type").alias("ctx"),
                             F.col("p_size").alias("x"), y.cast("long").alias("y")), "row_id")
 
@@ -111,6 +112,12 @@ ORDERED = """ordered AS (
   FROM part)"""
 
 
+ORDERED_CLEAN = """ordered_clean AS (
+  SELECT p_partkey AS row_id, p_type AS ctx, CAST(p_size AS DOUBLE) AS x,
+         CAST(2 * p_size + 10 * length(p_type) + p_partkey % 3 AS DOUBLE) AS y
+  FROM part)"""
+
+
 def summed(spark: SparkSession, sf_dir: str) -> Frame:
     """Parts with z = x + y0, except for 1/97 planted rows."""
     p = table(spark, sf_dir, "part")

@@ -107,31 +107,32 @@ def _geo_stream(spark, sf_dir):
     return st.stream_frame(rows, "c_custkey")
 
 
-FROZEN = CELLS + """, known AS (SELECT * FROM geo WHERE row_id % 3 <> 0),
-g AS (SELECT nationkey, count(*) AS size FROM known GROUP BY ALL), c AS (SELECT nationkey, nation_name, count(*) AS n FROM known GROUP BY ALL)
-SELECT row_id, geo.nationkey, geo.nation_name, region_name, segment,
-  CASE WHEN size IS NULL THEN 0.0::DOUBLE WHEN n IS NULL THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - CAST(n AS DOUBLE) / size END AS score,
-  CASE WHEN size IS NULL THEN '' WHEN n IS NULL OR n < size THEN 'nationkey -> nation_name' ELSE '' END AS rule
-FROM geo LEFT JOIN g USING (nationkey) LEFT JOIN c ON c.nationkey = geo.nationkey AND c.nation_name = geo.nation_name"""
+FROZEN = "WITH " + fx.GEO + ", " + fx.GEO_CLEAN + """,
+gk AS (SELECT nationkey, count(*) AS size FROM geo_clean GROUP BY ALL), gn AS (SELECT nation_name, count(*) AS size FROM geo_clean GROUP BY ALL),
+c AS (SELECT nationkey, nation_name, count(*) AS n FROM geo_clean GROUP BY ALL),
+v AS (SELECT geo.*, CASE WHEN gk.size IS NULL THEN 0.0::DOUBLE WHEN n IS NULL THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - CAST(n AS DOUBLE) / gk.size END AS a,
+    CASE WHEN gn.size IS NULL THEN 0.0::DOUBLE WHEN n IS NULL THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - CAST(n AS DOUBLE) / gn.size END AS b
+  FROM geo LEFT JOIN gk USING (nationkey) LEFT JOIN gn USING (nation_name)
+  LEFT JOIN c ON c.nationkey = geo.nationkey AND c.nation_name = geo.nation_name)
+SELECT row_id, nationkey, nation_name, region_name, segment, greatest(a, b) AS score,
+  CASE WHEN greatest(a, b) = 0 THEN '' WHEN b = greatest(a, b) THEN 'nation_name -> nationkey' ELSE 'nationkey -> nation_name' END AS rule FROM v"""
 
 
 @query("stream_score", FROZEN)
 def stream_score(spark, sf_dir):
-    rows = fx.geo(spark, sf_dir)
-    cells = count_cells(rows.with_df(rows.df.where("row_id % 3 <> 0")), [GEO_FDS[1]])
+    """Statistics frozen on the clean table; unknown nation names arrive in the stream."""
+    cells = count_cells(fx.geo(spark, sf_dir, planted=False), GEO_FDS[:2])
     path = scratch_path(spark, "stream")
     st.drain(st.to_files(st.score_stream(_geo_stream(spark, sf_dir), cells), path, scratch_path(spark, "progress")))
     return spark.read.parquet(path)
 
 
-@query("stream_gate", "WITH " + fx.ORDERED + """,
-stored AS (SELECT * FROM ordered WHERE row_id % 2 = 0 AND row_id % 101 <> 7),
+@query("stream_gate", "WITH " + fx.ORDERED + ", " + fx.ORDERED_CLEAN + """,
 judged AS (SELECT *, 2 * x - y < -140 OR 2 * x - y > 10 AS lin,
-   EXISTS (SELECT 1 FROM stored b WHERE b.ctx = a.ctx AND a.x > b.x AND a.y < b.y) AS ord FROM ordered a)
+   EXISTS (SELECT 1 FROM ordered_clean b WHERE b.ctx = a.ctx AND a.x > b.x AND a.y < b.y) AS ord FROM ordered a)
 SELECT """ + ORDERED_TEXT + """, CASE WHEN lin OR ord THEN 'rejected' ELSE 'accepted' END AS side FROM judged""")
 def stream_gate(spark, sf_dir):
-    rows = fx.ordered(spark, sf_dir)
-    stored = rows.with_df(rows.df.where("row_id % 2 = 0 and row_id % 101 <> 7"))
+    stored = fx.ordered(spark, sf_dir, planted=False)
     p = st.files_as_stream(spark, sf_dir, "part.parquet")
     y = F.when(F.col("p_partkey") % 101 == 7, 0).otherwise(
         2 * F.col("p_size") + 10 * F.length("p_type") + F.col("p_partkey") % 3)

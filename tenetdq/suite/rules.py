@@ -123,19 +123,16 @@ def type_check(spark, sf_dir):
                                                  "segment": "string", "balance": "number"})
 
 
-@query("gate_batch", "WITH " + fx.ORDERED + """,
-stored AS (SELECT * FROM ordered WHERE row_id % 2 = 0 AND row_id % 101 <> 7), arriving AS (SELECT * FROM ordered WHERE row_id % 2 = 1),
+@query("gate_batch", "WITH " + fx.ORDERED + ", " + fx.ORDERED_CLEAN + """,
 judged AS (SELECT *, 2 * x - y < -140 OR 2 * x - y > 10 AS lin,
-   EXISTS (SELECT 1 FROM stored b WHERE b.ctx = a.ctx AND a.x > b.x AND a.y < b.y) AS ord FROM arriving a)
+   EXISTS (SELECT 1 FROM ordered_clean b WHERE b.ctx = a.ctx AND a.x > b.x AND a.y < b.y) AS ord FROM ordered a)
 SELECT """ + ORDERED_TEXT + """, NOT (lin OR ord) AS accepted,
   CASE WHEN lin THEN '2.00*x -1.00*y ~= -65.00  (+-75)'
        WHEN ord THEN 'not-exists (t1, t2): t1.ctx = t2.ctx and t1.x > t2.x and t1.y < t2.y' ELSE '' END AS reason FROM judged""")
 def gate_batch(spark, sf_dir):
-    rows = fx.ordered(spark, sf_dir)
-    stored = rows.with_df(rows.df.where("row_id % 2 = 0 and row_id % 101 <> 7"))
-    arriving = rows.with_df(rows.df.where("row_id % 2 = 1"))
+    stored = fx.ordered(spark, sf_dir, planted=False)
     band = LinearConstraint((("x", 2.0), ("y", -1.0)), -65.0, 75.0)
-    return mo.gate(arriving, stored, [band, ORDER_RULE])
+    return mo.gate(fx.ordered(spark, sf_dir), stored, [band, ORDER_RULE])
 
 
 def _geo_contract(spark):
