@@ -54,7 +54,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     """Read a contract back; anything without the contract columns is refused."""
     raw = spark.read.json(path)
     if not {"version", "id", "kind"} <= set(raw.columns):
-        raise ValueError(f"{path} is not a contract")
+        raise ValueError(f"{path} holds no contract")
     return spark.read.schema(CONTRACT_SCHEMA).json(path).orderBy("ord")
 
 
@@ -88,17 +88,17 @@ class CheckResult:
 def _evaluable(c, columns: set[str]) -> str | None:
     """Why a record cannot be evaluated, or None."""
     if c["kind"] not in ("key", "fd", "linear", "order"):
-        return "unknown kind"
+        return "kind is not known"
     try:
         need = {"key": lambda: c["columns"], "fd": lambda: [*c["lhs"], c["rhs"]],
                 "linear": lambda: list(c["terms"]),
                 "order": lambda: [x for p in c["predicates"] for x in (p[0], p[2])]}[c["kind"]]()
     except TypeError:
-        return "error: incomplete record"
+        return "record is incomplete"
     if not set(need) <= columns:
-        return "missing column(s)"
+        return "columns are missing"
     if c["kind"] == "order" and any(p[1] not in ("=", "!=", "<", "<=", ">", ">=") for p in c["predicates"]):
-        return "error: unknown operator"
+        return "operator is not known"
     return None
 
 
@@ -145,16 +145,16 @@ def check(frame: Frame, contract: DataFrame, order_counts: bool = False) -> list
             out.append(CheckResult(cid, kind, -1, reason[i]))
         elif kind == "key":
             out.append(CheckResult(cid, kind, broken_cells[i],
-                       f"{c['columns']} determines all columns ({broken_cells[i]} disagreeing cells)"))
+                       f"{broken_cells[i]} cells differ within equal {', '.join(c['columns'])}"))
         elif kind == "fd":
-            out.append(CheckResult(cid, kind, broken_cells[i], f"{broken_cells[i]} cells break "
-                       f"{c['lhs']}->{c['rhs']} across {broken_groups[i]} group(s)"))
+            out.append(CheckResult(cid, kind, broken_cells[i], f"{broken_cells[i]} cells of {c['rhs']} differ "
+                       f"from their group ({broken_groups[i]} groups of {', '.join(c['lhs'])})"))
         elif kind == "linear":
-            out.append(CheckResult(cid, kind, broken_cells[i], f"{broken_cells[i]} rows break the linear law"))
+            out.append(CheckResult(cid, kind, broken_cells[i], f"{broken_cells[i]} rows beyond tolerance"))
         else:
             dc = DenialConstraint(tuple(Predicate(*p) for p in c["predicates"]))
             seen = dc_monitor(frame, dc).count() if order_counts else None
-            out.append(CheckResult(cid, kind, 0, "order DC (monitor only; not gated)", seen))
+            out.append(CheckResult(cid, kind, 0, "watched, never failing", seen))
     return out
 
 

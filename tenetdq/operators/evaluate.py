@@ -31,12 +31,12 @@ def error_mask(dirty: Frame, clean: Frame) -> DataFrame:
     """Wide mask: per cell, whether dirty and clean differ. Row ids must match exactly;
     a row without partner fails the query instead of being dropped."""
     if clean.columns != dirty.columns:
-        raise ValueError("clean table must be row- and column-aligned")
+        raise ValueError("clean and dirty tables are not aligned")
     d = dirty.df.select(ROW_ID, F.lit(1).alias("__d"), *[F.col(f"`{c}`").alias(f"d_{c}") for c in dirty.columns])
     c = clean.df.select(ROW_ID, F.lit(1).alias("__c"), *[F.col(f"`{x}`").alias(f"c_{x}") for x in clean.columns])
     both = d.join(c, ROW_ID, "full")
     paired = F.when(F.col("__d").isNull() | F.col("__c").isNull(),
-                    F.raise_error(F.lit("clean table must be row- and column-aligned")).cast("boolean")
+                    F.raise_error(F.lit("clean and dirty tables are not aligned")).cast("boolean")
                     ).otherwise(F.lit(True))
     return both.where(paired).select(ROW_ID, *[
         (~F.col(f"`d_{x}`").eqNullSafe(F.col(f"`c_{x}`"))).alias(x) for x in dirty.columns])

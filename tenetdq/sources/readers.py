@@ -106,5 +106,5 @@ def read_any(spark: SparkSession, path: str, nrows: int | None = None, **kw) ->
     """Dispatch on the file extension (globs included)."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in _BY_EXTENSION:
-        raise ValueError(f"unsupported extension {ext!r}; supported: {', '.join(sorted(_BY_EXTENSION))}")
+        raise ValueError(f"no reader for {ext!r} (known: {' '.join(_BY_EXTENSION)})")
     return _BY_EXTENSION[ext](spark, path, nrows=nrows, **kw)
