@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tenetdq.llm import exact_dedup, orc_tokens, packing
+from tenetdq.llm import exact_dedup, near_dedup, orc_tokens, packing
 from tenetdq.llm.common import table
 from tenetdq.session import scratch_path
 
@@ -25,6 +25,11 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
+
+
 @query
 def op8_orc_tokens(spark, sf_dir):
     path = scratch_path(spark, "orc-tokens")
@@ -49,3 +54,28 @@ named AS (
   FROM bodies WINDOW w AS (PARTITION BY body ORDER BY points DESC, doc_id))
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM named
 """
+
+ORACLES["op4_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+  FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id
+      AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM documents
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN comp ON node = doc_id
+"""
