@@ -4,9 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tenetdq.llm import exact_dedup, near_dedup, orc_tokens, packing
+from tenetdq.llm import exact_dedup, lang_id, near_dedup, orc_tokens, packing, toxicity
 from tenetdq.llm.common import table
 from tenetdq.session import scratch_path
 
@@ -20,6 +21,11 @@ def query(fn):
     return fn
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the document id, as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 @query
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -30,6 +36,15 @@ def op4_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
+@query
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.learn(docs.where(_remainder(3) != 1).select("text", "lang"))
+    found = lang_id.predict(docs.select("doc_id", "text"), model)
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.col("lang_pred"), "score").select(
+        "doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_orc_tokens(spark, sf_dir):
     path = scratch_path(spark, "orc-tokens")
@@ -43,6 +58,15 @@ def op9_best_fit_packing(spark, sf_dir):
     return packing.pack(pieces, 2048)
 
 
+@query
+def op10_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs.select("doc_id", "text"), labels, _remainder(5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
+
+
 ORACLES["op2_exact_dedup"] = r"""
 WITH bodies AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
