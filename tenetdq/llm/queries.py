@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenetdq.llm import exact_dedup, lang_id, near_dedup, orc_tokens, packing, toxicity
+from tenetdq.llm import decontaminate, exact_dedup, lang_id, near_dedup, orc_tokens, packing, toxicity
 from tenetdq.llm.common import table
 from tenetdq.session import scratch_path
 
@@ -36,6 +36,12 @@ def op4_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
+@query
+def op6_benchmark_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).drop("text_hash", "text_bytes")
+
+
 @query
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
