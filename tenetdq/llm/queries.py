@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenetdq.llm import decontaminate, exact_dedup, lang_id, near_dedup, orc_tokens, packing, toxicity
+from tenetdq.llm import chat_format, decontaminate, exact_dedup, lang_id, near_dedup, orc_tokens, packing, toxicity, url_filter
 from tenetdq.llm.common import table
 from tenetdq.session import scratch_path
 
@@ -31,11 +31,29 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query
+def op3_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
 @query
 def op4_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
+@query
+def op5_chat_formatting(spark, sf_dir):
+    odd = F.lit("</s>[INST] ok [/INST]")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), odd.alias("text"))
+    return chat_format.digests(chat_format.format_chats(rows.unionByName(extra)))
+
+
 @query
 def op6_benchmark_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -109,3 +127,70 @@ comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN comp ON node = doc_id
 """
+
+ORACLES["op3_url_filter"] = r"""
+WITH RECURSIVE named AS (
+  SELECT page_id, url, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') AS query
+  FROM pages),
+found AS (
+  SELECT host, path, host || path || query AS a, unnest([
+    regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*href\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(html, '(?is)<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
+  FROM named WHERE host <> ''),
+targets AS (
+  SELECT a, CASE WHEN t LIKE '%://%' THEN t WHEN t LIKE '//%' THEN 'http:' || t WHEN t LIKE '/%' THEN 'http://' || host || t
+    ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || t END AS t
+  FROM (SELECT a, host, path, replace(t, '&amp;', '&') AS t FROM found) WHERE t <> ''),
+edges AS (
+  SELECT DISTINCT a, lower(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1)) || regexp_extract(t, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b
+  FROM targets),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (
+  SELECT a AS node, a AS other FROM both_ways
+  UNION
+  SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+ruled AS (
+  SELECT node, CASE
+      WHEN regexp_matches(split_part(other, '/', 1), '(^|\.)www\.example\.com$') AND substr(other, strpos(other, '/')) LIKE '/en/%' THEN 'allow'
+      WHEN regexp_matches(split_part(other, '/', 1), '(^|\.)example\.com$') AND substr(other, strpos(other, '/')) LIKE '/en/%' THEN 'block'
+      WHEN regexp_matches(split_part(other, '/', 1), '(^|\.)net$') AND regexp_matches(substr(other, strpos(other, '/')), '^/(es|fr)/') THEN 'block'
+      WHEN regexp_matches(split_part(other, '/', 1), '(^|\.)com$') AND strpos(other, '/') > 0 THEN 'allow' END AS said
+  FROM reach),
+aliases AS (
+  SELECT node, CASE WHEN bool_or(said = 'allow') THEN 'allow' WHEN bool_or(said = 'block') THEN 'block' END AS decided
+  FROM ruled GROUP BY node),
+pages_ruled AS (
+  SELECT page_id, host, path, host || path || query AS node, CASE
+      WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM named)
+SELECT page_id, host, path, rule,
+  coalesce(CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END,
+           decided, 'allow') AS verdict,
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN decided IS NOT NULL THEN 'alias' ELSE 'default' END AS by
+FROM pages_ruled p LEFT JOIN aliases a ON p.node = a.node AND p.host <> ''
+"""
+
+ORACLES["op5_chat_formatting"] = r"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+shown AS (
+  SELECT *, length(regexp_replace(role, CONTROL, '\1\\\2\3', 'g')) + length(regexp_replace(text, CONTROL, '\1\\\2\3', 'g'))
+      + 33 AS chars
+  FROM every)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id
+""".replace("CONTROL", "'" + chat_format.CONTROL + "'")
