@@ -7,7 +7,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenetdq.llm import chat_format, decontaminate, exact_dedup, lang_id, near_dedup, orc_tokens, packing, toxicity, url_filter
+from tenetdq.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    lang_id,
+    near_dedup,
+    orc_tokens,
+    packing,
+    secret_scan,
+    toxicity,
+    url_filter,
+)
 from tenetdq.llm.common import table
 from tenetdq.session import scratch_path
 
@@ -26,6 +37,11 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+@query
+def op1_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 @query
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
