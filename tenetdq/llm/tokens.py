@@ -11,31 +11,17 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 import regex
 
-CACHE_PIECES = 250_000         # pieces kept per worker and generation
-CACHE_WORDS = 250_000          # pre-tokens kept per worker and generation
+CACHE_PIECES = 500_000         # pieces kept per worker and generation
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # The published pre-tokenizer pattern of byte-level BPE vocabularies (a fixed value).
 PRE_TOKENS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-class _Generations(dict):
-    """A dict that keeps what was used since the last change of generation."""
-
-    def __init__(self, cap: int):
-        super().__init__()
-        self.cap, self.old = cap, {}
-
-    def turn(self, coming: int) -> None:
-        if len(self) + coming > self.cap:
-            self.old = dict(self)
-            self.clear()
-
-
 class _Letters(dict):
     """How byte-level BPE vocabularies write a character: one printable letter for each byte."""
 
@@ -54,78 +40,81 @@ class _Letters(dict):
 class Encoder:
     """Encodes texts to little-endian 32-bit ids, one ``bytes`` per text."""
 
-    def __init__(self, path: str, pieces: int = CACHE_PIECES, words: int = CACHE_WORDS):
+    def __init__(self, path: str, pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
-        self._model = self._tok.model
+        self._merge = self._tok.model.tokenize
         self._added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._raw = [i.to_bytes(4, "little") for i in range(self._tok.get_vocab_size())]
         self._letters = _Letters()
-        self._pieces, self._words = _Generations(pieces), _Generations(words)
+        self._cap = pieces
+        self._new: dict[str, bytes | bool] = {}      # ids of a space and the piece; False: can't stand alone
+        self._old: dict[str, bytes | bool] = {}      # the generation before
+        self._ends: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self._tok.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def _pre_token(self, part: str) -> bytes:
         """Ids of one pre-token, by the library's merge model."""
-        if word.isascii() and word[0] == " " and word[1:].isalnum():
-            shown = "Ġ" + word[1:]
-        else:
-            shown = "".join(map(self._letters.__getitem__, word))
-        ids = [t.id for t in self._model.tokenize(shown)]
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a space and ``piece``; None when it can't stand apart from its neighbours."""
-        if not piece or piece[0].isspace():
-            return None
-        if piece.isalpha():
-            parts = [" " + piece]
-        elif piece[-1] in ".,|" and piece[:-1].isalpha():
-            parts = [" " + piece[:-1], piece[-1]]
-        else:
-            parts = PRE_TOKENS.findall(" " + piece)
-        words, out = self._words, []
-        for part in parts:
-            ids = words.get(part)
+        shown = "".join(map(self._letters.__getitem__, part))
+        raw = self._raw
+        return b"".join([raw[t.id] for t in self._merge(shown)])
+
+    def _end(self, end: str) -> bytes:
+        ids = self._ends.get(end)
+        if ids is None:
+            if len(self._ends) > 20_000:
+                self._ends.clear()
+            ids = self._ends[end] = self._pre_token(end)
+        return ids
+
+    def _learn(self, missing: list[str]) -> None:
+        if len(self._new) > self._cap:
+            self._old, self._new = self._new, {}
+        new, old, raw, merge = self._new, self._old, self._raw, self._merge
+        for p in missing:
+            ids = old.get(p)
             if ids is None:
-                ids = words[part] = words.old.get(part) or self._word(part)
-            out.append(ids)
-        return b"".join(out)
-
-    def _learn(self, missing: set[str]) -> None:
-        self._pieces.turn(len(missing))
-        self._words.turn(2 * len(missing))
-        for piece in missing:
-            ids = self._pieces.old.get(piece)
-            self._pieces[piece] = self._piece(piece) if ids is None else ids
+                word = p.rstrip(PUNCTUATION)
+                if word.isalpha():                           # one pre-token, perhaps with an end
+                    ids = new.get(word)
+                    if ids is None:
+                        ids = old.get(word)
+                    if ids is None:
+                        ids = (b"".join([raw[t.id] for t in merge("Ġ" + word)]) if word.isascii()
+                               else self._pre_token(" " + word))
+                    if len(word) < len(p):
+                        new[word] = ids
+                        ids += self._end(p[len(word):])
+                elif not p or p[0].isspace():
+                    ids = False
+                else:
+                    ids = b"".join(map(self._end, PRE_TOKENS.findall(" " + p)))
+            new[p] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for start in range(0, len(texts), 128):               # bounds what one call must keep
-            out += self._encode([t or "" for t in texts[start:start + 128]])
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        missing = {p for ps in cut for p in ps[1:]}.difference(self._pieces)
-        if missing:
-            self._learn(missing)
-            late = {p for ps in cut for p in ps[1:]}.difference(self._pieces)
-            if late:                                         # the generation changed
-                self._learn(late)
-        get, out = self._pieces.__getitem__, []
-        for text, ps in zip(texts, cut, strict=True):
-            if any(a in text for a in self._added):
-                out.append(self._whole(text))
-                continue
-            first = self._whole(ps[0]) if ps[0] else b""
+        return [self._encode(t) if t else b"" for t in texts]
+
+    def _encode(self, text: str) -> bytes:
+        for added in self._added:
+            if added in text:
+                return self._whole(text)
+        first, *pieces = text.split(" ")
+        found = list(map(self._new.get, pieces))
+        try:
+            rest = b"".join(found)
+        except TypeError:
+            self._learn([p for p, ids in zip(pieces, found, strict=True) if ids is None])
+            get = self._new.get
+            found = [get(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
             try:
-                out.append(first + b"".join(map(get, ps[1:])))
+                rest = b"".join(found)
             except TypeError:                                # holds an unsafe piece
-                out.append(self._whole(text))
-        return out
+                return self._whole(text)
+        return b"".join(map(self._end, PRE_TOKENS.findall(first))) + rest
 
 
 @lru_cache(maxsize=1)
