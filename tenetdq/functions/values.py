@@ -15,9 +15,11 @@ INFINITIES = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 
 
 def as_text(col: Column, dtype: T.DataType = T.StringType()) -> Column:
-    """Null (and NaN) become the empty string; everything else a stripped string."""
+    """Null (and NaN) become the empty string; everything else a stripped string.
+
+    Both zeros have one text, as they are one value when grouped or joined."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = F.when(~F.isnan(col), col.cast("string"))
+        text = F.when(col == 0, F.lit("0.0")).when(~F.isnan(col), col.cast("string"))
     elif isinstance(dtype, T.BinaryType):
         text = F.hex(col)
     elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
@@ -41,9 +43,12 @@ def as_number(col: Column) -> Column:
 
 
 def number_of(col: Column, dtype: T.DataType) -> Column:
-    """Number of a typed column: numeric types are cast, everything else read from its text."""
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(col), col.cast("double"))
+    """Number of a typed column, always the number its text shows.
+
+    Integers, decimals and doubles give that number by a cast; a float's cast would show digits
+    its text has not, so it is read from the text."""
+    if isinstance(dtype, T.DoubleType):
+        return F.when(col == 0, F.lit(0.0)).when(~F.isnan(col), col)
     if isinstance(dtype, (T.IntegralType, T.DecimalType)):
         return col.cast("double")
     return as_number(as_text(col, dtype))

@@ -5,7 +5,7 @@ import logging
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenetdq.functions.running import running
 from tenetdq.operators.scoring import greatest_of
@@ -107,11 +107,12 @@ def evaluate(clean: Frame, dirty: Frame, make_learner: Callable, name: str = "da
 
 
 def evaluate_all(pairs: dict[str, tuple[Frame, Frame]], make_learner: Callable) -> DataFrame | None:
-    """Results of many datasets; one that fails is logged and skipped."""
+    """Results of many datasets; one that fails is logged and has a row without figures."""
     rows = []
     for name, (clean, dirty) in pairs.items():
         try:
             rows.append(evaluate(clean, dirty, make_learner, name))
         except Exception as exc:
-            LOG.warning("skipped %s: %s: %s", name, type(exc).__name__, exc)
+            LOG.warning("%s failed: %s: %s", name, type(exc).__name__, exc)
+            rows.append(SparkSession.active().createDataFrame([(name, *[None] * 7)], RESULT_SCHEMA))
     return reduce(DataFrame.unionByName, rows) if rows else None

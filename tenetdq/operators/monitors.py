@@ -245,7 +245,7 @@ _MIRROR = {"=": "=", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
 def mirrored(dc: DenialConstraint) -> DenialConstraint:
     """The same constraint with the two rows exchanged."""
     return DenialConstraint(tuple(Predicate(p.right, _MIRROR[p.op], p.left) for p in dc.predicates),
-                            dc.confidence, dc.support)
+                            dc.confidence)
 
 
 def _flag(rows: DataFrame, reference: DataFrame, dc: DenialConstraint, name: str) -> DataFrame:

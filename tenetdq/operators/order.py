@@ -118,6 +118,18 @@ class OrderSpec:
     increasing: bool
     strength: float
 
+    @classmethod
+    def of_rule(cls, rule: DenialConstraint) -> tuple["OrderSpec", list[str]] | None:
+        """The trend a denial constraint forbids to break, and its context columns; None if it compares
+        fewer than two columns by size."""
+        by = rule.columns_by_operator()
+        compared = [(p.left, p.op) for p in rule.predicates if p.op in "<>"]
+        if len(compared) < 2:
+            return None
+        context = by.get("=", [])
+        (x, _), (y, sign) = compared[0], compared[-1]
+        return cls(x, y, context[0] if context else None, sign == "<", rule.confidence), context
+
 
 @dataclass
 class OrderLearner:
@@ -127,7 +139,6 @@ class OrderLearner:
     min_group: int = 30
     min_distinct: int = 5
     max_functional: float = 0.95
-    value_cap: int = 1_000          # distinct values a compared column may have, whatever the identifier bound
     specs: dict[str, OrderSpec] = field(default_factory=dict)
     rules_: list[DenialConstraint] = field(default_factory=list)
 
@@ -135,7 +146,7 @@ class OrderLearner:
             rows: Weighted | None = None) -> "OrderLearner":
         prof = frame.profile
         self.specs, self.rules_ = {}, []
-        num = [c for c in prof.numeric() if prof.cards[c] <= self.value_cap]
+        num = prof.numeric()
         contexts = [c for c in prof.modeling()
                     if prof.kinds[c] != NUMERIC and prof.cards[c] <= self.ctx_cap]
         pairs = [(x, y) for i, x in enumerate(num) for y in num[i + 1:]]

@@ -51,12 +51,12 @@ WIDE = 64      # columns up to which all sketches fit one generated aggregation
 
 
 def sketch(frame: Frame) -> tuple[int, dict[str, int]]:
-    """Rows and approximate cardinalities, from one pass over the source types and no shuffle
+    """Rows and approximate cardinalities of the normalized values, from one pass and no shuffle
     of values. Wide tables sketch value hashes grouped by column instead of column by column."""
     cols = frame.columns
     if len(cols) <= WIDE:
         aggs = [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]
-        row = frame.source.agg(F.count("*").alias("rows"), *aggs).first()
+        row = frame.df.agg(F.count("*").alias("rows"), *aggs).first()
         return row["rows"], {c: row[f"d{i}"] for i, c in enumerate(cols)}
     hashes = F.posexplode(F.array(*[F.xxhash64(F.col(f"`{c}`")) for c in cols])).alias("i", "h")
     got = {r["i"]: r for r in frame.df.select(hashes).groupBy("i").agg(

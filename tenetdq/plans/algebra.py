@@ -5,7 +5,6 @@ Only attribute names are handled here; every row-level step is in ``operators.de
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 from typing import Iterable
 
 Dep = tuple[frozenset, str]
@@ -44,18 +43,27 @@ def cover(deps: list[Dep]) -> list[Dep]:
     return kept
 
 
-def keys(attrs: Iterable[str], deps: list[Dep], max_extra: int = 4, limit: int = 16) -> list[frozenset]:
-    """Smallest attribute sets that determine all of ``attrs`` (bounded search)."""
+def keys(attrs: Iterable[str], deps: list[Dep]) -> list[frozenset]:
+    """All minimal attribute sets that determine ``attrs``, by size, then by name.
+
+    The full set is minimized to a first key. If a key holds what a dependency determines, swapping that for
+    the dependency's left side gives a superkey; minimizing those until nothing new appears yields every key.
+    """
     full = frozenset(attrs)
-    core = full - {r for _, r in deps}
-    if closure(core, deps) >= full:
-        return [core]
-    extra = sorted(full - core)
-    for size in range(1, min(max_extra, len(extra)) + 1):
-        hits = [core | set(c) for c in combinations(extra, size) if closure(core | set(c), deps) >= full]
-        if hits:
-            return hits[:limit]
-    return [full]
+
+    def minimized(wide: frozenset) -> frozenset:
+        for a in sorted(wide):
+            if closure(wide - {a}, deps) >= full:
+                wide -= {a}
+        return wide
+
+    found = [minimized(full)]
+    for key in found:                                        # grows while it is read
+        for lhs, rhs in deps:
+            swapped = lhs | (key - {rhs})
+            if rhs in key and not any(k <= swapped for k in found):
+                found.append(minimized(swapped))
+    return sorted(found, key=lambda k: (len(k), sorted(k)))
 
 
 def normal_form(attrs: Iterable[str], deps: list[Dep], found: list[frozenset]) -> str:

@@ -23,11 +23,11 @@ def _capped(df: DataFrame, nrows: int | None, sample: float | None = None, seed:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", nrows: int | None = None,
-             multiline: bool = False, sample: float | None = None) -> DataFrame:
+             multiline: bool = True, sample: float | None = None) -> DataFrame:
     """Delimited text with a header; all columns strings, NA tokens null, no inference pass.
 
-    Files are split across tasks; ``multiline`` allows line breaks inside quotes at the price
-    of one task per file.
+    Line breaks inside quotes are read as text, which takes one task per file; for files known to
+    have none, ``multiline=False`` splits them across tasks.
     """
     df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multiline,
                         nullValue="", inferSchema=False)
@@ -56,12 +56,26 @@ def read_parquet(spark: SparkSession, path: str, nrows: int | None = None,
 
 
 def _first_keys(spark: SparkSession, path: str) -> list[str]:
-    """Key order of the first record, from the first lines of the file."""
-    head = "\n".join(r[0] for r in spark.read.text(path).take(200)).lstrip().lstrip("[").lstrip()
-    try:
-        return list(json.JSONDecoder().raw_decode(head)[0])
-    except (ValueError, TypeError):
-        return []
+    """Key order of the first record, however many lines it takes.
+
+    Lines are streamed from the front until the first object closes."""
+    depth, quoted, escaped, record = 0, False, False, []
+    for (line,) in spark.read.text(path).toLocalIterator():
+        for c in line + "\n":
+            if depth or c == "{":
+                record.append(c)
+            if quoted:
+                quoted, escaped = escaped or c != '"', not escaped and c == "\\"
+            elif c == '"':
+                quoted = depth > 0
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    try:
+                        return list(json.loads("".join(record)))
+                    except ValueError:
+                        return []
+    return []
 
 
 def read_json(spark: SparkSession, path: str, lines: bool | None = None, nrows: int | None = None,

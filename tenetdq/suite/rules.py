@@ -10,7 +10,7 @@ from tenetdq.operators import repair as rp
 from tenetdq.operators.fd import learn_simple
 from tenetdq.operators.scoring import fd_cell_scores
 from tenetdq.plans.algebra import RelationSpec
-from tenetdq.plans.constraints import DenialConstraint, FunctionalDependency, LinearConstraint, Predicate
+from tenetdq.plans.constraints import DenialConstraint, FunctionalDependency, LinearConstraint, Predicate, denial_of
 from tenetdq.plans.frame import Frame
 from tenetdq.session import scratch_path
 from tenetdq.suite import fixtures as fx
@@ -94,7 +94,7 @@ def order_dc_monitor_orders(spark, sf_dir):
 @query("generic_dc_monitor", "WITH " + fx.GEO + """
 SELECT * FROM geo a WHERE EXISTS (SELECT 1 FROM geo b WHERE a.nationkey = b.nationkey AND a.nation_name <> b.nation_name)""")
 def generic_dc_monitor(spark, sf_dir):
-    return mo.dc_monitor(fx.geo(spark, sf_dir), NAME_FD.to_dc())
+    return mo.dc_monitor(fx.geo(spark, sf_dir), denial_of(NAME_FD))
 
 
 @query("generic_dc_cross", "WITH " + fx.SUMMED + f"""

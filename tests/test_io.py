@@ -78,7 +78,8 @@ def test_mask_and_evaluation(spark):
     mask = ev.error_mask(dirty, clean)
     assert mask.where("continent").count() == 20 and mask.where("country").count() == 0
     row = ev.evaluate_all({"d": (clean, dirty), "bad": (None, None)}, lambda: FdLearner(max_lhs=1)).collect()
-    assert len(row) == 1 and row[0]["cell_auroc"] > 0.8 and row[0]["tuple_auroc"] > 0.8
+    assert [r["dataset"] for r in row] == ["d", "bad"] and row[1]["cell_auroc"] is None
+    assert row[0]["cell_auroc"] > 0.8 and row[0]["tuple_auroc"] > 0.8
     assert row[0]["error_rate"] == pytest.approx(20 / 400)
     with pytest.raises(ValueError):
         ev.error_mask(countries(spark), clean)

@@ -3,7 +3,7 @@ import pytest
 from tenetdq.operators.decompose import Schema
 from tenetdq.plans import algebra as al
 from tenetdq.plans.constraints import FunctionalDependency as FD
-from tenetdq.plans.constraints import LinearConstraint, Predicate, Rule, active, expert_fd, slug
+from tenetdq.plans.constraints import LinearConstraint, Predicate, Rule, active, denial_of, expert_fd, slug
 
 
 def deps(*pairs):
@@ -19,7 +19,7 @@ def test_rule_text():
 
 
 def test_fd_as_denial_constraint():
-    dc = FD(("a", "b"), "c", 0.9).to_dc()
+    dc = denial_of(FD(("a", "b"), "c", 0.9))
     assert [p.op for p in dc.predicates] == ["=", "=", "!="]
     assert dc.confidence == 0.9 and dc.attributes == {"a", "b", "c"}
 
