@@ -17,7 +17,7 @@ WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 def settled(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and go on from the files."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

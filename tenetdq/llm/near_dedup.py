@@ -4,7 +4,7 @@ Documents are sets of word shingles; two are linked when the Jaccard similarity
 
 1. One pass gives every document its word-sequence digest, set size, signature and band values.
    Documents with equal word sequences form a class and go on as one representative.
-2. *Star candidates.* In each band bucket the smallest key is compared with every other member: one
+2. *Star candidates.* In each band bucket the smallest member is compared with every other member: one
    candidate per member, not per pair.
 3. *Verification.* Candidates whose set sizes rule the threshold out go. Signatures are then compared
    batch by batch; with a uniform prior, the chance that the similarity reaches the threshold after m
@@ -12,7 +12,8 @@ Documents are sets of word shingles; two are linked when the Jaccard similarity
    below ``miss``. Survivors are verified on the full sets, so no link is ever a guess.
 4. *Rest.* Within a bucket, pairs inside one component need no test. Members outside the
    bucket's largest component are compared with all others, in blocks of at most ``BLOCK`` rows a side,
-   inside Arrow tasks that emit survivors only. So every pair that shares a bucket is either tested
+   by signatures and then on full sets inside Arrow tasks, which emit only links that join two
+   components. So every pair that shares a bucket is either tested
    or already connected, no bucket is capped, and a big group of copies makes a linear number of rows.
 
 With 25 bands of 5 hashes a pair at similarity 0.85 shares no bucket with a chance of 4e-7.
@@ -191,17 +192,17 @@ def _verified(shingle: int, threshold: float):
 
 
 def _block_survivors(threshold: float):
-    """Group function: pairs of a block of outsiders with a block of all members."""
+    """Group function: the rows of a block of outsiders and a block of members that have a partner
+    which sizes and signatures don't rule out."""
     least = least_matches(threshold)
     cut = round(threshold * 100)
 
     def compare(group: pa.Table) -> pa.Table:
-        keys = np.array(group["key"].to_pylist(), object)
-        labels = np.array(group["label"].to_pylist(), object)
+        keys, labels = group["ref"].to_numpy(), group["label"].to_numpy()
         n, out = group["n_shingles"].to_numpy(), group["outside"].to_numpy(zero_copy_only=False)
         sig = _signatures(group["sig"].to_pylist())
         a, b = np.flatnonzero(out), np.flatnonzero(~out)
-        found: list[tuple] = []
+        partnered = np.zeros(len(keys), bool)
         for i in a.tolist():
             alive = b[(labels[b] != labels[i]) & (keys[b] != keys[i])]
             alive = alive[100 * np.minimum(n[alive], n[i]) >= cut * np.maximum(n[alive], n[i])]
@@ -209,49 +210,107 @@ def _block_survivors(threshold: float):
             for k, at in enumerate(range(0, HASHES, BATCH)):
                 hits[alive] += (sig[alive, at:at + BATCH] == sig[i, at:at + BATCH]).sum(axis=1)
                 alive = alive[hits[alive] >= least[k]]
-            found += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in alive.tolist()]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.string()),
-                         "b": pa.array([y for _, y in found], pa.string())})
+            partnered[alive] = True
+            partnered[i] |= len(alive) > 0
+        return group.select(["bucket", "block", "out_block", "ref", "label", "outside"]).filter(pa.array(partnered))
 
     return compare
 
 
-def _links(pairs: DataFrame, reps: DataFrame, described: DataFrame, shingle: int, threshold: float,
-           signed: bool = False) -> DataFrame:
-    """Pairs (a, b) that are true links. ``signed``: signatures were compared already."""
-    if not signed:
-        side = reps.select("key", "n_shingles", "sig")
-        left = side.select(F.col("key").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sig_a"))
-        right = side.select(F.col("key").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sig_b"))
-        pairs = settled(pairs.join(left, "a").join(right, "b")
-                        .mapInArrow(_survivors(threshold), "a string, b string"), "near-survivors")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    refs = wanted.join(reps.select("key", "ref"), "key").select("ref", "key")
-    texts = described.select("ref", "text").join(refs, "ref").select("key", "text")
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of incidence blocks."""
+    def indexed(sets):
+        return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+
+    (la, va), (lb, vb) = indexed(left), indexed(right)
+    both = np.intersect1d(va, vb)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), 4096):
+        part = both[at:at + 4096]
+        tiles = []
+        for rows, values, n in ((la, va, len(left)), (lb, vb, len(right))):
+            place = np.searchsorted(part, values)
+            place[place == len(part)] = 0
+            hit = part[place] == values
+            tile = np.zeros((n, len(part)), np.float32)
+            tile[rows[hit], place[hit]] = 1
+            tiles.append(tile)
+        out += tiles[0] @ tiles[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(shingle: int, threshold: float):
+    """Group function: links on full sets between the two blocks that join components not joined yet."""
+    cut = round(threshold * 100)
+
+    def compare(group: pa.Table) -> pa.Table:
+        keys, labels = group["ref"].to_pylist(), group["label"].to_pylist()
+        sets = {}
+        for key, text in zip(keys, group["text"].to_pylist(), strict=True):
+            if key not in sets:
+                sets[key] = shingle_set(word_list(text), shingle)
+        out = group["outside"].to_pylist()
+        a = [i for i, o in enumerate(out) if o]
+        b = [i for i, o in enumerate(out) if not o]
+        found: list[tuple[int, int]] = []
+        if a and b:
+            both = shared_counts([sets[keys[i]] for i in a], [sets[keys[i]] for i in b])
+            na = np.array([len(sets[keys[i]]) for i in a])[:, None]
+            nb = np.array([len(sets[keys[i]]) for i in b])[None, :]
+            above: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while above.get(x, x) != x:
+                    above[x] = above.get(above[x], above[x])
+                    x = above[x]
+                return x
+
+            for i, j in np.argwhere(100 * both >= cut * (na + nb - both)).tolist():
+                i, j = a[i], b[j]
+                ri, rj = root(labels[i]), root(labels[j])
+                if ri != rj:
+                    above[max(ri, rj)] = min(ri, rj)
+                    found.append((keys[i], keys[j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()),
+                         "b": pa.array([y for _, y in found], pa.int64())})
+
+    return compare
+
+
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) that are true links."""
+    side = reps.select("ref", "n_shingles", "sig")
+    left = side.select(F.col("ref").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sig_a"))
+    right = side.select(F.col("ref").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sig_b"))
+    pairs = settled(pairs.join(left, "a").join(right, "b")
+                    .mapInArrow(_survivors(threshold), "a long, b long"), "near-survivors")
+    left = texts.select(F.col("ref").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("ref").alias("b"), F.col("text").alias("text_b"))
     return settled(pairs.join(left, "a").join(right, "b")
-                   .mapInArrow(_verified(shingle, threshold), "a string, b string"), "near-links")
+                   .mapInArrow(_verified(shingle, threshold), "a long, b long"), "near-links")
 
 
 def class_components(described: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Per class of equal word sequences: key, component_id and component_ref of the row that stays."""
+    """Per class of equal word sequences: key, component_id and component_ref of the row that stays.
+
+    A class is represented by its first row and named by that row's ref."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref")).alias("first")
     reps = settled(
         described.where("key is not null").groupBy("key").agg(
             first, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
             F.first("bands").alias("bands")).select("key", "first", F.col("first.ref").alias("ref"),
                                                     "n_shingles", "sig", "bands"), "near-classes")
-    rows = reps.select(F.explode("bands").alias("bucket"), "key")
-    buckets = rows.groupBy("bucket").agg(F.min("key").alias("center"), F.count("*").alias("m")).where("m > 1")
+    rows = reps.select(F.explode("bands").alias("bucket"), "ref")
+    buckets = rows.groupBy("bucket").agg(F.min("ref").alias("center"), F.count("*").alias("m")).where("m > 1")
     shared = settled(rows.join(buckets, "bucket"), "near-buckets")
-    stars = shared.where("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct()
-    links = _links(stars, reps, described, shingle, threshold)
+    texts = settled(described.select("ref", "text").join(shared.select("ref").distinct(), "ref"), "near-texts")
+    stars = shared.where("ref <> center").select(F.col("center").alias("a"), F.col("ref").alias("b")).distinct()
+    links = _links(stars, reps, texts, shingle, threshold)
     labels = components(links)
 
     # members outside the largest component of a bucket with three or more, against all others
-    open_rows = shared.where("m > 2").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
-        "bucket", "key", F.coalesce("label", "key").alias("label"))
+    open_rows = shared.where("m > 2").join(labels.withColumnRenamed("node", "ref"), "ref", "left").select(
+        "bucket", "ref", F.coalesce("label", "ref").alias("label"))
     sizes = open_rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(
         F.max(F.struct("n", "label")).getField("label").alias("main"), F.sum("n").alias("members"),
@@ -260,23 +319,25 @@ def class_components(described: DataFrame, shingle: int, threshold: float) -> Da
     if not mixed.isEmpty():
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         out_blocks = F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int")
-        place = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-        inner = mixed.select("bucket", "key", "label", F.lit(False).alias("outside"),
+        place = F.pmod(F.xxhash64("ref"), F.lit(1 << 30))
+        inner = mixed.select("bucket", "ref", "label", F.lit(False).alias("outside"),
                              (place % blocks).cast("int").alias("block"),
                              F.explode(F.sequence(F.lit(0), out_blocks - 1)).alias("out_block"))
         outer = mixed.where("label <> main").select(
-            "bucket", "key", "label", F.lit(True).alias("outside"),
+            "bucket", "ref", "label", F.lit(True).alias("outside"),
             F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), (place % out_blocks).cast("int").alias("out_block"))
-        tiles = inner.unionByName(outer).join(reps.select("key", "n_shingles", "sig"), "key")
-        late = tiles.groupBy("bucket", "block", "out_block").applyInArrow(
-            _block_survivors(threshold), "a string, b string").distinct()
-        late = settled(late, "near-late")
-        if not late.isEmpty():
-            more = _links(late, reps, described, shingle, threshold, signed=True)
+        tiles = inner.unionByName(outer).join(reps.select("ref", "n_shingles", "sig"), "ref")
+        tile = ["bucket", "block", "out_block"]
+        partnered = settled(tiles.groupBy(*tile).applyInArrow(
+            _block_survivors(threshold),
+            "bucket long, block int, out_block int, ref long, label long, outside boolean"), "near-partnered")
+        if not partnered.isEmpty():
+            more = partnered.join(texts, "ref").groupBy(*tile).applyInArrow(
+                _block_links(shingle, threshold), "a long, b long")
             labels = components(links.unionByName(more))
 
-    named = reps.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "first", F.coalesce("label", "key").alias("label"))
+    named = reps.select("key", "ref", "first").join(labels.withColumnRenamed("node", "ref"), "ref", "left").select(
+        "key", "first", F.coalesce("label", "ref").alias("label"))
     heads = named.groupBy("label").agg(F.min("first").alias("head"))
     return named.join(heads, "label").select(
         "key", F.col("head.doc_id").alias("component_id"), F.col("head.ref").alias("component_ref"))
