@@ -63,14 +63,14 @@ def _classes(value: Column) -> Column:
 
 def _pairs(value: Column) -> Column:
     """Places of a value's character pairs in a square table over :data:`ALPHABET`."""
-    shown = _classes(value)
     n = len(ALPHABET)
 
     def place(c: Column) -> Column:
         return F.when(c == "A", n - 3).when(c == "0", n - 2).when(c == "-", n - 1).otherwise(F.ascii(c) - F.lit(97))
 
-    return F.transform(F.sequence(F.lit(1), F.length(shown) - 1), lambda i: (
-        place(F.substr(shown, i, F.lit(1))) * n + place(F.substr(shown, i + 1, F.lit(1)))).cast("int"))
+    codes = F.transform(F.split(_classes(value), ""), place)
+    pairs = F.length(value) - F.lit(1)
+    return F.zip_with(F.slice(codes, F.lit(1), pairs), F.slice(codes, F.lit(2), pairs), lambda a, b: (a * n + b).cast("int"))
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
