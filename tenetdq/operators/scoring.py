@@ -67,17 +67,18 @@ def tuple_scores(scores: DataFrame, columns: Sequence[str]) -> DataFrame:
     return scores.select(ROW_ID, greatest_of([F.col(f"`{c}`") for c in columns]).alias("score"))
 
 
-def score_rows(frame: Frame, rules: Sequence[Constraint], cells: FdCells | None = None) -> DataFrame:
+def score_rows(frame: Frame, rules: Sequence[Constraint]) -> DataFrame:
     """``frame`` plus ``score`` and the ``rule`` that first reached it.
 
-    Dependencies score 1 - count(cell)/count(group) over the whole table; a broken linear
+    Dependencies score 1 - count(cell)/count(group), counted on ``frame`` itself; rows are scored against
+    statistics of another table by ``streaming.stream.score_stream``, static frames included. A broken linear
     rule scores 1 (text that is no number counts as 0 here). Order constraints take no part.
     """
     fds, linear, _ = split(rules)
     rows = frame.numeric_rows({c for r in linear for c in r.attributes}) if linear else frame.df
     names, parts = [], []
     if fds:
-        rows = with_violations(rows, cells or count_cells(frame, fds))
+        rows = with_violations(rows, count_cells(frame, fds))
         parts += [F.col(f"__v{i}") for i in range(len(fds))]
         names += [str(fd) for fd in fds]
     for r in linear:

@@ -1,6 +1,8 @@
 """Session settings and the durable scratch area shared by every operator."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a temporary folder: on a cluster a machine-local
-    path would be lost together with its executor.
+    path would be lost together with its executor. That folder goes when the driver's process ends.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if named:
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
     local = tempfile.mkdtemp(prefix="tenetdq-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir()
 
