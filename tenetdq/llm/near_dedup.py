@@ -301,7 +301,9 @@ def class_components(described: DataFrame, shingle: int, threshold: float) -> Da
             F.first("bands").alias("bands")).select("key", "first", F.col("first.ref").alias("ref"),
                                                     "n_shingles", "sig", "bands"), "near-classes")
     rows = reps.select(F.explode("bands").alias("bucket"), "ref")
-    buckets = rows.groupBy("bucket").agg(F.min("ref").alias("center"), F.count("*").alias("m")).where("m > 1")
+    # settled, so that the join below has two plain sides and a hot bucket's rows can be split
+    buckets = settled(rows.groupBy("bucket").agg(F.min("ref").alias("center"), F.count("*").alias("m")).where("m > 1"),
+                      "near-centers")
     shared = settled(rows.join(buckets, "bucket"), "near-buckets")
     texts = settled(described.select("ref", "text").join(shared.select("ref").distinct(), "ref"), "near-texts")
     stars = shared.where("ref <> center").select(F.col("center").alias("a"), F.col("ref").alias("b")).distinct()
@@ -315,6 +317,7 @@ def class_components(described: DataFrame, shingle: int, threshold: float) -> Da
     largest = sizes.groupBy("bucket").agg(
         F.max(F.struct("n", "label")).getField("label").alias("main"), F.sum("n").alias("members"),
         F.count("*").alias("labels"), F.max("n").alias("most")).where("labels > 1")
+    largest = settled(largest, "near-largest")
     mixed = settled(open_rows.join(largest, "bucket"), "near-mixed")
     if not mixed.isEmpty():
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
