@@ -35,7 +35,7 @@ LITERALS = 4
 COVERAGE = 0.5
 RUN = 20
 FILTER_BITS = 1 << 22
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 CLOSING, ENDS = "\"')]”’»", frozenset(".!?:…|")
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
 MARKS = [0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333, 0]

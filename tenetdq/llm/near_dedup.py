@@ -43,7 +43,7 @@ HASHES = BANDS * BAND_ROWS
 BATCH = 25                     # signature entries compared at a time
 MISS = 1e-6                    # chance at which a candidate is given up
 BLOCK = 512
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
