@@ -1,21 +1,23 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: tokens are lower-cased words without outer punctuation; numbers, names (capitalised
-words that do not begin a sentence) and units (after a number) are replaced by typed placeholders. Windows of
-``WINDOW`` template tokens with at least ``LITERALS`` literal ones are joined by hash with those of the
-benchmark; each match brings the values that fill its slots. Matches of one item on one diagonal of a
-text form an alignment, which counts when
-
-* its windows cover at least ``COVERAGE`` of the item's windows, or ``RUN`` of them, and
+Texts become templates: tokens are lower-cased words without outer punctuation; numbers, names (runs of
+capitalised words) and units (after a number) are replaced by typed placeholders. A capitalised word that begins a
+sentence may or may not be a name, so each text has two readings: it is literal in the one and a name in the other.
+Windows of ``WINDOW`` template tokens with at least ``LITERALS`` literal ones are joined by hash with those of the
+benchmark; each match brings the values that fill its slots. Matches of one item that follow each other in item and text
+form an alignment; from one match to the next at most ``WINDOW`` words may be inserted or left out. It counts when
+
+* it covers at least ``COVERAGE`` of the item's windows, or ``RUN`` windows match; windows between two matches that
+  leave at most one word of the item between them are covered too, for they are lost by the edit of that word; and
 * its slots are consistent: one benchmark value always stands for the same value in the text, so a
   question with other numbers, names or units is caught and a mere patchwork of templates is not.
 
 A pre-filter of fixed size (``FILTER_BITS``, whatever the benchmark's size) keeps windows that
-occur in no item from being shuffled; the exact join follows. Items with equal templates are
-matched once, by their smallest id, and listed together.
+occur in no item from being shuffled; the exact join follows. Items with equal templates are matched once and listed together.
 
 Defined cases: null, empty or wordless texts match nothing; an item shorter than a window is one window; an
-item without enough literals can't be matched; repeated rows are each judged by their text.
+item without enough literals can't be matched; repeated rows are each judged by their text. Words on the outer
+side of an edit count only where they fill a window, so an edit near an item's end, or the middle word of one of 15, can hide it.
 """
 from __future__ import annotations
 
@@ -38,6 +40,7 @@ FILTER_BITS = 1 << 22
 WORD_CACHE = 200_000
 CLOSING, ENDS = "\"')]”’»", frozenset(".!?:…|")
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
+PLAIN, STARTS = range(2)       # readings: sentence starts are literal, or names
 MARKS = [0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333, 0]
 # Unit words that may follow a number.
 UNITS = set("""mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms
@@ -77,33 +80,42 @@ class _Words(dict):
 _words = _Words()
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of a text, the template token of each as a hash, and its kind (0 for literals)."""
+def words_of(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a text, the literal hash and kind of each, and whether it begins a sentence."""
     global _words
     if len(_words) > WORD_CACHE:
         _words = _Words()
     raw = (text or "").split()
     if not raw:
-        return [], np.empty(0, np.uint64), np.empty(0, np.int8)
+        return [], np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, bool)
     at = np.fromiter(map(_words.__getitem__, raw), np.int64, len(raw))
     hashes, kinds, ends = _words.hash[at], _words.kind[at], _words.ends[at]
     used = np.flatnonzero(kinds != NOTHING)
     starts = np.append(True, ends[:-1])[used]                  # what stood before ends a sentence
-    hashes, kinds = hashes[used], kinds[used].copy()
-    kinds[(kinds == NAME) & starts] = LITERAL
-    after_number = np.append(False, kinds[:-1] == NUMBER) if len(kinds) else np.empty(0, bool)
+    return [raw[i] for i in used.tolist()], hashes[used], kinds[used], starts
+
+
+def template(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray, reading: int) -> tuple[np.ndarray, ...]:
+    """Template tokens as hashes, their kinds (0 for literals), and the word where each begins, with the end."""
+    if not len(kinds):
+        return hashes, np.zeros_like(kinds), np.arange(len(kinds) + 1)
+    kinds = kinds.copy()
+    if reading == PLAIN:
+        kinds[(kinds == NAME) & starts] = LITERAL
+    after_number = np.append(False, kinds[:-1] == NUMBER)
     kinds[(kinds == UNIT) & ~after_number] = LITERAL
-    marks = np.array(MARKS, np.uint64)[kinds]
-    return [raw[i] for i in used.tolist()], np.where(kinds == LITERAL, hashes, marks), kinds
+    name = kinds == NAME
+    at = np.flatnonzero(~(name & np.append(False, name[:-1]) & ~starts))        # a run of names is one token
+    kinds = kinds[at]
+    return np.where(kinds == LITERAL, hashes[at], np.array(MARKS, np.uint64)[kinds]), kinds, np.append(at, len(name))
 
 
-def window_hashes(tokens: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each window with enough literals; a shorter text is one window."""
-    size = min(WINDOW, len(tokens))
-    if not size:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+def window_hashes(tokens: np.ndarray, kinds: np.ndarray, reading: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each window of ``size`` tokens that has enough literals."""
     n = len(tokens) - size + 1
-    h = np.full(n, np.uint64(size))
+    if n < 1 or not size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h = np.full(n, np.uint64(size + 256 * reading))
     literal = np.append(0, np.cumsum(kinds == LITERAL))
     for k in range(size):
         h = (h ^ tokens[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -116,26 +128,48 @@ def _bit(hashes: np.ndarray) -> np.ndarray:
     return (hashes.astype(np.uint64) >> np.uint64(11)).astype(np.int64) & (FILTER_BITS - 1)
 
 
-def _slots(words: list[str], kinds: np.ndarray, start: int) -> list[str]:
-    return [words[i].strip(OUTER).lower() for i in range(start, min(start + WINDOW, len(words))) if kinds[i] != LITERAL]
+def _slots(words: list[str], kinds: np.ndarray, at: np.ndarray, start: int, end: int) -> list[str]:
+    """Values of the placeholders among the tokens from ``start`` to ``end``."""
+    return [" ".join(w.strip(OUTER).lower() for w in words[at[i]:at[i + 1]])
+            for i in (start + np.flatnonzero(kinds[start:end] != LITERAL)).tolist()]
+
 
+ITEM_WINDOWS = pa.schema([
+    ("item_id", pa.int64()), ("head", pa.string()), ("hash", pa.int64()), ("pos", pa.int32()), ("rank", pa.int32()),
+    ("base", pa.int32()), ("classes", pa.list_(pa.int32())), ("size", pa.int32()), ("n_windows", pa.int32()),
+    ("n_tokens", pa.int32()), ("n_slots", pa.int32()), ("reading", pa.int32()), ("values", pa.list_(pa.string()))])
+ITEM_SCHEMA = ("item_id long, head string, hash long, pos int, rank int, base int, classes array<int>, size int, n_windows int, "
+               "n_tokens int, n_slots int, reading int, values array<string>")
+FOUND = pa.schema([
+    ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text_bytes", pa.int64()), ("ref", pa.int64()), ("head", pa.string()),
+    ("matched", pa.int32()), ("n_windows", pa.int32()), ("first", pa.int32()), ("last", pa.int32()),
+    ("values", pa.list_(pa.string()))])
 
-WINDOWS = "hash long, pos int, slots array<string>, n_windows int"
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of both readings of each item; the first one of a reading has all slot values."""
     for b in batches:
         rows = []
         for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words, tokens, kinds = template(text)
-            starts, hashes = window_hashes(tokens, kinds)
-            whole = xxhash.xxh3_128_hexdigest(tokens.tobytes())
-            rows += [(item, whole, int(h), int(s), _slots(words, kinds, s), len(starts))
-                     for s, h in zip(starts, hashes, strict=True)]
-        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
-        kinds_of = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_of, strict=True)],
-                                         ["item_id", "template", "hash", "pos", "slots", "n_windows"])
+            words, *parts = words_of(text)
+            for reading in (PLAIN, STARTS):
+                tokens, kinds, at = template(*parts, reading)
+                size = min(WINDOW, len(tokens))
+                starts, hashes = window_hashes(tokens, kinds, reading, size)
+                values = _slots(words, kinds, at, 0, len(tokens))
+                first: dict[str, int] = {}
+                classes = [first.setdefault(v, k) for k, v in enumerate(values)]
+                head = xxhash.xxh3_128_hexdigest(bytes([reading]) + tokens.tobytes())
+                base = np.append(0, np.cumsum(kinds != LITERAL)).tolist()
+                rows += [(item, head, h, s, rank, base[s], classes[base[s]:base[s + size]], size, len(starts), len(tokens),
+                          len(values), reading, None if rank else values)
+                         for rank, (s, h) in enumerate(zip(starts.tolist(), hashes.tolist(), strict=True))]
+        yield _batch(rows, ITEM_WINDOWS)
 
 
 def _text_windows(bits: bytes):
@@ -145,35 +179,108 @@ def _text_windows(bits: bytes):
         for b in batches:
             rows = []
             for i, text in enumerate(b.column("text").to_pylist()):
-                words, tokens, kinds = template(text)
-                starts, hashes = window_hashes(tokens, kinds)
-                for at in np.flatnonzero(known[_bit(hashes)]).tolist():
-                    s = int(starts[at])
-                    rows.append((i, part + seen + i, int(hashes[at]), s, _slots(words, kinds, s)))
+                words, *parts = words_of(text)
+                for reading in (PLAIN, STARTS):
+                    tokens, kinds, at = template(*parts, reading)
+                    size = min(WINDOW, len(tokens))
+                    starts, hashes = window_hashes(tokens, kinds, reading, size)
+                    for k in np.flatnonzero(known[_bit(hashes)]).tolist():
+                        s = int(starts[k])
+                        rows.append((i, part + seen + i, int(hashes[k]), s, _slots(words, kinds, at, s, s + size),
+                                     int(at[s]), int(at[s + size]) - 1))
             seen += b.num_rows
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(5)]
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
             row = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(row), b.column("text_hash").take(row), b.column("text_bytes").take(row),
                  pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()),
-                 pa.array(cols[4], pa.list_(pa.string()))],
-                ["doc_id", "text_hash", "text_bytes", "ref", "hash", "doc_pos", "doc_slots"])
+                 pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int32())],
+                ["doc_id", "text_hash", "text_bytes", "ref", "hash", "doc_pos", "doc_slots", "first", "last"])
 
     return find
 
 
+class _Alignments:
+    """Alignments of one item in one text from its matches in text order.
+
+    Each diagonal (place in the text less place in the item) has a chain of its own matches and the best chain that ends
+    on it and may come from near diagonals. A chain's node: previous node, match, number of matches, windows covered."""
+
+    def __init__(self, n_windows: int, n_tokens: int, n_slots: int):
+        self.n_windows, self.n_slots, self.reach = n_windows, n_slots, n_tokens + 2 * WINDOW
+        self.own, self.any, self.best, self.edge = {}, {}, None, 0
+
+    def add(self, m: tuple) -> None:
+        doc_pos, pos = m[:2]
+        if doc_pos >= self.edge:
+            self.close(doc_pos - self.reach)
+            self.edge = doc_pos + self.reach
+        diagonal = doc_pos - pos
+        self.own[diagonal] = self._after(self.own.get(diagonal), m)
+        near = [self.any.get(diagonal + k) for k in (0, *(s * j for j in range(1, WINDOW + 1) for s in (1, -1)))]
+        near = [self._after(c, m) for c in near if c and c[1][1] < pos and c[1][0] < doc_pos]
+        self.any[diagonal] = max(near, key=lambda c: c[3]) if near else self._after(None, m)
+
+    @staticmethod
+    def _after(chain: tuple | None, m: tuple) -> tuple:
+        if chain is None:
+            return None, m, 1, 1
+        last = chain[1]
+        bridged = m[1] - last[1] <= m[3] + 1                   # at most one word of the item lies between
+        return chain, m, chain[2] + 1, chain[3] + (m[2] - last[2] if bridged else 1)
+
+    def close(self, before: int) -> None:
+        """Judge and forget the chains that ended before a place of the text."""
+        for chains in (self.own, self.any):
+            for d in [d for d, c in chains.items() if c[1][0] < before]:
+                self._judge(chains.pop(d))
+
+    def _judge(self, chain: tuple) -> None:
+        _, _, matched, covered = chain
+        if covered < COVERAGE * self.n_windows and matched < RUN:
+            return
+        said, values, first, last = {}, [""] * self.n_slots, None, chain[1][8]
+        while chain:
+            chain, (_, _, _, _, base, classes, slots, first, end), _, _ = chain
+            last = max(last, end)
+            for k, (c, v) in enumerate(zip(classes, slots, strict=True), base):
+                if said.setdefault(c, v) != v or values[k] not in ("", v):
+                    return
+                values[k] = v
+        self.best = max(self.best or (0,), (matched, self.n_windows, first, last, values))
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best alignment that counts of each text and item; rows come sorted by text, item and place in the text."""
+    key, state = None, None
+
+    def done() -> list[tuple]:
+        if state is None:
+            return []
+        state.close(1 << 62)
+        return [(*key, *state.best)] if state.best else []
+
+    for b in batches:
+        rows = []
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[:5] != key:
+                rows += done()
+                key, state = r[:5], _Alignments(*r[14:17])
+            state.add(r[5:14])
+        yield _batch(rows, FOUND)
+    yield _batch(done(), FOUND)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Alignments that count: doc_id, item_ids, matched, n_windows, first and last token place,
+    """Alignments that count: doc_id, item_ids, matched, n_windows, first and last word place,
     reparameterised, and text_hash and text_bytes, which name the text whatever its id."""
     spark = docs.sparkSession
     bounded_batches(spark)
     items = settled(benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _item_windows, "item_id long, template string, " + WINDOWS), "item-windows")
-    same = items.groupBy("template").agg(F.min("item_id").alias("head"),
-                                         F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    heads = items.join(same.select("template", F.col("head").alias("item_id")), ["template", "item_id"]).dropDuplicates(
-        ["template", "pos"])
+        _item_windows, ITEM_SCHEMA), "item-windows")
+    heads = items.drop("item_id", "values", "reading").dropDuplicates(["head", "pos"])
+    named = items.where("rank = 0").select("head", "item_id", "values")
     place = F.shiftright(F.col("hash"), 11).bitwiseAND(F.lit(FILTER_BITS - 1))
     words = items.select(F.shiftright(place, 3).cast("int").alias("at"), (place % 8).cast("int").alias("bit")).groupBy(
         "at").agg(F.bit_or(F.expr("shiftright(128, bit)")).alias("byte")).collect()  # FILTER_BITS / 8 rows at most
@@ -185,22 +292,27 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     src = src.select("doc_id", "text", F.xxhash64("text").alias("text_hash"),
                      F.octet_length("text").cast("long").alias("text_bytes"))
     found = src.mapInArrow(_text_windows(bytes(bits)), "doc_id long, text_hash long, text_bytes long, ref long, "
-                                                       "hash long, doc_pos int, doc_slots array<string>")
-    joined = settled(found, "text-windows").join(heads, "hash")
-    pairs = F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b"))
-    aligned = joined.where(F.size("slots") == F.size("doc_slots")).groupBy(
-        "doc_id", "text_hash", "text_bytes", "ref", "template", (F.col("doc_pos") - F.col("pos")).alias("diagonal")).agg(
-        F.count("*").cast("int").alias("matched"), F.first("n_windows").alias("n_windows"),
-        F.min("doc_pos").alias("first"), (F.max("doc_pos") + F.lit(WINDOW - 1)).alias("last"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))       # at most the item's own slots
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["a"]))) == F.size("slots")
-    counts = ((F.col("matched") >= COVERAGE * F.col("n_windows")) | (F.col("matched") >= RUN)) & consistent
-    best = aligned.where(counts).groupBy("doc_id", "text_hash", "text_bytes", "ref", "template").agg(
-        F.max(F.struct("matched", "n_windows", "first", "last",
-                       F.exists("slots", lambda s: s["a"] != s["b"]).alias("changed"))).alias("m"))
-    return best.join(same.select("template", "item_ids"), "template").select(
+                           "hash long, doc_pos int, doc_slots array<string>, first int, last int")
+    joined = settled(found, "text-windows").join(heads, "hash").where(F.size("classes") == F.size("doc_slots"))
+    best = settled(joined.select(
+        "doc_id", "text_hash", "text_bytes", "ref", "head", "doc_pos", "pos", "rank", "size", "base", "classes", "doc_slots",
+        "first", "last", "n_windows", "n_tokens", "n_slots").repartition("ref", "head").sortWithinPartitions(
+        "ref", "head", "doc_pos", "pos").mapInArrow(
+        _align, "doc_id long, text_hash long, text_bytes long, ref long, head string, matched int, n_windows int, "
+                "first int, last int, values array<string>"), "alignments")
+    # Verbatim: the text's values are those of some item of the head, in all slots that were seen.
+    best = best.withColumn("seen", F.transform("values", lambda v: v != ""))
+    verbatim = named.join(best.select("head", "seen").distinct(), "head").select(
+        "head", "seen", F.zip_with("values", "seen", lambda v, s: F.when(s, v).otherwise("")).alias("values"),
+        F.lit(False).alias("changed")).distinct()
+    best = best.join(verbatim, ["head", "seen", "values"], "left").withColumn("changed", F.coalesce("changed", F.lit(True)))
+    # An item's readings may both be found: the better one stands.
+    key = ["doc_id", "text_hash", "text_bytes", "ref"]
+    each = best.join(named.select("head", "item_id").distinct(), "head").groupBy(*key, "item_id").agg(
+        F.max(F.struct("matched", "n_windows", "first", "last", (~F.col("changed")).alias("same"))).alias("m"))
+    return each.groupBy(*key, "m").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).select(
         "doc_id", "item_ids", "m.matched", "m.n_windows", F.col("m.first").alias("first_token"),
-        F.col("m.last").alias("last_token"), F.col("m.changed").alias("reparameterised"), "text_hash", "text_bytes")
+        F.col("m.last").alias("last_token"), (~F.col("m.same")).alias("reparameterised"), "text_hash", "text_bytes")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

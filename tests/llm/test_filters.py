@@ -96,6 +96,19 @@ def test_decontamination_finds_planted_items(spark):
     assert true <= got and len(got - true) <= 0.02 * len(true) + 1
 
 
+def test_decontamination_finds_edited_items(spark):
+    plain = ("the old miller carries heavy sacks of brown flour across the narrow bridge every morning before "
+             "his neighbours wake up")
+    middle = plain.replace("flour across", "flour slowly across")
+    left_out, changed = plain.replace(" the narrow", " narrow"), plain.replace("narrow", "little")
+    named = "Boston has a wide river and people from Boston walk along it with their dogs when Boston gets warm"
+    moved = named.replace("Boston", "New York")
+    values = [middle, left_out, changed, moved, f"a b c. {moved} d e", plain.replace("of brown flour across the narrow bridge", "and")]
+    got = {(r.doc_id, tuple(r.item_ids), r.reparameterised)
+           for r in decontaminate.matches(texts(spark, values), benchmark(spark, plain, named)).collect()}
+    assert got == {(0, (0,), False), (1, (0,), False), (2, (0,), False), (3, (1,), True), (4, (1,), True)}
+
+
 def test_languages_on_held_out_documents(spark):
     got = QUERIES["op7_language_id"](spark, SF)
     judged = got.join(table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
