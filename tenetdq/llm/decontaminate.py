@@ -13,7 +13,8 @@ form an alignment; from one match to the next at most ``WINDOW`` words may be in
   question with other numbers, names or units is caught and a mere patchwork of templates is not.
 
 A pre-filter of fixed size (``FILTER_BITS``, whatever the benchmark's size) keeps windows that
-occur in no item from being shuffled; the exact join follows. Items with equal templates are matched once and listed together.
+occur in no item from being shuffled; the exact join follows. Consistency depends on which of an item's slots are
+equal, so items with equal templates and equal slots at equal places are matched once and listed together.
 
 Defined cases: null, empty or wordless texts match nothing; an item shorter than a window is one window; an
 item without enough literals can't be matched; repeated rows are each judged by their text. Words on the outer
@@ -164,7 +165,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 values = _slots(words, kinds, at, 0, len(tokens))
                 first: dict[str, int] = {}
                 classes = [first.setdefault(v, k) for k, v in enumerate(values)]
-                head = xxhash.xxh3_128_hexdigest(bytes([reading]) + tokens.tobytes())
+                head = xxhash.xxh3_128_hexdigest(bytes([reading]) + tokens.tobytes() + np.array(classes, np.int32).tobytes())
                 base = np.append(0, np.cumsum(kinds != LITERAL)).tolist()
                 rows += [(item, head, h, s, rank, base[s], classes[base[s]:base[s + size]], size, len(starts), len(tokens),
                           len(values), reading, None if rank else values)

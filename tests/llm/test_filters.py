@@ -109,6 +109,17 @@ def test_decontamination_finds_edited_items(spark):
     assert got == {(0, (0,), False), (1, (0,), False), (2, (0,), False), (3, (1,), True), (4, (1,), True)}
 
 
+def test_decontamination_judges_slots_by_each_item_of_a_template(spark):
+    form = "a farmer puts {} apples in one basket and then {} pears in another one and sells {} of them later"
+    items = [form.format(5, 5, 9), form.format(5, 7, 9)]
+    values = [items[1], items[0], form.format(1, 1, 2), form.format(1, 3, 2)]
+    got = {(r.doc_id, i, r.reparameterised)
+           for r in decontaminate.matches(texts(spark, values), benchmark(spark, *items)).collect() for i in r.item_ids}
+    assert {d for d, _, _ in got} == {0, 1, 2, 3}
+    assert {(0, 1, False), (1, 0, False)} <= got and (0, 0, False) not in got
+    assert not {(0, 0, True), (3, 0, True)} & got
+
+
 def test_languages_on_held_out_documents(spark):
     got = QUERIES["op7_language_id"](spark, SF)
     judged = got.join(table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
