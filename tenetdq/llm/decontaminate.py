@@ -16,8 +16,9 @@ A pre-filter of fixed size (``FILTER_BITS``, whatever the benchmark's size) keep
 occur in no item from being shuffled; the exact join follows. Consistency depends on which of an item's slots are
 equal, so items with equal templates and equal slots at equal places are matched once and listed together.
 
-Defined cases: null, empty or wordless texts match nothing; an item shorter than a window is one window; an
-item without enough literals can't be matched; repeated rows are each judged by their text. Words on the outer
+Defined cases: null, empty or wordless texts match nothing; an item shorter than a window is one window and looked up at its
+length; an item without a window of enough literals is matched by its raw words; one of fewer than ``LITERALS`` words
+only by texts that consist of it; repeated rows are each judged by their text. Words on the outer
 side of an edit count only where they fill a window, so an edit near an item's end, or the middle word of one of 15, can hide it.
 """
 from __future__ import annotations
@@ -41,7 +42,7 @@ FILTER_BITS = 1 << 22
 WORD_CACHE = 200_000
 CLOSING, ENDS = "\"')]”’»", frozenset(".!?:…|")
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
-PLAIN, STARTS = range(2)       # readings: sentence starts are literal, or names
+PLAIN, STARTS, RAW = range(3)  # readings: sentence starts are literal, or names; all words are literal
 MARKS = [0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333, 0]
 # Unit words that may follow a number.
 UNITS = set("""mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms
@@ -98,7 +99,7 @@ def words_of(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
 
 def template(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray, reading: int) -> tuple[np.ndarray, ...]:
     """Template tokens as hashes, their kinds (0 for literals), and the word where each begins, with the end."""
-    if not len(kinds):
+    if reading == RAW or not len(kinds):
         return hashes, np.zeros_like(kinds), np.arange(len(kinds) + 1)
     kinds = kinds.copy()
     if reading == PLAIN:
@@ -112,16 +113,16 @@ def template(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray, reading:
 
 
 def window_hashes(tokens: np.ndarray, kinds: np.ndarray, reading: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each window of ``size`` tokens that has enough literals."""
+    """Start and hash of each window of ``size`` tokens that has enough literals (any, in raw words)."""
     n = len(tokens) - size + 1
-    if n < 1 or not size:
+    if n < 1 or not size or (size < LITERALS and n > 1):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.full(n, np.uint64(size + 256 * reading))
     literal = np.append(0, np.cumsum(kinds == LITERAL))
     for k in range(size):
         h = (h ^ tokens[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    starts = np.flatnonzero(literal[size:] - literal[:n] >= LITERALS)
+    starts = np.flatnonzero(literal[size:] - literal[:n] >= (0 if reading == RAW else LITERALS))
     return starts, h[starts].astype(np.int64)
 
 
@@ -153,12 +154,15 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of both readings of each item; the first one of a reading has all slot values."""
+    """Windows of both readings of each item, or of its raw words; the first one of a reading has all slot values."""
     for b in batches:
         rows = []
         for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             words, *parts = words_of(text)
-            for reading in (PLAIN, STARTS):
+            before = len(rows)
+            for reading in (PLAIN, STARTS, RAW):
+                if reading == RAW and len(rows) > before:
+                    continue
                 tokens, kinds, at = template(*parts, reading)
                 size = min(WINDOW, len(tokens))
                 starts, hashes = window_hashes(tokens, kinds, reading, size)
@@ -173,7 +177,8 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _batch(rows, ITEM_WINDOWS)
 
 
-def _text_windows(bits: bytes):
+def _text_windows(bits: bytes, shapes: list[tuple[int, int]]):
+    """Windows of the readings and sizes that occur among the items, where the filter knows their hash."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         part, seen = TaskContext.get().partitionId() << 40, 0
@@ -181,9 +186,9 @@ def _text_windows(bits: bytes):
             rows = []
             for i, text in enumerate(b.column("text").to_pylist()):
                 words, *parts = words_of(text)
-                for reading in (PLAIN, STARTS):
-                    tokens, kinds, at = template(*parts, reading)
-                    size = min(WINDOW, len(tokens))
+                made = {reading: template(*parts, reading) for reading, _ in shapes}
+                for reading, size in shapes:
+                    tokens, kinds, at = made[reading]
                     starts, hashes = window_hashes(tokens, kinds, reading, size)
                     for k in np.flatnonzero(known[_bit(hashes)]).tolist():
                         s = int(starts[k])
@@ -282,6 +287,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         _item_windows, ITEM_SCHEMA), "item-windows")
     heads = items.drop("item_id", "values", "reading").dropDuplicates(["head", "pos"])
     named = items.where("rank = 0").select("head", "item_id", "values")
+    shapes = [(r["reading"], r["size"]) for r in items.select("reading", "size").distinct().collect()]  # 3 x WINDOW at most
     place = F.shiftright(F.col("hash"), 11).bitwiseAND(F.lit(FILTER_BITS - 1))
     words = items.select(F.shiftright(place, 3).cast("int").alias("at"), (place % 8).cast("int").alias("bit")).groupBy(
         "at").agg(F.bit_or(F.expr("shiftright(128, bit)")).alias("byte")).collect()  # FILTER_BITS / 8 rows at most
@@ -292,7 +298,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.select("doc_id", "text", F.xxhash64("text").alias("text_hash"),
                      F.octet_length("text").cast("long").alias("text_bytes"))
-    found = src.mapInArrow(_text_windows(bytes(bits)), "doc_id long, text_hash long, text_bytes long, ref long, "
+    found = src.mapInArrow(_text_windows(bytes(bits), sorted(shapes)), "doc_id long, text_hash long, text_bytes long, ref long, "
                            "hash long, doc_pos int, doc_slots array<string>, first int, last int")
     joined = settled(found, "text-windows").join(heads, "hash").where(F.size("classes") == F.size("doc_slots"))
     best = settled(joined.select(

@@ -120,6 +120,14 @@ def test_decontamination_judges_slots_by_each_item_of_a_template(spark):
     assert not {(0, 0, True), (3, 0, True)} & got
 
 
+def test_decontamination_finds_short_and_wordless_items(spark):
+    items = ["how do magnets pull iron", "12 + 30 = 42 and 7 x 8 = 56 so 9", "Anna Bella Carla Dora Emma Frida Greta Hanna Ida", "yes"]
+    noise = "some other words that stand before it and after"
+    values = [f"{noise} {i} {noise}" for i in items] + ["yes", noise]
+    got = {(r.doc_id, tuple(r.item_ids)) for r in decontaminate.matches(texts(spark, values), benchmark(spark, *items)).collect()}
+    assert got == {(0, (0,)), (1, (1,)), (2, (2,)), (4, (3,))}
+
+
 def test_languages_on_held_out_documents(spark):
     got = QUERIES["op7_language_id"](spark, SF)
     judged = got.join(table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
