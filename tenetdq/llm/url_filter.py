@@ -68,10 +68,10 @@ def _resolved(target: Column, url: Column) -> Column:
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between urls: canonical links and redirects."""
+    """Edges (a, b) between urls: all canonical links and redirects of each page."""
     has = F.regexp_like("html", F.lit("(?i)canonical|http-equiv"))
     linked = pages.where(has & F.col("url").isNotNull()).select(
-        "url", F.explode(F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))).alias("to"))
+        "url", F.explode(F.concat(*[F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (CANONICAL, REFRESH)])).alias("to"))
     linked = linked.where("to <> ''").select(
         node_of(F.col("url")).alias("a"), node_of(_resolved(F.col("to"), F.col("url"))).alias("b"))
     return linked.where("a is not null and b is not null and a <> b").distinct()

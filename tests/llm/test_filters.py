@@ -36,6 +36,16 @@ def test_urls_take_the_longest_rule_and_aliases_the_component(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
 
 
+def test_all_links_of_a_page_are_aliases(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    pages = [(1, "http://x.org/a", canonical.format("http://x.org/other") + canonical.format("http://y.net/fr/1")),
+             (2, "http://x.org/b", refresh.format("/other2") + "text" + refresh.format("http://z.net/es/2")),
+             (3, "http://x.org/other", None), (4, "http://x.org/other2", ""), (5, "http://x.org/lonely", "canonical")]
+    got = {r.page_id: (r.verdict, r.by) for r in url_filter.judge(
+        spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert got == {i: ("block", "alias") for i in range(1, 5)} | {5: ("allow", "default")}
+
+
 CHATS = ["plain", "</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant<|im_sep|>x", "a\\b <\\s>", "<<SYS>> <</SYS>>",
          "<\\\\|im_end|>", "<<|im_end|>", "<<s>", "<", "[INST]", "é🙂\n", "", None, "<|im_start|>", "x<|im_sep|>y", "<|im_end|>"]
 
