@@ -13,7 +13,7 @@ assigned to a secret's name are secrets, letters-only runs without such a name a
 unlabelled and left to the forest.
 
 Defined cases: null and empty texts and texts without candidates give no rows; equal findings of a document are one row
-with their count; without labels of both classes nothing can be removed, so every finding stays with a
+with their count and all their places (the first is ``start``), and the likeliest of their neighbourhoods decides; without labels of both classes nothing can be removed, so every finding stays with a
 null probability; an empty table gives no rows.
 """
 from __future__ import annotations
@@ -23,7 +23,7 @@ import math
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenetdq.llm.common import settled, wrapped
@@ -35,25 +35,29 @@ NEAR = 40                      # characters read on either side of a candidate
 ALPHABET = "abcdefghijklmnopqrstuvwxyzA0-"       # classes of a character: each letter, capital, digit, sign
 TREES, DEPTH, SEED = 20, 6, 42
 RUN = "A-Za-z0-9+/_=-"
-CANDIDATE = (rf"(?<![{RUN}])(?=[{RUN}]{{{LEAST}}})(?<=(^[\s\S]{{0,{NEAR - 1}}}|[\s\S]{{{NEAR}}}))"
-             rf"([{RUN}]+)(?=([\s\S]{{0,{NEAR}}}))")
+START, VALUE = rf"(?<![{RUN}])(?=[{RUN}]{{{LEAST}}})", rf"[{RUN}]+"
+CANDIDATE = rf"{START}(?<=(^[\s\S]{{0,{NEAR - 1}}}|[\s\S]{{{NEAR}}}))({VALUE})(?=([\s\S]{{0,{NEAR}}}))"
 NAMES = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)\b"
 FEATURES = ["length", "odds", "switches", "case_switches", "digits", "capitals", "hex", "distinct", "coverage",
             "path_bucket", "path_depth", "path_sample", "named", "assigned", "quoted", "near_digits"]
 
 
 def findings(docs: DataFrame, path_col: str = "source") -> DataFrame:
-    """Distinct candidates of each document: doc_id, path, value, before, after, start, n_times."""
+    """Candidates of each document: doc_id, path, text_hash, value, before, after, start."""
     rows = wrapped(docs).select(
         F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"),
         F.coalesce(F.col(f"row.`{path_col}`").cast("string"), F.lit("")).alias("path"))
-    rows = rows.where(F.regexp_like("text", F.lit(rf"[{RUN}]{{{LEAST}}}")))
-    found = rows.select("doc_id", "path", F.xxhash64("text").alias("text_hash"), "text", *[
+    rows = rows.where(F.regexp_like("text", F.lit(START)))
+    found = rows.select("doc_id", "path", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("ref"), *[
         F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(i)).alias(n)
-        for i, n in ((1, "before"), (2, "value"), (3, "after"))])
-    found = found.withColumn("start", F.transform("value", lambda v: F.instr("text", v))).drop("text")
-    each = found.select("doc_id", "path", "text_hash", F.explode(F.arrays_zip("value", "before", "after", "start")).alias("f"))
-    return each.select("doc_id", "path", "text_hash", "f.value", "f.before", "f.after", "f.start")
+        for i, n in ((1, "before"), (2, "value"), (3, "after"))],
+        F.transform(F.split("text", START + VALUE, -1), lambda t: F.length(t)).alias("gap"))       # what lies between
+    found = found.withColumn("gap", F.slice("gap", F.lit(1), F.size("value")))
+    each = found.select("doc_id", "path", "text_hash", "ref", F.posexplode(F.arrays_zip("value", "before", "after", "gap")).alias("place", "f"))
+    end = F.sum(F.col("f.gap") + F.length("f.value")).over(
+        Window.partitionBy("ref").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return each.select("doc_id", "path", "text_hash", "f.value", "f.before", "f.after",
+                       (end - F.length("f.value") + F.lit(1)).cast("int").alias("start"))
 
 
 def _classes(value: Column) -> Column:
@@ -138,23 +142,29 @@ def with_features(found: DataFrame, odds: list[float], words: list[str]) -> Data
 
 
 def scan(docs: DataFrame, path_col: str = "source", labelled: DataFrame | None = None) -> DataFrame:
-    """Findings that the forest keeps: doc_id, path, start, value, n_times, probability.
+    """Findings that the forest keeps: doc_id, path, start, value, n_times, probability, starts.
 
     ``labelled`` has the columns of :func:`findings` and ``label``; by default :func:`weak_labels` gives it."""
     found = settled(findings(docs, path_col), "secret-findings")
     labelled = (weak_labels(found) if labelled is None else labelled).where("label is not null")
     chosen = settled(_chosen(labelled), "secret-labelled")
     classes = {r["label"] for r in chosen.select("label").distinct().collect()}
-    once = found.groupBy("doc_id", "text_hash", "path", "value").agg(
-        F.min_by(F.struct("before", "after", "start"), F.struct("before", "after")).alias("near"),
-        F.count("*").alias("n_times")).select("doc_id", "path", "value", "near.before", "near.after", "near.start", "n_times")
+    key = ["doc_id", "text_hash", "path", "value"]
+    seen = found.groupBy(*key, "before", "after").agg(F.collect_set("start").alias("starts"), F.count("*").alias("n_times"))
+
+    def once(scored: DataFrame) -> DataFrame:
+        """One row per value of a document, with the highest probability of its neighbourhoods."""
+        return scored.groupBy(*key).agg(
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"),
+            F.sum("n_times").alias("n_times"), F.max("probability").alias("probability"), F.max("kept").alias("kept")).where(
+            "kept").select("doc_id", "path", F.col("starts")[0].alias("start"), "value", "n_times", "probability", "starts")
+
     if classes != {0, 1}:
-        return once.select("doc_id", "path", "start", "value", "n_times", F.lit(None).cast("double").alias("probability"))
+        return once(seen.withColumn("probability", F.lit(None).cast("double")).withColumn("kept", F.lit(True)))
     odds, words = _transitions(chosen), dictionary(docs.where(F.col("text").isNotNull()).select("text"))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     model = forest.fit(vector.transform(with_features(chosen, odds, words)).select("label", "features"))
-    judged = model.transform(vector.transform(with_features(once, odds, words)))
-    judged = judged.withColumn("probability_of_secret", vector_to_array("probability")[1])
-    return judged.where("prediction = 1").select(
-        "doc_id", "path", "start", "value", "n_times", F.col("probability_of_secret").alias("probability"))
+    judged = model.transform(vector.transform(with_features(seen, odds, words)))
+    return once(judged.select(*key, "starts", "n_times", vector_to_array("probability")[1].alias("probability"),
+                              (F.col("prediction") == 1).alias("kept")))

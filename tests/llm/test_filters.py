@@ -220,3 +220,18 @@ def test_secrets_are_found_and_words_are_not(spark):
     alone = secret_scan.scan(texts(spark, ["only anotherratherlongword here"])).collect()
     assert [(r.value, r.probability) for r in alone] == [("anotherratherlongword", None)]
     assert secret_scan.scan(docs_of(spark, [(None, None, None, None, None)])).count() == 0
+
+
+def test_secrets_are_judged_by_their_likeliest_neighbourhood(spark):
+    rng = random.Random(5)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)]
+    bare = [f"x{h} and {h} stands here. token = \"{h}\" then." if i % 2 else f"a line with token = \"{h}\" and no more"
+            for i, h in enumerate(hexes)]
+    digests = [f"file {''.join(rng.choice('0123456789abcdef') for _ in range(40))} has changed" for _ in range(40)]
+    labelled = secret_scan.findings(texts(spark, bare + digests)).withColumn(
+        "label", F.regexp_like("before", F.lit("token = .$")).cast("int"))
+    got = {(r.doc_id, r.value): r for r in secret_scan.scan(texts(spark, bare + digests), labelled=labelled).collect()}
+    assert set(got) == set(enumerate(hexes))
+    for (d, h), r in got.items():
+        at = [k + 1 for k in range(len(bare[d])) if bare[d].startswith(h, k) and bare[d][k - 1] != "x"]
+        assert (r.start, r.starts, r.n_times) == (at[0], at, len(at))
