@@ -1,20 +1,20 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-*Candidates* are runs of at least ``LEAST`` characters of ``[A-Za-z0-9+/_=-]``, taken from whole texts with one
-regular expression that also returns what stands before and after. *Features*: length; character transitions (the mean
+*Candidates* are runs of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]`` with at most two ``=`` of padding at
+their end, taken from whole texts with one regular expression that also returns what stands before and after. *Features*: length; character transitions (the mean
 log-odds of a finding's character pairs between labelled secrets and labelled false positives, and switches between
 letters and digits and between cases); dictionary coverage (share of characters inside frequent words
 of the corpus); path (a hash bucket of it, its depth, and words such as test or example); neighbouring
 words (a secret's name, an assignment, quotes, other digits nearby).
 
 The forest (pyspark.ml) is trained on labelled findings: at most ``MOST_LABELS`` of either class, chosen by
-a hash of the finding. ``weak_labels`` gives labels where no reviewed ones exist: quoted random-looking values
+a hash of the finding. ``weak_labels`` gives labels where no reviewed ones exist: random-looking values, quoted or not,
 assigned to a secret's name are secrets, letters-only runs without such a name are false positives, the rest is
 unlabelled and left to the forest.
 
 Defined cases: null and empty texts and texts without candidates give no rows; equal findings of a document are one row
-with their count and all their places (the first is ``start``), and the likeliest of their neighbourhoods decides; without labels of both classes nothing can be removed, so every finding stays with a
-null probability; an empty table gives no rows.
+with their count and all their places (the first is ``start``), and the likeliest of their neighbourhoods decides;
+without labels of both classes nothing can be removed, so every finding stays with a null probability; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -34,8 +34,10 @@ DICTIONARY = 200               # frequent words of at least four letters (a top-
 NEAR = 40                      # characters read on either side of a candidate
 ALPHABET = "abcdefghijklmnopqrstuvwxyzA0-"       # classes of a character: each letter, capital, digit, sign
 TREES, DEPTH, SEED = 20, 6, 42
-RUN = "A-Za-z0-9+/_=-"
-START, VALUE = rf"(?<![{RUN}])(?=[{RUN}]{{{LEAST}}})", rf"[{RUN}]+"
+RUN = "A-Za-z0-9+/_-"
+PADDING = rf"={{1,2}}(?![={RUN}])"                # not an assignment's sign
+START = (rf"(?<![{RUN}])(?=[{RUN}]{{{LEAST}}}|[{RUN}]{{{LEAST - 1}}}=(?![={RUN}])|[{RUN}]{{{LEAST - 2}}}==(?![={RUN}]))")
+VALUE = rf"[{RUN}]+(?:{PADDING})?"
 CANDIDATE = rf"{START}(?<=(^[\s\S]{{0,{NEAR - 1}}}|[\s\S]{{{NEAR}}}))({VALUE})(?=([\s\S]{{0,{NEAR}}}))"
 NAMES = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)\b"
 FEATURES = ["length", "odds", "switches", "case_switches", "digits", "capitals", "hex", "distinct", "coverage",
@@ -79,7 +81,7 @@ def _pairs(value: Column) -> Column:
 
 def weak_labels(found: DataFrame) -> DataFrame:
     """Findings with ``label`` 1, 0 or null by high-precision rules."""
-    named = F.regexp_like("before", F.lit(NAMES + r"""["']?\s*[=:]\s*["']$"""))
+    named = F.regexp_like("before", F.lit(NAMES + r"""["']?\s*[=:]\s*["']?$"""))
     random = (F.regexp_count("value", F.lit("[0-9]")) * 8 >= F.length("value")) & F.regexp_like("value", F.lit("[A-Za-z]"))
     word = F.regexp_like("value", F.lit("^[A-Za-z]+$")) & ~F.regexp_like("before", F.lit(NAMES))
     return found.withColumn("label", F.when(named & random, 1).when(word, 0))

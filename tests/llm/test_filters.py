@@ -235,3 +235,15 @@ def test_secrets_are_judged_by_their_likeliest_neighbourhood(spark):
     for (d, h), r in got.items():
         at = [k + 1 for k in range(len(bare[d])) if bare[d].startswith(h, k) and bare[d][k - 1] != "x"]
         assert (r.start, r.starts, r.n_times) == (at[0], at, len(at))
+
+
+def test_secrets_in_unquoted_assignments_come_without_their_name(spark):
+    rng = random.Random(6)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)]
+    forms = ["export API_KEY={}\n", "see http://x.org/a?token={}&b=1 there", "MY_SERVICE_API_KEY={}", "password: {}=="]
+    values = [forms[i % 4].format(h) for i, h in enumerate(hexes)] + ["averyveryverylongword in between " * 3] * 40
+    got = {(r.doc_id, r.value) for r in secret_scan.scan(texts(spark, values)).collect()}
+    assert {(i, h + "==" * (i % 4 == 3)) for i, h in enumerate(hexes)} <= got
+    assert {v for _, v in got} - {h + p for h in hexes for p in ("", "==")} <= {"MY_SERVICE_API_KEY"}
+    found = {r.value: r for r in secret_scan.findings(texts(spark, ["a=b0123456789abcd==x 0123456789abcd== k==0123456789abcdef"])).collect()}
+    assert set(found) == {"0123456789abcd==", "0123456789abcdef"} and found["0123456789abcdef"].before.endswith("k==")
