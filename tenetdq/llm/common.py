@@ -55,7 +55,7 @@ def list_column(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def crc32(ids: bytes) -> int:
+def crc32(ids: bytes | memoryview) -> int:
     return zlib.crc32(ids)
 
 

@@ -8,12 +8,14 @@ and the number of ids before it there (``part_start``); ids before a file are su
 narrow columns alone, so global places need no pass over the ids.
 
 Defined cases: null text counts as empty and gets the end id only; null identifiers come first;
-equal identifiers are ordered by a hash of their text; an empty table gives no rows.
+equal identifiers are ordered by the bytes and then a hash of their text; very long texts are encoded whole, in one row; other
+columns of the table are not read; an empty table gives no rows.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,18 +38,17 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         enc = encoder(tokenizer)
         for b in batches:
             ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
-            counts, starts = [len(x) // 4 for x in ids], []
-            for n in counts:
-                starts.append(before)
-                before += n
+            counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            starts = before + np.cumsum(counts) - counts
+            before += int(counts.sum())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()),
-                 pa.array(counts, pa.int64()), list_column(ids)],
+                [b.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(counts),
+                 list_column(ids)],
                 ["doc_id", "part", "part_start", "n_tokens", "ids"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    (src.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.octet_length("text")]     # bounds are sampled without hashing texts
+    (src.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64("text"))
         .mapInArrow(encode, "doc_id long, part int, part_start long, n_tokens long, ids array<int>")
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true")
         .option("orc.row.index.stride", STRIDE).option("orc.stripe.size", STRIPE_BYTES).orc(path))
@@ -72,14 +73,15 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("ids")
-            raw, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_pylist()
-            crc = [crc32(raw[s:e].tobytes()) for s, e in zip(offsets, offsets[1:], strict=False)]
-            counts = [e - s for s, e in zip(offsets, offsets[1:], strict=False)]
+            raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
+            offsets = ids.offsets.to_numpy().astype(np.int64)
+            ends = (4 * offsets).tolist()
+            crc = [crc32(raw[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("part"), b.column("part_start"), pa.array(counts, pa.int64()),
+                [b.column("doc_id"), b.column("part"), b.column("part_start"), pa.array(np.diff(offsets)),
                  pa.array(crc, pa.int64())], ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
 
     rows = read_ids(spark, path).select("doc_id", "part", "part_start", "ids").mapInArrow(
         digest, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
-    return rows.join(places(spark, path), "part").select(
+    return rows.join(F.broadcast(places(spark, path)), "part").select(      # one row per file
         "doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")

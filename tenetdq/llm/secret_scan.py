@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenetdq.llm.common import settled, wrapped
+from tenetdq.session import scratch_path
 
 LEAST = 16
 MOST_LABELS = 20_000           # documented bound of the findings of each class used for fitting
@@ -166,7 +167,10 @@ def scan(docs: DataFrame, path_col: str = "source", labelled: DataFrame | None =
     odds, words = _transitions(chosen), dictionary(docs.where(F.col("text").isNotNull()).select("text"))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    model = forest.fit(vector.transform(with_features(chosen, odds, words)).select("label", "features"))
+    # a fitted model holds its training summary and with it the session; a loaded one is the trees alone
+    path = scratch_path(docs.sparkSession, "secret-forest")
+    forest.fit(vector.transform(with_features(chosen, odds, words)).select("label", "features")).save(path)
+    model = RandomForestClassificationModel.load(path)
     judged = model.transform(vector.transform(with_features(seen, odds, words)))
     return once(judged.select(*key, "starts", "n_times", vector_to_array("probability")[1].alias("probability"),
                               (F.col("prediction") == 1).alias("kept")))
