@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from tenetdq.operators.fd import mine
 from tenetdq.plans.constraints import FunctionalDependency
 from tenetdq.plans.frame import ROW_ID, Frame
+from tenetdq.session import scratch_path
 
 
 @dataclass
@@ -57,7 +58,10 @@ class GatedLearner:
                                     maxIter=self.max_iter, standardization=False,
                                     probabilityCol=f"p_{target}", rawPredictionCol=f"raw_{target}",
                                     predictionCol=f"pred_{target}")
-            model = lr.fit(asm.transform(data))
+            # a fitted model holds its training summary and with it the session; a loaded one does not
+            path = scratch_path(frame.df.sparkSession, f"gated-{len(self._models)}")
+            lr.fit(asm.transform(data)).save(path)
+            model = LogisticRegressionModel.load(path)
             weights, at, gate = model.coefficientMatrix.toArray(), 0, {}
             for c in sources:
                 width = int(sizes[c]) + 1
