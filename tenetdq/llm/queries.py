@@ -12,6 +12,7 @@ from tenetdq.llm import (
     decontaminate,
     exact_dedup,
     lang_id,
+    merkle,
     near_dedup,
     orc_tokens,
     packing,
@@ -107,6 +108,19 @@ def op10_toxicity(spark, sf_dir):
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
 
 
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    cut = F.when(_remainder(2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle.leaf(*[F.col(c) for c in fields]).alias("leaf"),
+                         merkle.leaf(*[F.col(c) for c in fields[:-1]], cut).alias("claimed"))
+    rows = merkle.manifest(leaves, keep=["claimed"])
+    folded = merkle.fold(F.col("claimed"), F.col("path"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+                       folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 ORACLES["op2_exact_dedup"] = r"""
 WITH bodies AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -210,3 +224,57 @@ SELECT conv_id, count(*) AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM shown GROUP BY conv_id
 """.replace("CONTROL", "'" + chat_format.CONTROL + "'")
+
+# Nodes of both trees by recursion over levels ('s' within a source, 't' over sources), then each row's siblings, then the fold.
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE plain AS (
+  SELECT doc_id, source, coalesce('1' || source, '0') AS g,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    text, replace(text, chr(10), '') AS cut,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+        lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN coalesce(strlen(cut) || ':' || cut, '-')
+                        ELSE coalesce(strlen(text) || ':' || text, '-') END) AS claimed
+  FROM plain),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS pos FROM leaves),
+inner_tree AS (
+  SELECT g, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY g) AS n FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (max(n) + 2) // 3
+  FROM inner_tree WHERE n > 1 GROUP BY g, level, pos // 3),
+subroots AS (SELECT g, node AS subroot, level AS height FROM inner_tree WHERE n = 1),
+sources AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS place FROM subroots),
+outer_tree AS (
+  SELECT 0 AS level, place AS pos, subroot AS node, count(*) OVER () AS n FROM sources
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (max(n) + 2) // 3
+  FROM outer_tree WHERE n > 1 GROUP BY level, pos // 3),
+runs AS (
+  SELECT g, level, pos // 3 AS run, list(node ORDER BY pos) AS nodes FROM inner_tree WHERE n > 1 GROUP BY g, level, pos // 3
+  UNION ALL
+  SELECT NULL, level, pos // 3, list(node ORDER BY pos) FROM outer_tree WHERE n > 1 GROUP BY level, pos // 3),
+steps AS (
+  SELECT p.doc_id, p.g, p.pos, r.level AS step, r.nodes, (p.pos // pow(3, r.level)::BIGINT) % 3 AS slot
+  FROM placed p JOIN runs r ON r.g = p.g AND r.run = p.pos // pow(3, r.level + 1)::BIGINT
+  UNION ALL
+  SELECT p.doc_id, p.g, p.pos, s.height + r.level, r.nodes, (s.place // pow(3, r.level)::BIGINT) % 3
+  FROM placed p JOIN sources s ON s.g = p.g JOIN runs r ON r.g IS NULL AND r.run = s.place // pow(3, r.level + 1)::BIGINT),
+sides AS (
+  SELECT g, pos, step, array_to_string(nodes[1:slot], '') AS l, array_to_string(nodes[slot + 2:], '') AS r FROM steps),
+folded AS (
+  SELECT g, pos, 0 AS step, claimed AS up FROM placed
+  UNION ALL
+  SELECT f.g, f.pos, f.step + 1, sha256(s.l || f.up || s.r)
+  FROM folded f JOIN sides s ON s.g = f.g AND s.pos = f.pos AND s.step = f.step),
+ends AS (SELECT g, pos, arg_max(up, step) AS folded_root FROM folded GROUP BY g, pos),
+proofs AS (SELECT g, pos, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM sides GROUP BY g, pos)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN sources USING (g) JOIN ends e USING (g, pos) LEFT JOIN proofs USING (g, pos),
+  (SELECT node AS root FROM outer_tree WHERE n = 1)
+"""
