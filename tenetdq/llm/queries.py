@@ -16,6 +16,7 @@ from tenetdq.llm import (
     near_dedup,
     orc_tokens,
     packing,
+    quality_rules,
     secret_scan,
     toxicity,
     url_filter,
@@ -108,6 +109,11 @@ def op10_toxicity(spark, sf_dir):
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
 
 
+@query
+def op12_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
