@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenetdq.llm import (
+    alignment,
     chat_format,
     decontaminate,
     exact_dedup,
@@ -27,6 +28,7 @@ from tenetdq.session import scratch_path
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn):
@@ -109,6 +111,11 @@ def op10_toxicity(spark, sf_dir):
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
 
 
+@query
+def op11_tokenizer_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, PIECE_BPE)
+
+
 @query
 def op12_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
