@@ -37,6 +37,33 @@ class _Letters(dict):
         return out
 
 
+class _Pieces(dict):
+    """Piece after a space -> its ids, or False where it can't stand alone. Full, it starts anew and keeps the generation before."""
+
+    def __init__(self, encoder: Encoder, cap: int):
+        super().__init__()
+        self.encoder, self.cap, self.old = encoder, cap, {}
+
+    def __missing__(self, piece: str) -> bytes | bool:
+        if len(self) > self.cap:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(piece)
+        if ids is None:
+            word = piece.rstrip(PUNCTUATION)
+            if word.isalpha():                               # one pre-token, perhaps with an end
+                if len(word) < len(piece):
+                    ids = self[word] + self.encoder.end(piece[len(word):])
+                else:
+                    ids = self.encoder.word(word)
+            elif not piece or piece[0].isspace():
+                ids = False
+            else:
+                ids = b"".join(map(self.encoder.end, PRE_TOKENS.findall(" " + piece)))
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts to little-endian 32-bit ids, one ``bytes`` per text."""
 
@@ -48,9 +75,7 @@ class Encoder:
         self._added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._raw = [i.to_bytes(4, "little") for i in range(self._tok.get_vocab_size())]
         self._letters = _Letters()
-        self._cap = pieces
-        self._new: dict[str, bytes | bool] = {}      # ids of a space and the piece; False: can't stand alone
-        self._old: dict[str, bytes | bool] = {}      # the generation before
+        self._ids = _Pieces(self, pieces).__getitem__
         self._ends: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -63,7 +88,14 @@ class Encoder:
         raw = self._raw
         return b"".join([raw[t.id] for t in self._merge(shown)])
 
-    def _end(self, end: str) -> bytes:
+    def word(self, word: str) -> bytes:
+        """Ids of a space and a word of letters."""
+        if word.isascii():
+            raw = self._raw
+            return b"".join([raw[t.id] for t in self._merge("Ġ" + word)])
+        return self._pre_token(" " + word)
+
+    def end(self, end: str) -> bytes:
         ids = self._ends.get(end)
         if ids is None:
             if len(self._ends) > 20_000:
@@ -71,30 +103,6 @@ class Encoder:
             ids = self._ends[end] = self._pre_token(end)
         return ids
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self._new) > self._cap:
-            self._old, self._new = self._new, {}
-        new, old, raw, merge = self._new, self._old, self._raw, self._merge
-        for p in missing:
-            ids = old.get(p)
-            if ids is None:
-                word = p.rstrip(PUNCTUATION)
-                if word.isalpha():                           # one pre-token, perhaps with an end
-                    ids = new.get(word)
-                    if ids is None:
-                        ids = old.get(word)
-                    if ids is None:
-                        ids = (b"".join([raw[t.id] for t in merge("Ġ" + word)]) if word.isascii()
-                               else self._pre_token(" " + word))
-                    if len(word) < len(p):
-                        new[word] = ids
-                        ids += self._end(p[len(word):])
-                elif not p or p[0].isspace():
-                    ids = False
-                else:
-                    ids = b"".join(map(self._end, PRE_TOKENS.findall(" " + p)))
-            new[p] = ids
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [self._encode(t) if t else b"" for t in texts]
 
@@ -103,18 +111,11 @@ class Encoder:
             if added in text:
                 return self._whole(text)
         first, *pieces = text.split(" ")
-        found = list(map(self._new.get, pieces))
         try:
-            rest = b"".join(found)
-        except TypeError:
-            self._learn([p for p, ids in zip(pieces, found, strict=True) if ids is None])
-            get = self._new.get
-            found = [get(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-            try:
-                rest = b"".join(found)
-            except TypeError:                                # holds an unsafe piece
-                return self._whole(text)
-        return b"".join(map(self._end, PRE_TOKENS.findall(first))) + rest
+            rest = b"".join(map(self._ids, pieces))
+        except TypeError:                                    # holds an unsafe piece
+            return self._whole(text)
+        return b"".join(map(self.end, PRE_TOKENS.findall(first))) + rest
 
 
 @lru_cache(maxsize=1)
