@@ -5,6 +5,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,16 @@ def crc32(ids: bytes | memoryview) -> int:
 def wrapped(docs: DataFrame) -> DataFrame:
     """All columns in one struct ``row``, so that no column name clashes with the operator's own."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """The rows as a struct ``row``, with ``file`` and ``at``: a place that stays the same in every scan, so that rows can be
+    named now and fetched later without keeping a copy. A plain Parquet table has such places; anything else is written first."""
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        try:
+            return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                               F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        except AnalysisException:                            # a source without row places
+            pass
+    kept = settled(wrapped(docs), "placed")
+    return kept.select("row", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))

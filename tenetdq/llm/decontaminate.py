@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenetdq.llm.common import bounded_batches, settled
+from tenetdq.functions.lookup import attach
+from tenetdq.llm.common import bounded_batches, settled, wrapped
 
 WINDOW = 8
 LITERALS = 4
@@ -324,6 +325,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, in its columns."""
-    leaks = matches(docs, benchmark).select("text_hash", "text_bytes").distinct()
-    return docs.join(leaks, (F.xxhash64(docs["text"].cast("string")) == leaks["text_hash"])
-                     & (F.octet_length(docs["text"].cast("string")) == leaks["text_bytes"]), "left_anti")
+    leaks = settled(matches(docs, benchmark).select("text_hash", "text_bytes").distinct(), "leaks")
+    text = F.col("row.text").cast("string")
+    rows = wrapped(docs).withColumns({"text_hash": F.xxhash64(text), "text_bytes": F.octet_length(text).cast("long")})
+    # broadcast where the leaks are measured few
+    kept = attach(rows, leaks, ["text_hash", "text_bytes"], how="left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
