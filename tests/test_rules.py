@@ -247,3 +247,37 @@ def test_monitors_on_sums(spark):
     frame = sums(spark)
     lin = LinearConstraint((("z", 1.0), ("x", -1.0), ("y", -1.0)), 0.0, 0.01)
     assert [r["row_id"] for r in mo.linear_monitor(frame, lin).collect()] == [4]
+
+
+@pytest.mark.parametrize("kind,make", [("long", lambda r: r.choice([None, r.randrange(-5, 99)])), ("double", lambda r: r.choice([None, r.random()])),
+                                       ("string", lambda r: r.choice([None, r.choice("abcxyz")]))])
+def test_running_equals_a_window_for_every_kind(spark, monkeypatch, kind, make):
+    """Groups of one row and groups over all partitions, nulls in values, groups and order, several batches a partition."""
+    rnd = random.Random(len(kind))
+    rows = [(rnd.choice([None, "hot", "hot", "hot", f"g{rnd.randrange(40)}"]), None if i == 7 else i, make(rnd)) for i in range(700)]
+    df = spark.createDataFrame(rows, f"g string, i int, v {kind}").repartition(3)
+    aggs = {"hi": ("max", "v"), "lo": ("min", "v")} | ({"s": ("sum", "v")} if kind != "string" else {})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = running(df, ["g"], ["i"], aggs)
+        want = running(df, ["g"], ["i"], aggs, small=True)
+        key = lambda r: (r["g"] or "", -1 if r["i"] is None else r["i"])
+        for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+            assert (a["g"], a["i"], a["hi"], a["lo"]) == (b["g"], b["i"], b["hi"], b["lo"])
+            if kind != "string":
+                assert a["s"] == pytest.approx(b["s"] or 0)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert running(df.where("false"), ["g"], ["i"], aggs).count() == 0
+
+
+def test_ranks_of_columns_agree_on_all_paths(spark, monkeypatch):
+    from tenetdq.functions import lookup, running as run
+    rnd = random.Random(9)
+    rows = [(i % 50, float(rnd.randrange(30)), rnd.choice([None, 1.0, 2.0]), 3.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    want = rows_of(run.rank_columns(df, ["a", "b", "c"]).fillna(-1.0), "k", "a", "b", "c")
+    monkeypatch.setattr(run, "SMALL_HISTOGRAM", 0)
+    assert rows_of(run.rank_columns(df, ["a", "b", "c"]).fillna(-1.0), "k", "a", "b", "c") == want
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    assert rows_of(run.rank_columns(df, ["a", "b", "c"]).fillna(-1.0), "k", "a", "b", "c") == want
