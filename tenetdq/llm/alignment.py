@@ -15,9 +15,9 @@ with the bytes to the next safe spaces on both sides, so its tokens are those of
 different tasks, and ``FAN`` fragments at a time are composed until one is left. A stretch without a safe
 space is never cut, since only the tokenizers' own look at the whole of it gives its tokens.
 
-*Counts.* A first pass counts the links of every id pair over the corpus, by task and by piece. The pairs are measured: up to
-``MOST_PAIRS`` they go to the workers as sorted arrays and a second pass looks them up; beyond, the pairs of each document are
-joined to the counts by a shuffle.
+*Counts.* Texts are tokenized once; each row keeps its digest, its numbers and its id pairs with their links, in a table that is
+summed to the corpus counts. The pairs are measured: up to ``MOST_PAIRS`` they go to the workers as sorted arrays
+that a second pass over the table looks up; beyond, the pairs of the rows are joined to the counts by a shuffle.
 
 Defined cases: null and empty texts, and texts whose tokens of A or B don't spell space + text, have no tokens, zeros and an
 empty digest; strings of special tokens are plain text; repeated rows are each counted and returned; ties for the highest count of
@@ -27,10 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import os
-import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -42,11 +43,12 @@ from pyspark.sql import functions as F
 from tenetdq.llm.common import bounded_batches, settled
 from tenetdq.llm.tokens import PRE_TOKENS, _Letters
 
-RANGE = 32 << 10               # bytes of a range of a long text
+RANGE = 48 << 10               # bytes of a range of a long text
 FAN = 8                        # fragments composed by one task
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 CACHE_CHARS = 32 << 20
 MOST_PAIRS = 6_000_000         # id pairs that are sent to the workers: 102 MB
+FLUSH_PAIRS = 4_000_000
 LOW = (1 << 32) - 1
 # bytes that surely begin a character that is no white space
 SOLID = frozenset([*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)])
@@ -157,28 +159,56 @@ class Tokenizers:
                         for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of B spans a space: texts can't be cut there")
+        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_name, self.b_name = [str(i) for i in range(len(self.a_size))], [str(i) for i in range(len(self.b_size))]
 
-    def encode(self, pieces: list[str]) -> list[Part | None]:
+    def a_ids(self, piece: str) -> list[int]:
+        """Tokens of A of space + piece."""
+        if piece.isascii() and piece.isalpha():
+            return [t.id for t in self._merge("Ġ" + piece)]
+        return [t.id for pre in PRE_TOKENS.findall(" " + piece) for t in self._merge("".join(map(self._letters.__getitem__, pre)))]
+
+    def ids(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         """Tokens of space + each piece; None where those of A or B don't spell it."""
-        out: list[Part | None] = []
+        a_size, b_bytes = self.a_size, self.b_bytes
         for piece, b in zip(pieces, self._b.encode(pieces, num_threads=1), strict=True):
-            a = [t.id for pre in PRE_TOKENS.findall(" " + piece)
-                 for t in self._merge("".join(map(self._letters.__getitem__, pre)))]
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            raw = f" {piece}".encode()
-            if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-                out.append(None)
-                continue
-            out.append(Part(a, _ends(a_bytes), b, _ends(b_bytes)))
-        return out
-
-
-def _ends(tokens: list[bytes]) -> list[int]:
-    at, out = 0, []
-    for t in tokens:
-        at += len(t)
-        out.append(at)
-    return out
+            a, raw = self.a_ids(piece), f" {piece}".encode()
+            # tokens of A are consecutive bytes by construction, so their length tells
+            spelled = sum([a_size[i] for i in a]) == len(raw) and b"".join([b_bytes[i] for i in b]) == raw
+            yield (a, b) if spelled else None
+
+    def part(self, piece: str, start: int) -> Part | None:
+        """The tokens of space + piece with their ends, when it begins at byte ``start``."""
+        found = next(self.ids([piece]))
+        if found is None:
+            return None
+        a, b = found
+        return Part(a, [start + e for e in accumulate(self.a_size[i] for i in a)],
+                    b, [start + e for e in accumulate(self.b_size[i] for i in b)])
+
+    def aligned(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+        """:func:`groups_of` for tokens that begin and end together, by their lengths."""
+        a_size, b_size, a_name, b_name = self.a_size, self.b_size, self.a_name, self.b_name
+        groups, links, i, j, last = [], [], 0, 0, len(a) - 1
+        x, y = a[0], b[0]
+        a_end, b_end, said_a, said_b = a_size[x], b_size[y], a_name[x], b_name[y]
+        while True:
+            links.append(x << 32 | y)
+            if a_end == b_end:
+                groups.append(f"{said_a}|{said_b}")
+                if i == last:
+                    return groups, links
+                i, j = i + 1, j + 1
+                x, y = a[i], b[j]
+                a_end, b_end, said_a, said_b = a_end + a_size[x], b_end + b_size[y], a_name[x], b_name[y]
+            elif a_end < b_end:
+                i += 1
+                x = a[i]
+                a_end, said_a = a_end + a_size[x], f"{said_a},{a_name[x]}"
+            else:
+                j += 1
+                y = b[j]
+                b_end, said_b = b_end + b_size[y], f"{said_b},{b_name[y]}"
 
 
 @lru_cache(maxsize=1)
@@ -188,7 +218,7 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 
 class Pieces:
-    """What a worker knows of the pieces it met: numbers (A, B, groups, links), groups, links, and scores by the corpus counts."""
+    """What a worker knows of the pieces it met: their groups, their numbers (A, B, groups, links) and their links."""
 
     def __init__(self, both: Tokenizers):
         self.both = both
@@ -197,78 +227,50 @@ class Pieces:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.chars = 0
-        self.groups: list[str | None] = []                  # None: not spelled by the tokens
-        self.numbers = np.zeros((1024, 6), np.int64)         # A, B, groups, links, best links, sum of counts
-        self.keys, self.owners, self.n_links = np.zeros(4096, np.int64), np.zeros(4096, np.int64), 0
-        self.scored = self.scored_links = 0
-        self.scores_of: str | None = None
+        self.groups: list[str] = []
+        self.wrong: set[int] = set()                        # pieces that their tokens don't spell
+        self.numbers, self.links, self.first = array("q"), array("q"), array("q")
 
     @property
     def full(self) -> bool:
         return len(self.groups) > CACHE_PIECES or self.chars > CACHE_CHARS
 
     def _learn(self, keys: list[str]) -> None:
-        keys = list(dict.fromkeys(keys))
-        for key, part in zip(keys, self.both.encode([k[1:] if k[0] == " " else k for k in keys]), strict=True):
-            i = self.at[key] = len(self.groups)
+        both, groups, first = self.both, self.groups, self.first
+        for key, ids in zip(keys, both.ids([k[1:] if k[0] == " " else k for k in keys]), strict=True):
+            self.at[key] = len(groups)
             self.chars += len(key)
-            if i == len(self.numbers):
-                self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
-            if part is None:
-                self.groups.append(None)
+            first.append(len(self.links))
+            if ids is None:
+                self.wrong.add(len(groups))
+                groups.append("")
+                self.numbers.extend((0, 0, 0, 0))
                 continue
-            groups, links = groups_of(part)
-            self.groups.append(";".join(groups))
-            self.numbers[i, :4] = len(part.a), len(part.b), len(groups), len(links)
-            end = self.n_links + len(links)
-            while end > len(self.keys):
-                self.keys, self.owners = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.owners))
-            self.keys[self.n_links:end], self.owners[self.n_links:end] = links, i
-            self.n_links = end
-
-    def places(self, text: str) -> np.ndarray | None:
-        """The pieces of a text; None if its tokens don't spell it."""
-        keys = text.split(" ")
+            own, links = both.aligned(*ids)
+            groups.append(";".join(own))
+            self.numbers.extend((len(ids[0]), len(ids[1]), len(own), len(links)))
+            self.links.extend(links)
+
+    def places(self, keys: list[str], marked: bool = False) -> np.ndarray | None:
+        """The pieces of a text split at spaces; None if its tokens don't spell it."""
         found = list(map(self.at.get, keys))
         if None in found:
-            if any(not k or k[0].isspace() for k in keys):
+            new = [k for k, i in zip(keys, found, strict=True) if i is None]
+            if not marked and any(not k or k[0].isspace() for k in new):       # such pieces are only known marked
                 keys = _marked(keys)
-                found = list(map(self.at.get, keys))
-            self._learn([k for k, i in zip(keys, found, strict=True) if i is None])
+                new = [k for k in keys if k not in self.at]
+            self._learn(list(dict.fromkeys(new)))
             found = list(map(self.at.__getitem__, keys))
-        if any(self.groups[i] is None for i in set(found)):
-            return None
-        return np.array(found, np.int64)
-
-    def text_of(self, places: np.ndarray) -> str:
-        return ";".join(map(self.groups.__getitem__, places.tolist()))
-
-    def all_links(self, places: np.ndarray) -> np.ndarray:
-        """The links of these pieces, one after the other."""
-        first, n = np.searchsorted(self.owners[:self.n_links], places), self.numbers[places, 3]
-        return self.keys[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
-
-    def links_of(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs and their links, when piece i occurs ``times[i]`` times."""
-        weights = times[self.owners[:self.n_links]]
-        used = weights > 0
-        keys, at = np.unique(self.keys[:self.n_links][used], return_inverse=True)
-        return keys, np.bincount(at, weights[used], len(keys)).astype(np.int64)
-
-    def score(self, told: str, keys: np.ndarray, counts: np.ndarray, best: np.ndarray) -> None:
-        """Bring the scores of all pieces up to date with the corpus counts named ``told``."""
-        if self.scores_of != told:
-            self.scored = self.scored_links = 0
-            self.scores_of = told
-        n, new = len(self.groups), slice(self.scored_links, self.n_links)
-        if n > self.scored:
-            links = self.keys[new]
-            at = np.minimum(np.searchsorted(keys, links), len(keys) - 1)
-            here = keys[at] == links                        # a worker may know pieces of other corpora
-            owner = self.owners[new] - self.scored
-            self.numbers[self.scored:n, 4] = np.bincount(owner, best[at] & here, n - self.scored)
-            self.numbers[self.scored:n, 5] = np.bincount(owner, counts[at] * here, n - self.scored)
-            self.scored, self.scored_links = n, self.n_links
+        return None if self.wrong and not self.wrong.isdisjoint(found) else np.array(found, np.int64)
+
+    def closed(self, places: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """Groups, numbers, and pairs with their links of pieces that follow each other."""
+        numbers = np.frombuffer(self.numbers, np.int64).reshape(-1, 4)[places]
+        n = numbers[:, 3]
+        first = np.frombuffer(self.first, np.int64)[places]
+        links = np.frombuffer(self.links, np.int64)[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
+        keys, times = np.unique(links, return_counts=True)
+        return ";".join([self.groups[i] for i in places.tolist()]), numbers.sum(axis=0), keys, times
 
 
 def _marked(parts: list[str]) -> list[str]:
@@ -339,19 +341,27 @@ def _cut(size: int):
     return cut
 
 
-def range_fragment(both: Tokenizers, raw: bytes, start: int, low: int, high: int) -> Fragment | None:
-    """The fragment of the bytes (low, high] of a text, from a stretch of it that begins at ``start``."""
-    pieces = [k[1:] if k[:1] == " " else k for k in _marked(raw.decode()[1:].split(" "))]
-    at, out = start, Fragment(Part(), None, Part())
-    inside: list[Part] = []
-    for piece, part in zip(pieces, both.encode(pieces), strict=True):
-        if part is None:
-            return None
-        shifted = Part(part.a, [at + e for e in part.a_ends], part.b, [at + e for e in part.b_ends])
-        at += 1 + len(piece.encode())
-        inside.append(shifted.between(low, high))
-    # neighbouring pieces are one range, so their tokens make one fragment
-    return compose(out, fragment(Part(*[[x for p in inside for x in p[k]] for k in range(4)])))
+def range_fragment(known: Pieces, raw: bytes, start: int, low: int, high: int) -> Fragment | None:
+    """The fragment of the bytes (low, high] of a text, from a stretch of it between safe spaces that begins at ``start``."""
+    keys = _marked(raw.decode()[1:].split(" "))
+    sizes = [len(k.encode()) + (k[:1] != " ") for k in keys]     # a marked piece has its space in the key
+    starts = [start, *[start + e for e in accumulate(sizes)]]
+    inside = [i for i in range(len(keys)) if starts[i] >= low and starts[i + 1] <= high]
+    out = Fragment(Part(), None, Part())
+    for i in range(len(keys)):
+        if inside and i == inside[0]:                           # whole pieces begin and end at common ends
+            at = known.places([keys[k] for k in inside], marked=True)
+            if at is None:
+                return None
+            text, n, pairs, times = known.closed(at)
+            links = Counter(dict(zip(pairs.tolist(), times.tolist(), strict=True)))
+            out = compose(out, Fragment(Part(), Closed(text, *n[:3].tolist(), links), Part()))
+        elif not inside or i < inside[0] or i > inside[-1]:
+            part = known.both.part(keys[i][1:] if keys[i][0] == " " else keys[i], starts[i])
+            if part is None:
+                return None
+            out = compose(out, fragment(part.between(low, high)))
+    return out
 
 
 def _row(doc_id, ref: int, part: int, f: Fragment | None) -> dict:
@@ -380,11 +390,13 @@ def _schema(ddl: str, kind: pa.DataType) -> pa.Schema:
 
 def _fragments(a_path: str, b_path: str):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = tokenizers(a_path, b_path)
+        known = known_pieces(a_path, b_path)
         for b in batches:
             schema = _schema(FRAGMENTS, b.schema.field("doc_id").type)
             for r in b.to_pylist():
-                f = range_fragment(both, r["raw"], r["start"], r["low"], r["high"])
+                if known.full:
+                    known.clear()
+                f = range_fragment(known, r["raw"], r["start"], r["low"], r["high"])
                 yield pa.RecordBatch.from_pylist([_row(r["doc_id"], r["ref"], r["part"], f)], schema)
 
     return make
@@ -425,94 +437,66 @@ def long_texts(rows: DataFrame, a_path: str, b_path: str, size: int = RANGE) ->
     return settled(parts.mapInArrow(_finish, WHOLE.format(kind)), "align-long")
 
 
-# -- short texts: pieces -----------------------------------------------------------------------------------------------------
-def _count_links(a_path: str, b_path: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_pieces(a_path, b_path)
-        times = np.zeros(len(known.numbers), np.int64)
-
-        def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in known.links_of(times)], ["key", "n"])
-
+# -- short texts, counts and scores ------------------------------------------------------------------------------------------
+def _short(a_path: str, b_path: str):
+    """Short texts in the columns of ``WHOLE``."""
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, base, seen = known_pieces(a_path, b_path), (TaskContext.get().partitionId() << 40) + (1 << 39), 0
+        none = np.empty(0, np.int64)
         for b in batches:
-            for text in b.column("text").to_pylist():
+            n, digests, pairs, times = np.zeros((b.num_rows, 4), np.int64), [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
                 if known.full:
-                    yield counted()
                     known.clear()
-                    times[:] = 0
-                at = known.places(text)
-                if len(times) < len(known.numbers):
-                    times = np.concatenate([times, np.zeros(len(known.numbers) - len(times), np.int64)])
-                if at is not None:
-                    np.add.at(times, at, 1)
-        yield counted()
-
-    return count
-
+                at = known.places(text.split(" ")) if text else None
+                said, n[i], keys, k = known.closed(at) if at is not None else ("", 0, none, none)
+                digests.append(hashlib.sha256(said.encode()).hexdigest() if at is not None else "")
+                pairs.append(keys)
+                times.append(k)
+            refs = np.arange(base + seen, base + seen + b.num_rows)
+            seen += b.num_rows
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in pairs])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(refs), *[pa.array(np.ascontiguousarray(c)) for c in n.T], pa.array(digests, pa.string()),
+                 *[pa.ListArray.from_arrays(ends, pa.array(np.concatenate([none, *x]))) for x in (pairs, times)]],
+                schema=_schema(WHOLE, b.schema.field("doc_id").type))
 
-SCORED = "doc_id {}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+    return align
 
 
-def _score_short(a_path: str, b_path: str, told: str, shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, corpus = known_pieces(a_path, b_path), shared.value
-        for b in batches:
-            numbers, digests = np.zeros((b.num_rows, 6), np.int64), []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                if known.full:
-                    known.clear()
-                at = known.places(text) if text else None
-                if at is None:
-                    digests.append("")
-                    continue
-                known.score(told, *corpus)
-                numbers[i] = known.numbers[at].sum(axis=0)
-                digests.append(hashlib.sha256(known.text_of(at).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *[pa.array(np.ascontiguousarray(c)) for c in numbers.T], pa.array(digests, pa.string())],
-                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each pair in a task, put together whenever ``FLUSH_PAIRS`` are held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    return score
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
+    for b in batches:
+        held.append(tuple(b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("keys", "counts")))
+        if sum(len(k) for k, _ in held) > FLUSH_PAIRS:
+            held = [summed()]
+            if len(held[0][0]) > FLUSH_PAIRS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["key", "n"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], ["key", "n"])
 
-def _whole_short(a_path: str, b_path: str):
-    """Short texts in the columns of ``WHOLE``, with the pairs of each."""
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, seen = known_pieces(a_path, b_path), (TaskContext.get().partitionId() << 40) + (1 << 39), 0
-        for b in batches:
-            rows = []
-            for text in b.column("text").to_pylist():
-                if known.full:
-                    known.clear()
-                at = known.places(text) if text else None
-                if at is None:
-                    rows.append((base + seen, 0, 0, 0, 0, "", [], []))
-                else:
-                    keys, n = np.unique(known.all_links(at), return_counts=True)
-                    rows.append((base + seen, *known.numbers[at, :4].sum(axis=0).tolist(),
-                                 hashlib.sha256(known.text_of(at).encode()).hexdigest(), keys.tolist(), n.tolist()))
-                seen += 1
-            schema = _schema(WHOLE, b.schema.field("doc_id").type)
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)
 
-    return align
+SCORED = "doc_id {}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _score_long(shared):
+def _scores(shared):
+    """Rows of ``WHOLE`` with the scores of their pairs, looked up in the corpus counts."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, best = shared.value
         for b in batches:
-            n_best, sums = [], []
-            for own, times in zip(b.column("keys"), b.column("counts"), strict=True):
-                at, times = np.searchsorted(keys, own.values.to_numpy()), times.values.to_numpy()
-                n_best.append(int((best[at] * times).sum()))
-                sums.append(int((counts[at] * times).sum()))
-            own = b.drop_columns(["keys", "counts"])
+            at = np.searchsorted(keys, b.column("keys").flatten().to_numpy())
+            times = b.column("counts").flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(b.column("keys").value_lengths().to_numpy())]).astype(np.int64)
+            sums = [np.concatenate([[0], np.cumsum(x)]) for x in (best[at] * times, counts[at] * times)]
+            n_best, count_sum = (pa.array((x[ends[1:]] - x[ends[:-1]]).astype(np.int64)) for x in sums)
             yield pa.RecordBatch.from_arrays(
-                [own.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-                + [pa.array(n_best, pa.int64()), pa.array(sums, pa.int64()), own.column("groups_sha256")],
+                [*[b.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], n_best, count_sum, b.column("groups_sha256")],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     return score
@@ -548,15 +532,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, size: int = RANGE, most_pai
     small = F.coalesce(F.octet_length("text"), F.lit(0)) <= size
     short = rows.where(small)
     long = long_texts(rows.where(~small), a_path, b_path, size)
-    pairs = short.where("text <> ''").select("text").mapInArrow(_count_links(a_path, b_path), "key long, n long").unionByName(
-        long.select(F.explode(F.arrays_zip("keys", "counts")).alias("x")).select(
-            F.col("x.keys").alias("key"), F.col("x.counts").alias("n")))
-    counts = corpus_counts(pairs)
+    whole_rows = settled(short.mapInArrow(_short(a_path, b_path), WHOLE.format(kind)), "align-short").unionByName(long)
+    counts = corpus_counts(whole_rows.select("keys", "counts").mapInArrow(_pair_sums, "key long, n long"))
     if counts.count() > most_pairs:
-        whole_rows = settled(short.mapInArrow(_whole_short(a_path, b_path), WHOLE.format(kind)), "align-short")
-        return _joined(whole_rows.unionByName(long), counts)
+        return _joined(whole_rows, counts)
     told = counts.orderBy("key").toArrow()                                  # at most ``most_pairs`` rows
     arrays = [told.column(c).to_numpy() for c in ("key", "n", "best")]
     shared = spark.sparkContext.broadcast((arrays[0], arrays[1], arrays[2].astype(bool)))
-    return short.mapInArrow(_score_short(a_path, b_path, uuid.uuid4().hex, shared), SCORED.format(kind)).unionByName(
-        long.mapInArrow(_score_long(shared), SCORED.format(kind)))
+    return whole_rows.mapInArrow(_scores(shared), SCORED.format(kind))
