@@ -1,18 +1,19 @@
 """Order dependencies: discovery by Kendall's tau and scoring against an isotonic trend.
 
-Everything is computed from joint value histograms of columns with at most ``value_cap`` distinct
-values, so the per-group pandas helpers below see at most cap x cap cells, whatever the row count.
+Everything is computed from joint value histograms. Tau counts inversions by range partitions, trends pool blocks by range
+partitions, so neither a column pair nor a context has to fit a task; histograms measured small take a shorter way.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from typing import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tenetdq.functions.counting import BLOCK, Weighted
+from tenetdq.functions.inversions import kendall
+from tenetdq.functions.isotonic import fitted, isotonic_fit
 from tenetdq.functions.running import weighted_median
 from tenetdq.functions.values import as_number, finite
 from tenetdq.operators.fd import Confidences, fd_confidences, modeling_rows
@@ -25,80 +26,33 @@ from tenetdq.session import settle, settle_measured
 
 MIN_FIT = 5            # points a context needs before a trend is fitted
 NOISE = 12             # decimals kept of a residual, so equal ones rank equal
-MAX_POINTS = 1_000_000  # distinct x values of one context that a single fit accepts
-
-
-def kendall_from_counts(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
-    """tau-b of a joint histogram; NaN when either side is constant."""
-    xs, i = np.unique(x, return_inverse=True)
-    ys, j = np.unique(y, return_inverse=True)
-    grid = np.zeros((len(xs), len(ys)))
-    np.add.at(grid, (i, j), n.astype(float))
-    below = np.zeros((len(xs) + 1, len(ys) + 1))
-    below[1:, 1:] = grid.cumsum(0).cumsum(1)
-    total = grid.sum()
-    rows, cols = grid.sum(1), grid.sum(0)
-    agree = (grid * below[:-1, :-1]).sum()
-    # smaller x and larger y: all smaller x minus those with y up to this one
-    against = (grid * (below[:-1, -1:] - below[:-1, 1:])).sum()
-    pairs = total * (total - 1) / 2
-    free_x = pairs - (rows * (rows - 1) / 2).sum()
-    free_y = pairs - (cols * (cols - 1) / 2).sum()
-    if free_x <= 0 or free_y <= 0:
-        return float("nan")
-    return float(np.clip((agree - against) / np.sqrt(free_x) / np.sqrt(free_y), -1, 1))
-
-
-def isotonic_fit(y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted non-decreasing least-squares fit of ``y`` (already ordered by x)."""
-    means, weights, sizes = [], [], []
-    for value, weight in zip(y, w):
-        size = 1
-        while means and means[-1] >= value:
-            total = weights[-1] + weight
-            value = (means.pop() * weights[-1] + value * weight) / total
-            weight = total
-            weights.pop()
-            size += sizes.pop()
-        means.append(value)
-        weights.append(weight)
-        sizes.append(size)
-    return np.repeat(means, sizes)
-
-
-def _tau_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    first = pdf.iloc[0]
-    return pd.DataFrame({
-        "pair": [first["pair"]], "context": [first["context"]], "group": [first["group"]],
-        "tau": [kendall_from_counts(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy())],
-        "rows": [int(pdf["n"].sum())]})
+SMALL_POINTS = 1_000_000  # value combinations up to which a context is fitted in one task
 
 
 def group_taus(rows: Weighted, pairs: Sequence[tuple[str, str]], contexts: Sequence[str]) -> DataFrame:
     """(pair, context, group, tau, rows): tau-b of every pair, overall (context null) and in
     every value of every context column. Rows where either side is no number are left out."""
-    cols = sorted({c for p in pairs for c in p} | set(contexts))
-    pos = {c: i for i, c in enumerate(cols)}
-    base = rows.df.select(F.array(*[F.col(f"`{c}`") for c in cols]).alias("v"),
-                          F.col(rows.weight).alias("w"))
-    todo = [(k, pos[x], pos[y], pos[c] if c else -1)
-            for k, (x, y) in enumerate(pairs) for c in [None, *contexts]]
-    names = F.array(*[F.lit(c) for c in cols])
+    numbers = sorted({c for p in pairs for c in p})
+    at, place = {c: i for i, c in enumerate(numbers)}, {c: i for i, c in enumerate(contexts)}
+    nothing = F.array().cast("array<string>")
+    base = rows.df.select(
+        F.array(*[as_number(F.col(f"`{c}`")) for c in numbers]).alias("z"),
+        (F.array(*[F.col(f"`{c}`") for c in contexts]) if contexts else nothing).alias("v"), F.col(rows.weight).alias("w"))
+    names = F.array(*[F.lit(c) for c in contexts]) if contexts else nothing
+    todo = [(k, at[x], at[y], place[c] if c else -1) for k, (x, y) in enumerate(pairs) for c in [None, *contexts]]
     out = None
-    for at in range(0, len(todo), BLOCK):
+    for first in range(0, len(todo), BLOCK):
         lits = F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(x).alias("x"), F.lit(y).alias("y"),
-                                  F.lit(c).alias("c")) for k, x, y, c in todo[at:at + BLOCK]])
-        hist = (base.select("v", "w", F.explode(lits).alias("s"))
-                .select(F.col("s.pair").alias("pair"),
-                        F.when(F.col("s.c") >= 0, names[F.greatest(F.col("s.c"), F.lit(0))]).alias("context"),
-                        F.when(F.col("s.c") >= 0, F.col("v")[F.greatest(F.col("s.c"), F.lit(0))]).alias("group"),
-                        F.col("v")[F.col("s.x")].alias("x"), F.col("v")[F.col("s.y")].alias("y"), "w")
-                .groupBy("pair", "context", "group", "x", "y").agg(F.sum("w").alias("n"))
-                .select("pair", "context", "group", as_number(F.col("x")).alias("x"),
-                        as_number(F.col("y")).alias("y"), "n").dropna(subset=["x", "y"]))
+                                  F.lit(c).alias("c")) for k, x, y, c in todo[first:first + BLOCK]])
+        context = F.when(F.col("s.c") >= 0, F.get(names, F.col("s.c")))
+        group = F.when(F.col("s.c") >= 0, F.get(F.col("v"), F.col("s.c")))
+        hist = (base.select("z", "v", "w", F.explode(lits).alias("s"))
+                .select(F.col("s.pair").alias("pair"), context.alias("context"), group.alias("group"),
+                        F.get("z", F.col("s.x")).alias("x"), F.get("z", F.col("s.y")).alias("y"), "w")
+                .where("x is not null and y is not null")
+                .groupBy("pair", "context", "group", "x", "y").agg(F.sum("w").alias("n")))
         out = hist if out is None else out.unionByName(hist)
-    return out.groupBy("pair", "context", "group").applyInPandas(
-        _tau_group, "pair int, context string, `group` string, tau double, rows long")
+    return kendall(out, ["pair", "context", "group"]).select("pair", "context", "group", "tau", "rows")
 
 
 def context_taus(taus: DataFrame, min_group: int) -> DataFrame:
@@ -227,23 +181,24 @@ def _fit_group(increasing: bool):
     return fit
 
 
-def trend(cells: DataFrame, increasing: bool) -> DataFrame:
-    """(g, x, fit): isotonic trend of y on x per group, from cells (g, x, y, n).
+def trend(cells: DataFrame, increasing: bool, small: bool = True) -> DataFrame:
+    """(g, x, fit): isotonic trend of y on x per group, from cells (g, x, y, n); groups of fewer than ``MIN_FIT`` rows have none.
 
-    Only one point per distinct x of a group reaches the fitting task; contexts and x are
-    modeling columns, so a group has at most the identifier bound of them.
-    """
+    ``small`` promises that the points of a group, one for each distinct x, fit a task."""
     points = cells.dropna(subset=["x", "y"]).groupBy("g", "x").agg(
         (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("y"), F.sum("n").alias("n"))
-    return points.groupBy("g").applyInPandas(_fit_group(increasing), "g string, x double, fit double")
+    if small:
+        return points.groupBy("g").applyInPandas(_fit_group(increasing), "g string, x double, fit double")
+    sign = F.lit(1.0 if increasing else -1.0)
+    points = settle(points.withColumn("y", sign * F.col("y")))
+    enough = points.groupBy("g").agg(F.sum("n").alias("rows")).where(F.col("rows") >= MIN_FIT).select("g")
+    return fitted(points.join(enough, "g", "left_semi")).withColumn("fit", sign * F.col("fit"))
 
 
 def order_cells(rows: Weighted, s: OrderSpec) -> DataFrame:
     """(ctx, xt, yt, n, x, y, fit, resid, scale, score) of each value combination.
 
     score = |y - fit| / (median |y - fit| of the context + 1e-9); 0 where no trend was fitted.
-    Groups with more than ``MAX_POINTS`` distinct x (possible only for columns beyond the
-    identifier bound) are refused rather than sent to one task.
     """
     ctx = F.col(f"`{s.context}`") if s.context else F.lit("")
     cells, total = settle_measured(
@@ -253,12 +208,8 @@ def order_cells(rows: Weighted, s: OrderSpec) -> DataFrame:
         .select("ctx", "xt", "yt", "n", F.col("ctx").alias("g"),
                 finite(as_number(F.col("xt"))).alias("x"), finite(as_number(F.col("yt"))).alias("y")),
         rows=F.count(F.lit(1)))
-    bounded = total["rows"] <= MAX_POINTS
-    if not bounded:
-        points = cells.select("g", "x").distinct().groupBy("g").count().agg(F.max("count")).first()[0]
-        if points > MAX_POINTS:
-            raise ValueError(f"{points} distinct values of {s.x} in one group: bin it before fitting a trend")
-    fits = trend(cells, s.increasing)
+    bounded = total["rows"] <= SMALL_POINTS
+    fits = trend(cells, s.increasing, bounded)
     joined = settle(cells.join(fits, ["g", "x"], "left")
                     .withColumn("resid", F.round(F.abs(F.col("y") - F.col("fit")), NOISE)))
     med = weighted_median(joined.where("resid is not null"), ["g"], "resid", "n", small=bounded, out="med")

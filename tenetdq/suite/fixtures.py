@@ -132,3 +132,16 @@ SUMMED = """summed AS (
          CAST(p_size + (p_partkey * 7) % 41
               + (CASE WHEN p_partkey % 97 = 11 THEN 50 ELSE 0 END) AS DOUBLE) AS z
   FROM part)"""
+
+
+def priced(spark: SparkSession, sf_dir: str) -> Frame:
+    """Orders with a price, a price with noise (both nearly all distinct), a customer and a value that grows with it."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return from_df(o.select(key.alias("row_id"), F.col("o_totalprice").alias("price"),
+                            (F.col("o_totalprice") + (key * 7919) % 100003).alias("noisy"), F.col("o_custkey").alias("cust"),
+                            (F.col("o_custkey") * 2 + (key * 7919) % 1001).alias("grown")), "row_id")
+
+
+PRICED = """priced AS (
+  SELECT o_orderkey AS row_id, o_totalprice AS price, o_totalprice + (o_orderkey * 7919) % 100003 AS noisy,
+         o_custkey AS cust, o_custkey * 2 + (o_orderkey * 7919) % 1001 AS grown FROM orders)"""

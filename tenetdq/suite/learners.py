@@ -36,6 +36,21 @@ def kendall_tau(spark, sf_dir):
     return taus.select(F.coalesce("group", F.lit("")).alias("group"), "rows", F.round("tau", SIX).alias("tau"))
 
 
+@query("kendall_tau_orders", f"WITH {fx.PRICED}" + """,
+pairs AS (SELECT sum(CASE WHEN a.noisy < b.noisy THEN 1 WHEN a.noisy > b.noisy THEN -1 ELSE 0 END) AS s
+  FROM priced a JOIN priced b ON a.price < b.price),
+free AS (SELECT sum(n) AS n, sum(CASE WHEN c = 'x' THEN n * (n - 1) // 2 END) AS tx, sum(CASE WHEN c = 'y' THEN n * (n - 1) // 2 END) AS ty
+  FROM (SELECT 'x' AS c, count(*) AS n FROM priced GROUP BY price UNION ALL SELECT 'y', count(*) FROM priced GROUP BY noisy)),
+total AS (SELECT count(*) AS t, count(DISTINCT price) AS xs, count(DISTINCT noisy) AS ys FROM priced)
+SELECT xs AS distinct_x, ys AS distinct_y, t AS "rows",
+  round(CAST(s AS DOUBLE) / sqrt(CAST(t * (t - 1) // 2 - tx AS DOUBLE)) / sqrt(CAST(t * (t - 1) // 2 - ty AS DOUBLE)), 6) AS tau FROM pairs, free, total""")
+def kendall_tau_orders(spark, sf_dir):
+    frame = fx.priced(spark, sf_dir)
+    taus = od.group_taus(frame.weighted(["price", "noisy"]), [("price", "noisy")], [])
+    values = frame.df.agg(F.count_distinct("price").alias("distinct_x"), F.count_distinct("noisy").alias("distinct_y"))
+    return values.crossJoin(taus.select("rows", F.round("tau", SIX).alias("tau")))      # one row each
+
+
 COND = "cond AS (SELECT context, round(sum(tau * total) / sum(total), 6) AS tau FROM taus WHERE context = '' OR total >= 30 GROUP BY context)"
 
 
@@ -74,6 +89,19 @@ def isotonic_residual(spark, sf_dir):
     return cells.select("ctx", "xt", "yt", "n", F.round("fit", SIX).alias("fit"), F.round("resid", SIX).alias("resid"))
 
 
+@query("isotonic_orders", f"""WITH {fx.PRICED}, pts AS (SELECT cust AS x, avg(CAST(grown AS DOUBLE)) AS y, CAST(count(*) AS DOUBLE) AS w FROM priced GROUP BY cust),
+cum AS (SELECT x, y, w, sum(w) OVER o AS cw, sum(w * y) OVER o AS cs FROM pts WINDOW o AS (ORDER BY x)),
+means AS (SELECT j.x AS xj, k.x AS xk, (k.cs - j.cs + j.w * j.y) / (k.cw - j.cw + j.w) AS mean FROM cum j JOIN cum k ON j.x <= k.x),
+low AS (SELECT xj, xk, min(mean) OVER (PARTITION BY xj ORDER BY xk DESC) AS m FROM means),
+fits AS (SELECT xk AS x, max(m) AS fit FROM low GROUP BY xk)
+SELECT CAST(cust AS VARCHAR) AS xt, CAST(grown AS VARCHAR) AS yt, count(*) AS n, round(max(fit), 4) AS fit, round(max(abs(grown - fit)), 4) AS resid
+FROM priced JOIN fits ON cust = x GROUP BY cust, grown""")
+def isotonic_orders(spark, sf_dir):
+    spec = od.OrderSpec("cust", "grown", None, True, 0.9)
+    cells = od.order_cells(fx.priced(spark, sf_dir).weighted(["cust", "grown"]), spec)
+    return cells.select("xt", "yt", "n", F.round("fit", 4).alias("fit"), F.round("resid", 4).alias("resid"))
+
+
 @query("order_repair", f"""WITH {ISO} SELECT row_id, 'y' AS "column", CAST(CAST(y AS BIGINT) AS VARCHAR) AS old, round(fit, {SIX}) AS fixed, 'order' AS kind
 FROM res JOIN med USING (ctx) WHERE resid > 3 * (med + 1e-9)""")
 def order_repair(spark, sf_dir):

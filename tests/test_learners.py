@@ -1,11 +1,14 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import countries, frame_of, monotone, rows_of, sums
 from tenetdq.operators.fd import learn_simple, mine
 from tenetdq.operators.gated import GatedLearner
 from tenetdq.operators.linear import LinearLearner
-from tenetdq.operators.order import OrderLearner, isotonic_fit, kendall_from_counts
+from tenetdq.functions import inversions as inv
+from tenetdq.functions import isotonic as iso
+from tenetdq.operators.order import OrderLearner, isotonic_fit
 from tenetdq.operators.report import analyze
 from tenetdq.operators.routed import EnsembleLearner, FdLearner, RoutedLearner
 from tenetdq.plans.constraints import FunctionalDependency as FD
@@ -79,15 +82,69 @@ def test_order_learner(spark):
     assert worst(learner.score(frame), "y") == 5
 
 
-def test_kendall_matches_pair_counting():
-    rng = np.random.default_rng(3)
-    x, y = rng.integers(0, 6, 60), rng.integers(0, 5, 60)
-    i, j = np.triu_indices(60, 1)
+def tau_by_pairs(x, y):
+    i, j = np.triu_indices(len(x), 1)
     s = np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])
-    want = s.sum() / np.sqrt((x[i] != x[j]).sum() * (y[i] != y[j]).sum())
-    cells, n = np.unique(np.stack([x, y]), axis=1, return_counts=True)
-    assert kendall_from_counts(cells[0], cells[1], n) == pytest.approx(want)
-    assert np.isnan(kendall_from_counts(np.ones(3), np.arange(3), np.ones(3)))
+    free = (x[i] != x[j]).sum() * (y[i] != y[j]).sum()
+    return s.sum() / np.sqrt(free) if free else float("nan")
+
+
+@pytest.mark.parametrize("cells,chunk", [(1_000_000, 1_000_000), (0, 1_000_000), (0, 13), (120, 7)])
+def test_kendall_matches_pair_counting(spark, monkeypatch, cells, chunk):
+    """In one step, by range partitions, with many parts a partition, and with a coarse histogram that is cut again."""
+    monkeypatch.setattr(inv, "SMALL_CELLS", cells)
+    rng = np.random.default_rng(3)
+    cases = {("a", None): (rng.integers(0, 6, 60), rng.integers(0, 5, 60)), ("a", "hot"): (rng.normal(size=300), rng.normal(size=300)),
+             ("b", ""): (np.arange(40.0), np.arange(40.0) // 3), ("b", "one"): (np.ones(3), np.arange(3)),
+             ("c", "down"): (np.arange(90.0), -np.arange(90.0) ** 3), ("c", "row"): (np.ones(1), np.ones(1))}
+    rows = [(p, g, float(a), float(b)) for (p, g), (x, y) in cases.items() for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "p string, g string, x double, y double").repartition(3)
+    hist = df.groupBy("p", "g", "x", "y").count().withColumnRenamed("count", "n")
+    got = {(r["p"], r["g"]): r for r in inv.kendall(hist, ["p", "g"], chunk).collect()}
+    assert set(got) == set(cases)
+    for k, (x, y) in cases.items():
+        assert got[k]["rows"] == len(x)
+        assert got[k]["tau"] == pytest.approx(tau_by_pairs(x, y), nan_ok=True)
+    assert inv.kendall(hist.where("false"), ["p", "g"]).count() == 0
+
+
+def test_inversions_of_weighted_rows():
+    rng = np.random.default_rng(8)
+    key = np.sort(rng.integers(0, 4, 200))
+    key = np.unique(key, return_inverse=True)[1]
+    y, n = rng.integers(0, 20, 200).astype(float), rng.integers(1, 5, 200).astype(float)
+    want = [sum(n[i] * n[j] for i in np.flatnonzero(key == k) for j in np.flatnonzero(key == k) if i < j and y[i] > y[j])
+            for k in range(key.max() + 1)]
+    assert inv.inversions(key, y, n).tolist() == want
+
+
+@pytest.mark.parametrize("shape,size", [("trend", 1000), ("noise", 20), ("down", 1000), ("steps", 30)])
+def test_isotonic_fit_by_partitions(spark, monkeypatch, shape, size):
+    rng = np.random.default_rng(11)
+    m = 400
+    y = {"trend": np.arange(m) + rng.normal(size=m) * 30, "noise": rng.normal(size=m), "down": -np.arange(m) + 0.0,
+         "steps": np.tile(np.arange(m // 8), 8) + 0.0}[shape]
+    n = rng.integers(1, 6, m)
+    rows = [("hot", float(i), float(v), int(w)) for i, (v, w) in enumerate(zip(y, n))] + [("", 1.0, 5.0, 2)]
+    monkeypatch.setattr(iso, "FAN", 2)
+    points = spark.createDataFrame(rows, "g string, x double, y double, n long").repartition(3)
+    got = {(r["g"], r["x"]): r["fit"] for r in iso.fitted(points, size).collect()}
+    want = isotonic_fit(y, n.astype(float))
+    assert len(got) == m + 1 and got["", 1.0] == 5.0
+    assert [got["hot", float(i)] for i in range(m)] == pytest.approx(want.tolist())
+
+
+def test_residuals_agree_on_both_paths(spark, monkeypatch):
+    from tenetdq.operators import order as od
+    frame = monotone(spark)
+    for context, up in (("ctx", True), (None, False)):
+        spec = od.OrderSpec("x", "y", context, up, 0.9)
+        found = []
+        for bound in (1_000_000, 0):
+            monkeypatch.setattr(od, "SMALL_POINTS", bound)
+            found.append(sorted(tuple(r) for r in od.order_cells(frame.weighted(["ctx", "x", "y"]), spec).select(
+                "ctx", "xt", "yt", "n", F.round("fit", 9), F.round("resid", 9), F.round("score", 6)).collect()))
+        assert found[0] == found[1]
 
 
 def test_isotonic_matches_min_max_formula():
