@@ -1,19 +1,19 @@
 """Violation monitors: which rows or groups break a given constraint."""
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tenetdq.functions.lookup import attach, settle_sized
+from tenetdq.functions.lookup import attach, fits_broadcast, settle_sized
 from tenetdq.functions.running import running
 from tenetdq.functions.values import as_number, number_in
 from tenetdq.operators.fd import count_cells
 from tenetdq.operators.scoring import residual
 from tenetdq.plans.constraints import DenialConstraint, FunctionalDependency, LinearConstraint, Predicate
 from tenetdq.plans.frame import ROW_ID, Frame
+from tenetdq.session import settle_measured
 
 NUMERIC_OPS = ("<", "<=", ">", ">=")
 
@@ -182,13 +182,63 @@ def _only_differences(left, right, keys, cs) -> DataFrame:
     return out.where("__partners > 0").select(*left.columns)
 
 
+def _ranks(left: DataFrame, right: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(column, __r): places of the distinct values of both sides in their order, and how many there are."""
+    values = left.select(column).unionByName(right.select(column)).distinct().select(
+        column, F.lit(0).alias("__all"), F.lit(1).cast("long").alias("__one"))
+    placed, seen = settle_measured(running(values, ["__all"], [column], {"__r": ("sum", "__one")}).select(column, "__r"),
+                                   rows=F.count(F.lit(1)))
+    return placed, max(1, seen["rows"])
+
+
+def _halved(rows: DataFrame, place: str, levels: int, half: int, op: str, out: str) -> DataFrame:
+    """A row for each node of a binary tree over places in whose ``half`` (0 left, 1 right) the row stands, named by ``out``.
+
+    Two places a < b meet in exactly one node with a on its left and b on its right. For ``!=`` either half will do: the row is there
+    once per level, under the side that its partners are on (``half`` 1) or that it is on itself (``half`` 0)."""
+    bit = f"(shiftright({place}, l) & 1)"
+    node = f"(shiftright({place}, l + 1) * 64 + l)"
+    if op == "!=":
+        code = f"transform(sequence(0, {levels - 1}), l -> {node} * 2 + {bit if half == 0 else f'1 - {bit}'})"
+    else:
+        code = f"transform(filter(sequence(0, {levels - 1}), l -> {bit} = {half}), l -> {node})"
+    return rows.withColumn(out, F.explode(F.expr(code))).drop(place)
+
+
 def _many_comparisons(left, right, keys, rest) -> DataFrame:
-    """Three or more mixed comparisons: semi join of the distinct projections. Within a key group it
-    compares distinct combinations, so it suits constraints with selective equalities."""
-    a, b = left.alias("a"), right.distinct().alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    on += [_compare(F.col(f"a.c{i}"), p.op, F.col(f"b.c{i}")) for i, p in enumerate(rest)]
-    return a.join(b, reduce(lambda s, t: s & t, on), "left_semi")
+    """Three or more comparisons, by divide and conquer: each comparison beyond two becomes an equality.
+
+    The values of its column are put in order as the leaves of a binary tree. A member that is smaller than a probe
+    stands in the left half of exactly one node in whose right half the probe stands, so with a row for each
+    such node the comparison says that both name the same node. What remains is a sweep with two comparisons inside
+    equal keys and nodes, from running extremes: n log n rows a comparison, in one sort, and no pair is formed."""
+    sweep = next(i for i, p in enumerate(rest) if p.op in NUMERIC_OPS)
+    others = [i for i in range(len(rest)) if i != sweep]
+    last = next((i for i in others if rest[i].op == "!="), others[-1])      # extremes decide a difference as well
+    probes, members, nodes = left, right.distinct(), []
+    for i in others:
+        if i == last:
+            continue
+        op, c, out = rest[i].op, f"c{i}", f"d{i}"
+        ranks, size = _ranks(left, right, c)
+        small = fits_broadcast(ranks)
+        # places on one scale: the member's is below the probe's exactly when the comparison holds
+        up = F.col("__r") if op in (">", ">=", "!=") else F.lit(size - 1) - F.col("__r")
+        strict = op in (">", "<")
+        place = {"!=": (up, up)}.get(op, (up * 2 + int(strict), up * 2 + int(not strict)))
+        levels = (2 * size + 1).bit_length()
+        probes, members = (
+            _halved(attach(rows, ranks, [c], how="inner", small=small).withColumn("__p", place[half]).drop("__r"),
+                    "__p", levels, half, op, out)
+            for rows, half in ((probes, 1), (members, 0)))
+        nodes.append(out)
+    pair = [rest[sweep], rest[last]]
+    members = members.select(*keys, *nodes, F.col(f"c{sweep}").alias("m0"), F.col(f"c{last}").alias("m1")).toDF(
+        *keys, *nodes, "c0", "c1")
+    named = probes.withColumns({f"own{i}": F.col(f"c{i}") for i in range(len(rest))}).drop(*[f"c{i}" for i in range(len(rest))])
+    named = named.withColumns({"c0": F.col(f"own{sweep}"), "c1": F.col(f"own{last}")})
+    found = _two_comparisons(named, members, [*keys, *nodes], pair)
+    return found.select(*keys, *[F.col(f"own{i}").alias(f"c{i}") for i in range(len(rest))]).distinct()
 
 
 def dc_monitor(frame: Frame, dc: DenialConstraint, against: Frame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from tenetdq.operators.fd import learn_simple
 from tenetdq.operators.scoring import fd_cell_scores
 from tenetdq.plans.algebra import RelationSpec
 from tenetdq.plans.constraints import DenialConstraint, FunctionalDependency, LinearConstraint, Predicate, denial_of
-from tenetdq.plans.frame import Frame
+from tenetdq.plans.frame import Frame, from_df
 from tenetdq.session import scratch_path
 from tenetdq.suite import fixtures as fx
 from tenetdq.suite.registry import query
@@ -104,6 +104,31 @@ def generic_dc_cross(spark, sf_dir):
     return mo.dc_monitor(fx.summed(spark, sf_dir), dc)
 
 
+@query("generic_dc_three", """WITH cust AS (SELECT c_custkey AS row_id, c_acctbal AS balance, c_nationkey AS nation, length(c_mktsegment) AS size FROM customer)
+SELECT row_id, CAST(nation AS VARCHAR) AS nation, CAST(size AS VARCHAR) AS size FROM cust a
+WHERE EXISTS (SELECT 1 FROM cust b WHERE a.balance < b.balance AND a.nation > b.nation AND a.size >= b.size)""")
+def generic_dc_three(spark, sf_dir):
+    c = fx.table(spark, sf_dir, "customer")
+    frame = from_df(c.select(F.col("c_custkey").alias("row_id"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"),
+                             F.length("c_mktsegment").alias("size")), "row_id")
+    dc = DenialConstraint((Predicate("balance", "<", "balance"), Predicate("nation", ">", "nation"), Predicate("size", ">=", "size")))
+    return mo.dc_monitor(frame, dc).select("row_id", "nation", "size")
+
+
+@query("generic_dc_four", """WITH line AS (SELECT o_orderkey AS row_id, o_totalprice AS price, o_custkey AS cust, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day,
+  o_orderstatus AS status FROM orders)
+SELECT row_id, CAST(cust AS VARCHAR) AS cust, status FROM line a WHERE EXISTS (SELECT 1 FROM line b
+  WHERE a.price > b.price + 400000 AND a.cust < b.cust AND a.day >= b.day AND a.status <> b.status)""")
+def generic_dc_four(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    frame = from_df(o.select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("price"), (F.col("o_totalprice") + 400000).alias("far"),
+                             F.col("o_custkey").alias("cust"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01")).alias("day"),
+                             F.col("o_orderstatus").alias("status")), "row_id")
+    dc = DenialConstraint((Predicate("price", ">", "far"), Predicate("cust", "<", "cust"), Predicate("day", ">=", "day"),
+                           Predicate("status", "!=", "status")))
+    return mo.dc_monitor(frame, dc).select("row_id", "cust", "status")
+
+
 @query("key_uniqueness", """
 SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, count(*) AS n_rows
 FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")

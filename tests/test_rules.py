@@ -35,6 +35,10 @@ def brute(rows, dc):
     [P("g", "=", "g"), P("x", "!=", "x"), P("y", "!=", "y")],
     [P("x", "!=", "y"), P("y", "!=", "y"), P("z", "!=", "z"), P("g", "=", "g")],
     [P("g", "=", "g"), P("x", "<", "x"), P("y", "<", "y"), P("z", ">", "z")],
+    [P("x", ">", "x"), P("y", "<=", "y"), P("z", ">", "z")],
+    [P("x", ">=", "y"), P("y", "<", "x"), P("z", "<=", "z"), P("g", "!=", "g")],
+    [P("x", "!=", "x"), P("y", "!=", "y"), P("z", "<", "z"), P("g", "!=", "g")],
+    [P("x", ">", "x"), P("y", ">", "y"), P("z", ">=", "z"), P("x", "<=", "y"), P("g", "=", "g")],
     [P("x", ">", "y")],
 ])
 def test_denial_constraints_match_brute_force(spark, preds):
