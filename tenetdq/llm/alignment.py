@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenetdq.llm.common import bounded_batches, settled
-from tenetdq.llm.tokens import PRE_TOKENS, _Letters
+from tenetdq.llm.tokens import PRE_TOKENS, PUNCTUATION, _Letters
 
 RANGE = 48 << 10               # bytes of a range of a long text
 FAN = 8                        # fragments composed by one task
@@ -147,7 +147,7 @@ class Tokenizers:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
         a = Tokenizer.from_file(a_path)
-        self._merge, self._letters = a.model.tokenize, _Letters()
+        self._merge, self._letters, self._ends = a.model.tokenize, _Letters(), {}
         byte = {c: b for b, c in self._letters._byte.items()}
         self.a_bytes = [b""] * a.get_vocab_size()
         for token, i in a.get_vocab(with_added_tokens=False).items():
@@ -164,10 +164,21 @@ class Tokenizers:
 
     def a_ids(self, piece: str) -> list[int]:
         """Tokens of A of space + piece."""
-        if piece.isascii() and piece.isalpha():
-            return [t.id for t in self._merge("Ġ" + piece)]
+        word = piece.rstrip(PUNCTUATION)
+        if word.isalpha():                                   # one pre-token, perhaps with an end
+            shown = word if word.isascii() else "".join(map(self._letters.__getitem__, word))
+            found = [t.id for t in self._merge("Ġ" + shown)]
+            return found + self._end(piece[len(word):]) if len(word) < len(piece) else found
         return [t.id for pre in PRE_TOKENS.findall(" " + piece) for t in self._merge("".join(map(self._letters.__getitem__, pre)))]
 
+    def _end(self, end: str) -> list[int]:
+        found = self._ends.get(end)
+        if found is None:
+            if len(self._ends) > 20_000:
+                self._ends.clear()
+            found = self._ends[end] = [t.id for t in self._merge("".join(map(self._letters.__getitem__, end)))]
+        return found
+
     def ids(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         """Tokens of space + each piece; None where those of A or B don't spell it."""
         a_size, b_bytes = self.a_size, self.b_bytes
@@ -230,26 +241,54 @@ class Pieces:
         self.groups: list[str] = []
         self.wrong: set[int] = set()                        # pieces that their tokens don't spell
         self.numbers, self.links, self.first = array("q"), array("q"), array("q")
+        self.hits = np.zeros(1 << 16, np.int64)
+
+    def renew(self) -> None:
+        """Forget what was met once; if that is not enough, all but the most frequent half."""
+        n, most = len(self.groups), CACHE_PIECES // 2
+        keep = np.flatnonzero(self.hits[:n] > 1)
+        if len(keep) > most:
+            keep = np.sort(np.argpartition(-self.hits[:n], most)[:most])
+        old, keys = (self.groups, self.wrong, np.array(self.numbers).reshape(-1, 4), np.array(self.first), np.array(self.links)), list(self.at)
+        self.clear()
+        groups, wrong, numbers, first, links = old
+        for i in keep.tolist():
+            at = self.at[keys[i]] = len(self.groups)
+            self.groups.append(groups[i])
+            self.chars += len(keys[i])
+            if i in wrong:
+                self.wrong.add(at)
+        if self.chars > CACHE_CHARS // 2:
+            self.clear()
+            return
+        n = numbers[keep, 3]
+        ends = np.cumsum(n)
+        self.numbers = array("q", numbers[keep].tobytes())
+        self.first = array("q", (ends - n).tobytes())
+        self.links = array("q", links[np.arange(n.sum()) + np.repeat(first[keep] - ends + n, n)].tobytes())
 
     @property
     def full(self) -> bool:
         return len(self.groups) > CACHE_PIECES or self.chars > CACHE_CHARS
 
     def _learn(self, keys: list[str]) -> None:
-        both, groups, first = self.both, self.groups, self.first
+        both, groups, first, at, all_links, numbers = self.both, self.groups, self.first, self.at, self.links, self.numbers
+        aligned, n_links = both.aligned, len(all_links)
+        self.chars += sum(map(len, keys))
         for key, ids in zip(keys, both.ids([k[1:] if k[0] == " " else k for k in keys]), strict=True):
-            self.at[key] = len(groups)
-            self.chars += len(key)
-            first.append(len(self.links))
+            at[key] = len(groups)
+            first.append(n_links)
             if ids is None:
                 self.wrong.add(len(groups))
                 groups.append("")
-                self.numbers.extend((0, 0, 0, 0))
+                numbers.extend((0, 0, 0, 0))
                 continue
-            own, links = both.aligned(*ids)
+            a, b = ids
+            own, links = aligned(a, b)
             groups.append(";".join(own))
-            self.numbers.extend((len(ids[0]), len(ids[1]), len(own), len(links)))
-            self.links.extend(links)
+            numbers.extend((len(a), len(b), len(own), len(links)))
+            all_links.extend(links)
+            n_links += len(links)
 
     def places(self, keys: list[str], marked: bool = False) -> np.ndarray | None:
         """The pieces of a text split at spaces; None if its tokens don't spell it."""
@@ -265,6 +304,9 @@ class Pieces:
 
     def closed(self, places: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """Groups, numbers, and pairs with their links of pieces that follow each other."""
+        if len(self.groups) > len(self.hits):
+            self.hits = np.concatenate([self.hits, np.zeros(len(self.groups), np.int64)])
+        np.add.at(self.hits, places, 1)
         numbers = np.frombuffer(self.numbers, np.int64).reshape(-1, 4)[places]
         n = numbers[:, 3]
         first = np.frombuffer(self.first, np.int64)[places]
@@ -395,7 +437,7 @@ def _fragments(a_path: str, b_path: str):
             schema = _schema(FRAGMENTS, b.schema.field("doc_id").type)
             for r in b.to_pylist():
                 if known.full:
-                    known.clear()
+                    known.renew()
                 f = range_fragment(known, r["raw"], r["start"], r["low"], r["high"])
                 yield pa.RecordBatch.from_pylist([_row(r["doc_id"], r["ref"], r["part"], f)], schema)
 
@@ -447,7 +489,7 @@ def _short(a_path: str, b_path: str):
             n, digests, pairs, times = np.zeros((b.num_rows, 4), np.int64), [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 if known.full:
-                    known.clear()
+                    known.renew()
                 at = known.places(text.split(" ")) if text else None
                 said, n[i], keys, k = known.closed(at) if at is not None else ("", 0, none, none)
                 digests.append(hashlib.sha256(said.encode()).hexdigest() if at is not None else "")
