@@ -1,20 +1,21 @@
 """The counting kernel: many group-by statistics from one scan."""
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from itertools import combinations
 from math import prod
 from typing import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-BLOCK = 256                # column sets counted per scan
 COLLAPSE_ROWS = 1_000_000  # distinct tuples up to which a table is folded into weights
 GRID_COLUMNS = 6           # columns from which pairs are counted on grids instead of by exploding
-GRID_CELLS = 16_000_000    # counters a task holds while counting pairs (128 MB)
-FLUSH_ROWS = 200_000       # rows coded before their pairs are counted
+GRID_CELLS = 4_000_000     # counters of one pair that are added up densely; beyond, its codes are sorted
+HELD_CODES = 16_000_000    # coded cells a task holds before their pairs are counted (64 MB)
 
 Spec = tuple[tuple[str, ...], str]
 
@@ -42,35 +43,30 @@ def value_counts(df: DataFrame, cols: Sequence[str], weight: str | None = None)
             .groupBy("column", "value").agg(total.alias("n")))
 
 
+def literal_rows(rows: Sequence[dict], schema: str) -> Column:
+    """A constant array of structs, whatever its length, as one expression."""
+    return F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")
+
+
 def joint_counts(rows: Weighted, cols: Sequence[str], specs: Sequence[Spec]) -> DataFrame:
     """(spec, lhs, rhs, n): joint value counts of every spec ``(lhs columns, rhs column)``.
 
-    The specs travel as one literal array that is exploded per row, so the generated code does
-    not grow with their number. Map-side aggregation bounds what is shuffled by the number of
+    The specs travel as one constant array that is exploded per row, so one scan and one shuffle serve all of them.
+    Map-side aggregation bounds what is shuffled by the number of
     distinct combinations, whatever the number of rows or the share of one value.
     """
     pos = {c: i for i, c in enumerate(cols)}
     base = rows.df.select(F.array(*[F.col(f"`{c}`") for c in cols]).alias("v"),
                           F.col(rows.weight).alias("w"))
-    parts = []
-    for size in sorted({len(lhs) for lhs, _ in specs}):
-        chosen = [(i, lhs, rhs) for i, (lhs, rhs) in enumerate(specs) if len(lhs) == size]
-        for at in range(0, len(chosen), BLOCK):
-            lits = F.array(*[
-                F.struct(F.lit(i).alias("spec"), F.lit(pos[rhs]).alias("r"),
-                         *[F.lit(pos[a]).alias(f"l{k}") for k, a in enumerate(lhs)])
-                for i, lhs, rhs in chosen[at:at + BLOCK]])
-            x = base.select("v", "w", F.explode(lits).alias("s"))
-            lhs_vals = F.array(*[F.col("v")[F.col(f"s.l{k}")] for k in range(size)]) if size \
-                else F.array().cast("array<string>")
-            parts.append(
-                x.select(F.col("s.spec").alias("spec"), lhs_vals.alias("lhs"),
-                         F.col("v")[F.col("s.r")].alias("rhs"), "w")
-                .groupBy("spec", "lhs", "rhs").agg(F.sum("w").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    width = max(len(lhs) for lhs, _ in specs)
+    told = literal_rows([{"spec": i, "r": pos[rhs], "size": len(lhs)} | {f"l{k}": pos[a] for k, a in enumerate(lhs)}
+                         for i, (lhs, rhs) in enumerate(specs)],
+                        ", ".join(["spec: int", "r: int", "size: int", *[f"l{k}: int" for k in range(width)]]))
+    x = base.select("v", "w", F.explode(told).alias("s"))
+    values = [F.get("v", F.col(f"s.l{k}")) for k in range(width)]
+    lhs_vals = F.slice(F.array(*values), F.lit(1), F.col("s.size")) if width else F.array().cast("array<string>")
+    return (x.select(F.col("s.spec").alias("spec"), lhs_vals.alias("lhs"), F.get("v", F.col("s.r")).alias("rhs"), "w")
+            .groupBy("spec", "lhs", "rhs").agg(F.sum("w").alias("n")))
 
 
 def spec_stats(counts: DataFrame) -> DataFrame:
@@ -97,87 +93,66 @@ def _both_directions(joint: DataFrame) -> DataFrame:
 def pair_stats(rows: Weighted, cols: Sequence[str]) -> DataFrame:
     """(l, r, covered, combos, rows) for all ordered pairs, by column position.
 
-    Each unordered pair is counted once and read in both directions.
+    Each unordered pair is counted once and read in both directions; one scan serves all pairs.
     """
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     base = rows.df.select(F.array(*[F.col(f"`{c}`") for c in cols]).alias("v"),
                           F.col(rows.weight).alias("w"))
-    out = None
-    for at in range(0, len(pairs), BLOCK):
-        lits = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                         for i, j in pairs[at:at + BLOCK]])
-        part = _both_directions(
-            base.select("v", "w", F.explode(lits).alias("p"))
-            .select("p.i", "p.j", F.col("v")[F.col("p.i")].alias("a"),
-                    F.col("v")[F.col("p.j")].alias("b"), "w")
-            .groupBy("i", "j", "a", "b").agg(F.sum("w").alias("n")))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _grid_kernel(values: list[list[str]], pairs: list[tuple[int, int]]):
-    """Arrow task: codes every column once, then counts each pair by one integer histogram."""
+    last = len(cols) - 1
+    left = base.select("v", "w", F.explode(F.sequence(F.lit(0), F.lit(max(0, last - 1)))).alias("i")).where(F.lit(last > 0))
+    both = left.select("v", "w", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(last))).alias("j"))
+    return _both_directions(
+        both.select("i", "j", F.get("v", F.col("i")).alias("a"), F.get("v", F.col("j")).alias("b"), "w")
+        .groupBy("i", "j", "a", "b").agg(F.sum("w").alias("n")))
+
+
+def _grid_kernel(values: list[list[str]]):
+    """Arrow task: codes every column once, then counts each pair of the held rows by one integer histogram."""
     def count(batches):
         lookups = [pa.array(v, pa.string()) for v in values]
-        used = sorted({c for p in pairs for c in p})
-        grids = {p: np.zeros(len(values[p[0]]) * len(values[p[1]]), np.int64) for p in pairs}
-        held: dict[int, list[np.ndarray]] = {c: [] for c in used}
+        held: list[list[np.ndarray]] = [[] for _ in values]
         size = 0
 
-        def flush():
-            codes = {c: np.concatenate(a) for c, a in held.items()}
-            for (i, j), grid in grids.items():
-                grid += np.bincount(codes[i] * len(values[j]) + codes[j], minlength=len(grid))
-            for a in held.values():
-                a.clear()
+        def counted():
+            codes = [np.concatenate(a) for a in held]
+            for i, j in combinations(range(len(values)), 2):
+                cells = len(values[i]) * len(values[j])
+                key = codes[i].astype(np.int64) * len(values[j]) + codes[j]
+                if cells <= max(GRID_CELLS, len(key)):
+                    grid = np.bincount(key, minlength=cells)
+                    at = np.flatnonzero(grid)
+                    n = grid[at]
+                else:
+                    at, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), i, np.int32)), pa.array(np.full(len(at), j, np.int32)),
+                     pa.array((at // len(values[j])).astype(np.int32)), pa.array((at % len(values[j])).astype(np.int32)),
+                     pa.array(n)], names=["i", "j", "a", "b", "n"])
 
         for batch in batches:
-            for c in used:
-                codes = pc.index_in(batch.column(c), value_set=lookups[c])
-                held[c].append(codes.to_numpy(zero_copy_only=False).astype(np.intp))
+            for c, lookup in enumerate(lookups):
+                codes = pc.index_in(batch.column(c), value_set=lookup)
+                held[c].append(codes.to_numpy(zero_copy_only=False).astype(np.int32))
             size += batch.num_rows
-            if size >= FLUSH_ROWS:
-                flush()
-                size = 0
+            if size * len(values) >= HELD_CODES:
+                yield from counted()
+                held, size = [[] for _ in values], 0
         if size:
-            flush()
-        for (i, j), grid in grids.items():
-            at = np.flatnonzero(grid)
-            if len(at):
-                whole = np.full(len(at), 0, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole + i), pa.array(whole + j), pa.array((at // len(values[j])).astype(np.int32)),
-                     pa.array((at % len(values[j])).astype(np.int32)), pa.array(grid[at])],
-                    names=["i", "j", "a", "b", "n"])
+            yield from counted()
     return count
 
 
 def grid_pair_stats(df: DataFrame, cols: Sequence[str], values: dict[str, list[str]]) -> DataFrame:
     """:func:`pair_stats` for many columns whose distinct values are known and few.
 
-    Exploding rows costs one record per row and pair; here a row is coded once per column and
-    a pair costs one integer addition. A task keeps a grid of all value pairs (bounded by
-    ``GRID_CELLS`` per pass), so it reads several input splits and emits each pair once: the
+    Exploding rows costs one record per row and pair; here a row is read and coded once, whatever the number of pairs, and
+    a pair costs one integer addition. A task holds a bounded number of coded rows and the counters of one
+    pair, and emits each pair's counts for the rows it held, so it reads several input splits: the
     shuffle grows with the number of tasks, not with the rows.
     """
     cols = list(cols)
-    known = [values[c] for c in cols]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     spark = df.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(*[f"`{c}`" for c in cols]).coalesce(tasks)
-    blocks: list[list[tuple[int, int]]] = [[]]
-    cells = 0
-    for p in pairs:
-        cells += len(known[p[0]]) * len(known[p[1]])
-        if cells > GRID_CELLS and blocks[-1]:
-            blocks.append([])
-            cells = len(known[p[0]]) * len(known[p[1]])
-        blocks[-1].append(p)
-    out = None
-    for block in blocks:
-        counted = rows.mapInArrow(_grid_kernel(known, block), "i int, j int, a int, b int, n long")
-        part = _both_directions(counted.groupBy("i", "j", "a", "b").agg(F.sum("n").alias("n")))
-        out = part if out is None else out.unionByName(part)
-    return out
+    counted = df.select(*[f"`{c}`" for c in cols]).coalesce(tasks).mapInArrow(
+        _grid_kernel([values[c] for c in cols]), "i int, j int, a int, b int, n long")
+    return _both_directions(counted.groupBy("i", "j", "a", "b").agg(F.sum("n").alias("n")))

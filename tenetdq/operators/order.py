@@ -11,7 +11,7 @@ from typing import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tenetdq.functions.counting import BLOCK, Weighted
+from tenetdq.functions.counting import Weighted, literal_rows
 from tenetdq.functions.inversions import kendall
 from tenetdq.functions.isotonic import fitted, isotonic_fit
 from tenetdq.functions.running import weighted_median
@@ -40,18 +40,14 @@ def group_taus(rows: Weighted, pairs: Sequence[tuple[str, str]], contexts: Seque
         (F.array(*[F.col(f"`{c}`") for c in contexts]) if contexts else nothing).alias("v"), F.col(rows.weight).alias("w"))
     names = F.array(*[F.lit(c) for c in contexts]) if contexts else nothing
     todo = [(k, at[x], at[y], place[c] if c else -1) for k, (x, y) in enumerate(pairs) for c in [None, *contexts]]
-    out = None
-    for first in range(0, len(todo), BLOCK):
-        lits = F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(x).alias("x"), F.lit(y).alias("y"),
-                                  F.lit(c).alias("c")) for k, x, y, c in todo[first:first + BLOCK]])
-        context = F.when(F.col("s.c") >= 0, F.get(names, F.col("s.c")))
-        group = F.when(F.col("s.c") >= 0, F.get(F.col("v"), F.col("s.c")))
-        hist = (base.select("z", "v", "w", F.explode(lits).alias("s"))
-                .select(F.col("s.pair").alias("pair"), context.alias("context"), group.alias("group"),
-                        F.get("z", F.col("s.x")).alias("x"), F.get("z", F.col("s.y")).alias("y"), "w")
-                .where("x is not null and y is not null")
-                .groupBy("pair", "context", "group", "x", "y").agg(F.sum("w").alias("n")))
-        out = hist if out is None else out.unionByName(hist)
+    told = literal_rows([{"pair": k, "x": x, "y": y, "c": c} for k, x, y, c in todo], "pair: int, x: int, y: int, c: int")
+    own = F.col("s.c") >= 0
+    out = (base.select("z", "v", "w", F.explode(told).alias("s"))
+           .select(F.col("s.pair").alias("pair"), F.when(own, F.get(names, F.col("s.c"))).alias("context"),
+                   F.when(own, F.get(F.col("v"), F.col("s.c"))).alias("group"),
+                   F.get("z", F.col("s.x")).alias("x"), F.get("z", F.col("s.y")).alias("y"), "w")
+           .where("x is not null and y is not null")
+           .groupBy("pair", "context", "group", "x", "y").agg(F.sum("w").alias("n")))
     return kendall(out, ["pair", "context", "group"]).select("pair", "context", "group", "tau", "rows")
 
 

@@ -124,6 +124,29 @@ def single_source_confidence_chain(spark, sf_dir):
     return fds.single_source_frame(fx.chain(spark, sf_dir), fx.CHAIN_COLUMNS)
 
 
+WIDE_COLUMNS = ["quantity", "discount", "tax", "flag", "status", "line", "supplier", "month", "weekday"]
+WIDE = """wide AS (
+  SELECT CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) AS discount,
+         CAST(CAST(round(l_tax * 100) AS BIGINT) AS VARCHAR) AS tax, l_returnflag AS flag, l_linestatus AS status, CAST(l_linenumber AS VARCHAR) AS line,
+         CAST(l_suppkey AS VARCHAR) AS supplier, strftime(l_shipdate, '%Y-%m') AS month, CAST(isodow(l_shipdate) AS VARCHAR) AS weekday
+  FROM lineitem)"""
+
+
+@query("single_source_confidence_wide", "WITH " + WIDE + " " + pair_sql("wide", WIDE_COLUMNS))
+def single_source_confidence_wide(spark, sf_dir):
+    li, day = fx.table(spark, sf_dir, "lineitem"), F.col("l_shipdate")
+    rows = li.select(F.lit(0).cast("long").alias("row_id"), F.col("l_quantity").cast("long").alias("quantity"),
+                     F.round(F.col("l_discount") * 100).cast("long").alias("discount"), F.round(F.col("l_tax") * 100).cast("long").alias("tax"),
+                     F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"),
+                     F.col("l_suppkey").alias("supplier"), F.date_format(day, "yyyy-MM").alias("month"),
+                     (F.weekday(day) + 1).alias("weekday"))
+    frame = from_df(rows, "row_id", WIDE_COLUMNS, 10_000)
+    frame.profile                                           # keeps the values that the columns are coded by
+    names = F.array(*[F.lit(c) for c in WIDE_COLUMNS])
+    return fds.pair_table(frame, WIDE_COLUMNS).select(names[F.col("l")].alias("lhs"), names[F.col("r")].alias("rhs"),
+                                                      (F.col("covered") / F.col("rows")).alias("confidence"))
+
+
 def spec_sql(source: str, lhs: list[str], rhs: str) -> str:
     keys = ", ".join(lhs) or "0"
     return (f"SELECT '{', '.join(lhs)}' AS lhs, '{rhs}' AS rhs, CAST(sum(m) AS DOUBLE) / sum(s) AS confidence, "
