@@ -109,14 +109,49 @@ def _against_extremes(low: str, high: str, value: Column, op: str) -> Column:
             "!=": (lo != value) | (hi != value)}[op]
 
 
+def dc_members(against: DataFrame, dc: DenialConstraint) -> DataFrame:
+    """The ``t2`` projections of ``against``: ``k*`` for equality predicates, ``c*`` for the others."""
+    eq, rest = _parts(dc)
+    return against.select(*[_side(against, p, p.right).alias(f"k{i}") for i, p in enumerate(eq)],
+                          *[_side(against, p, p.right).alias(f"c{i}") for i, p in enumerate(rest)]).dropna()
+
+
+def staircase(members: DataFrame, dc: DenialConstraint) -> DataFrame:
+    """The members that decide: any row that has a partner among ``members`` has one among these.
+
+    With one comparison they are the extremes of each key, with two those that set a new extreme of the one column in the
+    order of the other, otherwise all distinct ones. Members of several batches can be put together and reduced again."""
+    eq, rest = _parts(dc)
+    keys, distinct = _keys(eq), members.distinct()
+    if len(rest) == 1:
+        ends = members.withColumn("k", F.lit(0)).groupBy("k", *keys).agg(F.min("c0").alias("lo"), F.max("c0").alias("hi"))
+        return ends.select(*keys, F.explode(F.array("lo", "hi")).alias("c0")).distinct()
+    if len(rest) != 2 or not any(p.op in NUMERIC_OPS for p in rest):
+        return distinct
+    at = next(i for i, p in enumerate(rest) if p.op in NUMERIC_OPS)
+    x, y = f"c{at}", f"c{1 - at}"
+    sign = F.lit(1.0) if rest[at].op in (">", ">=") else F.lit(-1.0)
+    steps = (distinct.withColumn("at", sign * F.col(x)).withColumn("k", F.lit(0)).groupBy("k", *keys, "at", x)
+             .agg(F.min(y).alias("lo"), F.max(y).alias("hi")))
+    seen = running(steps, ["k", *keys], ["at"], {"low": ("min", "lo"), "high": ("max", "hi")})
+    new = F.filter(F.array(F.when(F.col("low").isNull() | (F.col("lo") < F.col("low")), F.col("lo")),
+                           F.when(F.col("high").isNull() | (F.col("hi") > F.col("high")), F.col("hi"))), lambda v: v.isNotNull())
+    return seen.withColumn(y, F.explode(new)).select(*members.columns).distinct()
+
+
 def dc_culprits(probe: DataFrame, against: DataFrame, dc: DenialConstraint) -> DataFrame:
     """Distinct ``t1`` projections of ``probe`` for which ``against`` has a matching ``t2``.
 
     Columns: ``k*`` for equality predicates, ``c*`` for the others (numbers for order
     comparisons). Any number of differences, or up to two comparisons, are decided in linear work from running
-    extremes instead of comparing pairs: for ``a.X > b.X and a.Y < b.Y`` row ``a`` is a culprit
+    extremes instead of comparing pairs, and more comparisons are brought down to two: for ``a.X > b.X and a.Y < b.Y`` row ``a`` is a culprit
     when the largest Y among the smaller X of its group exceeds its own Y.
     """
+    return culprits_among(probe, dc_members(against, dc), dc)
+
+
+def culprits_among(probe: DataFrame, right: DataFrame, dc: DenialConstraint) -> DataFrame:
+    """:func:`dc_culprits` against the ``t2`` projections themselves."""
     eq, rest = _parts(dc)
     if not rest and not eq:
         raise ValueError("a denial constraint needs at least one predicate")
@@ -124,8 +159,6 @@ def dc_culprits(probe: DataFrame, against: DataFrame, dc: DenialConstraint) -> D
     left = probe.select(*[_side(probe, p, p.left).alias(k) for k, p in zip(keys, eq)],
                         *[_side(probe, p, p.left).alias(c) for c, p in zip(cs, rest)]).distinct()
     left = left.dropna()
-    right = against.select(*[_side(against, p, p.right).alias(k) for k, p in zip(keys, eq)],
-                           *[_side(against, p, p.right).alias(c) for c, p in zip(cs, rest)]).dropna()
     if not rest:
         return left.join(right.distinct(), keys, "left_semi")
     if not keys:
@@ -262,6 +295,19 @@ def order_constraint(x: str, y: str, context: str | None = None, increasing: boo
 
 
 # -- gate --------------------------------------------------------------------
+def gate_rules(rules: Sequence, symmetric: bool = False) -> dict[str, DenialConstraint]:
+    """The denial constraints that a gate tests, by name: ``g<i>`` for rule i, ``m<i>`` for it with the rows exchanged."""
+    return {name: dc for i, r in enumerate(rules) if isinstance(r, DenialConstraint)
+            for name, dc in ((f"g{i}", r), *([(f"m{i}", mirrored(r))] if symmetric else []))}
+
+
+def gate_members(rows: Frame, rules: Sequence, symmetric: bool = False) -> dict[str, DataFrame]:
+    """For each constraint of a gate the stored rows that decide (see :func:`staircase`)."""
+    tested = gate_rules(rules, symmetric)
+    stored = rows.numeric_rows(_compared(list(tested.values())))
+    return {name: staircase(dc_members(stored, dc), dc) for name, dc in tested.items()}
+
+
 def gate(batch: Frame, reference: Frame, rules: Sequence, linear_slack: float = 1e-6,
          symmetric: bool = False) -> DataFrame:
     """``batch`` with ``accepted`` and the first ``reason`` of rejection.
@@ -269,20 +315,25 @@ def gate(batch: Frame, reference: Frame, rules: Sequence, linear_slack: float =
     Linear rules test the row itself; order constraints test it, as ``t1``, against the stored
     ``reference`` rows (``symmetric`` also as ``t2``).
     """
-    order = _compared([r for r in rules if isinstance(r, DenialConstraint)])
-    rows = batch.numeric_rows(order | {c for r in rules if isinstance(r, LinearConstraint) for c in r.attributes})
-    stored = reference.numeric_rows(order)
+    tested = gate_rules(rules, symmetric)
+    stored = reference.numeric_rows(_compared(list(tested.values())))
+    return judge_batch(batch, {name: dc_members(stored, dc) for name, dc in tested.items()}, rules, linear_slack, symmetric)
+
+
+def judge_batch(batch: Frame, members: dict[str, DataFrame], rules: Sequence, linear_slack: float = 1e-6,
+                symmetric: bool = False) -> DataFrame:
+    """:func:`gate` against given members of each constraint."""
+    tested = gate_rules(rules, symmetric)
+    rows = batch.numeric_rows(_compared(list(tested.values())) | {
+        c for r in rules if isinstance(r, LinearConstraint) for c in r.attributes})
+    for name, dc in tested.items():
+        rows = _flag(rows, members[name], dc, f"__{name}")
     reasons = []
     for i, r in enumerate(rules):
         if isinstance(r, LinearConstraint):
-            bad = F.abs(residual(r, rows)) > max(r.tolerance, linear_slack)
-            reasons.append(F.when(bad, str(r)))
+            reasons.append(F.when(F.abs(residual(r, rows)) > max(r.tolerance, linear_slack), str(r)))
         elif isinstance(r, DenialConstraint):
-            rows = _flag(rows, stored, r, f"__g{i}")
-            hit = F.col(f"__g{i}")
-            if symmetric:
-                rows = _flag(rows, stored, mirrored(r), f"__m{i}")
-                hit = hit | F.col(f"__m{i}")
+            hit = F.col(f"__g{i}") | F.col(f"__m{i}") if symmetric else F.col(f"__g{i}")
             reasons.append(F.when(hit, str(r)))
     reason = F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
     return rows.select(ROW_ID, *batch.columns, reason.isNull().alias("accepted"),
@@ -298,10 +349,10 @@ def mirrored(dc: DenialConstraint) -> DenialConstraint:
                             dc.confidence)
 
 
-def _flag(rows: DataFrame, reference: DataFrame, dc: DenialConstraint, name: str) -> DataFrame:
+def _flag(rows: DataFrame, members: DataFrame, dc: DenialConstraint, name: str) -> DataFrame:
     eq, rest = _parts(dc)
     keys, cs = _keys(eq), [f"c{i}" for i in range(len(rest))]
-    culprits, small, _ = settle_sized(dc_culprits(rows, reference, dc).withColumn(name, F.lit(True)))
+    culprits, small, _ = settle_sized(culprits_among(rows, members, dc).withColumn(name, F.lit(True)))
     probe = rows.withColumns({
         **{k: _side(rows, p, p.left) for k, p in zip(keys, eq)},
         **{c: _side(rows, p, p.left) for c, p in zip(cs, rest)}})

@@ -52,6 +52,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _on_file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder, on whatever file system it is."""
+    system, target = _on_file_system(spark, path)
+    system.delete(target, True)
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written below ``path`` to the end."""
+    system, target = _on_file_system(spark, f"{path}/_SUCCESS")
+    return system.exists(target)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and continue from there.
 

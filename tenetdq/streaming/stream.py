@@ -8,11 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tenetdq.functions.values import as_text
 from tenetdq.operators.fd import FdCells
-from tenetdq.operators.monitors import gate
+from tenetdq.operators.monitors import gate_members, gate_rules, judge_batch, staircase
 from tenetdq.operators.scoring import greatest_of, residual
 from tenetdq.plans.constraints import FunctionalDependency, LinearConstraint
 from tenetdq.plans.frame import ROW_ID, Frame
-from tenetdq.session import scratch_path
+from tenetdq.session import is_written, remove_path, scratch_path, settle
 
 
 def stream_frame(stream: DataFrame, row_id: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -57,20 +57,40 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Stream
 
 
 def gate_stream(rows: DataFrame, reference: Frame, rules: Sequence, accepted: str, rejected: str,
-                checkpoint: str, **trigger) -> StreamingQuery:
+                checkpoint: str, state: str | None = None, extend: bool = True, **trigger) -> StreamingQuery:
     """Split every micro-batch into accepted and rejected rows (with the reason).
 
-    Each batch writes below its own ``batch=<id>`` folder in overwrite mode, so a replay after
+    What the reference says about each constraint is frozen once, as the rows that decide (``monitors.staircase``), below
+    ``state`` (by default beside ``checkpoint``); batches never read the reference. With ``extend`` the accepted rows of a batch join
+    them for the batches after it: batch n reads version n - 1 and writes version n. Rows of one batch are not compared with each
+    other. Each batch writes below its own ``batch=<id>`` folder in overwrite mode, so a replay after
     a failure replaces its own output instead of adding to it.
     """
     columns = [c for c in rows.columns if c != ROW_ID]
+    spark, state = rows.sparkSession, state or f"{checkpoint.rstrip('/')}-members"
+    tested = gate_rules(rules)
+
+    def version(name: str, batch_id: int) -> str:
+        return f"{state}/{name}/version={batch_id if extend else -1}"
+
+    if not all(is_written(spark, version(name, -1)) for name in tested):    # a restarted stream goes on with what it has
+        for name, members in gate_members(reference, rules).items():
+            members.write.mode("overwrite").parquet(version(name, -1))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
         try:
-            judged = gate(Frame(kept, columns, reference.id_cardinality), reference, rules)
-            judged.where("accepted").drop("accepted", "reason").write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
+            members = {name: spark.read.parquet(version(name, batch_id - 1)) for name in tested}
+            judged = settle(judge_batch(Frame(kept, columns, reference.id_cardinality), members, rules))
+            good = judged.where("accepted").drop("accepted", "reason")
+            good.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
             judged.where("not accepted").drop("accepted").write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+            if extend:
+                more = gate_members(Frame(good, columns, reference.id_cardinality), rules)
+                for name, dc in tested.items():
+                    staircase(members[name].unionByName(more[name]), dc).write.mode("overwrite").parquet(version(name, batch_id))
+                    if batch_id > 2:
+                        remove_path(spark, version(name, batch_id - 3))     # no replay reads it any more
         finally:
             kept.unpersist()
 
@@ -94,6 +114,35 @@ def count_stream(rows: DataFrame, fds: Sequence[FunctionalDependency], publish:
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def count_table(rows: DataFrame, fds: Sequence[FunctionalDependency], path: str, checkpoint: str,
+                compact_every: int = 50, **trigger) -> StreamingQuery:
+    """Keep the counts of a stream as a table below ``path`` (read it with :func:`read_counts`).
+
+    A batch writes the counters that it changed, and only those, as ``batch=<id>``; a replay replaces them. Counters only
+    grow, so the largest one of a combination is the latest. Every ``compact_every`` batches the changes since the last time
+    are merged into ``batch=-<id>``, written before the folders that it replaces go, so readers always find every counter.
+    """
+    spark = rows.sparkSession
+
+    def publish(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            merged = settle(read_counts(spark, path))
+            merged.write.mode("overwrite").parquet(f"{path}/batch=-{batch_id}")
+            for old in range(batch_id - compact_every, batch_id):
+                remove_path(spark, f"{path}/batch={old}")
+            remove_path(spark, f"{path}/batch=-{batch_id - compact_every}")
+
+    return (running_counts(rows, fds).writeStream.outputMode("update").foreachBatch(publish)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(spec, lhs, rhs, n): the counts that :func:`count_table` has kept so far."""
+    return spark.read.parquet(path).groupBy("spec", "lhs", "rhs").agg(F.max("n").alias("n"))
+
+
 def drain(query: StreamingQuery) -> None:
     """Wait for an ``availableNow`` query to finish."""
     query.awaitTermination()
@@ -106,5 +155,5 @@ def files_as_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-__all__ = ["stream_frame", "score_stream", "to_files", "gate_stream", "running_counts", "count_stream",
+__all__ = ["stream_frame", "score_stream", "to_files", "gate_stream", "running_counts", "count_stream", "count_table", "read_counts",
            "drain", "files_as_stream", "scratch_path"]

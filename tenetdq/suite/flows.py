@@ -153,7 +153,5 @@ def stream_fd_stats(spark, sf_dir):
     e = st.files_as_stream(spark, sf_dir, "events.parquet")
     rows = st.stream_frame(e.select("event_id", "user_id", "event_type"), "event_id")
     path = scratch_path(spark, "counts")
-    st.drain(st.count_stream(rows, [FunctionalDependency(("user_id",), "event_type")],
-                             lambda batch, i: batch.write.mode("overwrite").parquet(path),
-                             scratch_path(spark, "progress")))
-    return spark.read.parquet(path).select(F.col("lhs")[0].alias("user_id"), F.col("rhs").alias("event_type"), "n")
+    st.drain(st.count_table(rows, [FunctionalDependency(("user_id",), "event_type")], path, scratch_path(spark, "progress")))
+    return st.read_counts(spark, path).select(F.col("lhs")[0].alias("user_id"), F.col("rhs").alias("event_type"), "n")
