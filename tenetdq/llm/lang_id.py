@@ -4,20 +4,23 @@
 trigram belongs to every language in which its share reaches ``MIN_SHARE`` and at least ``TOLERANCE`` of
 its share in the language that uses it most. Shares of at least 1e-6 bound a language's
 trigrams by a million, so the model's size has a proven bound. The trigrams go into one bit-sliced Bloom
-filter: row p of the filter holds one bit per language, so ``PROBES`` row reads, joined by AND,
-return the mask of all languages that contain a trigram. Rows are built by a bitwise-or aggregate; at
-most ``ROWS`` of them, one 64-bit word each, reach the driver.
+filter: row p of the filter holds one bit per language, in as many 64-bit words as ``WORD`` languages each need, so ``PROBES`` row
+reads, joined by AND, return the mask of all languages that contain a trigram. Rows are built by a bitwise-or
+aggregate. Their number is a power of two, eight times the trigrams of the language with most (``LEAST_ROWS`` at least, 2 ** 23 at most,
+by the bound above), and so many words reach the driver.
 
 *Prediction.* A text's masks are popcounted per language over all its trigrams. With a filter whose bits
 for a language are set in a share f of the rows, a foreign trigram hits with chance f ** PROBES, which
 the counts are corrected for; the largest corrected count wins, ties go to the first name.
 
-Defined cases: null text, or text without a letter, is ``und`` with score 0; without labelled rows
-every text is ``und`` but none is rejected for it; texts of any length are read whole, in slices.
+Defined cases: a letter is a character of Unicode category L; null text, or text without a letter, is ``und`` with score 0;
+without labelled rows every text is ``und`` but none is rejected for it; texts of any length are read whole, in slices;
+repeated rows are counted and judged alike; other columns travel in a struct, whatever their names; an empty table gives no rows.
 """
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,14 @@ from tenetdq.llm.common import bounded_batches, settled, windows, wrapped
 
 MIN_SHARE = 1e-6
 TOLERANCE = 0.25
-ROWS = 1 << 18
+LEAST_ROWS = 1 << 18
+WORD = 63                      # languages of one filter word
 PROBES = 3
 SLICE = 400_000                # characters looked at together
 LEAST_SHARE = 0.05             # of trigrams that a language must explain for a text to be accepted
-LETTERS = re.compile(r"[^\W\d_]+")
+# what the word class holds besides letters and decimal digits: numbers of categories Nl and No
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c)[0] != "L" and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 def _framed(text: str | None) -> str:
@@ -70,13 +76,13 @@ def _packed(rows: list[int], parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[:-2][inside], codes[inside].astype(np.int64)
 
 
-def _places(codes: np.ndarray) -> np.ndarray:
-    """Filter rows of each trigram, one line per probe."""
+def _places(codes: np.ndarray, size: int) -> np.ndarray:
+    """Filter rows (of ``size``) of each trigram, one line per probe."""
     h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return np.stack([(h >> np.uint64(k * 18 + 5)) & np.uint64(ROWS - 1) for k in range(PROBES)]).astype(np.int64)
+    return np.stack([(h >> np.uint64(k * 18 + 5)) & np.uint64(size - 1) for k in range(PROBES)]).astype(np.int64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,59 +100,64 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array(n)], ["lang", "code", "n"])
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = _places(b.column("code").to_numpy())
-        masks = np.tile(b.column("mask").to_numpy(), PROBES)
-        yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(masks)], ["place", "mask"])
+def _sliced(size: int):
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _places(b.column("code").to_numpy(), size)
+            words, masks = (np.tile(b.column(c).to_numpy(), PROBES) for c in ("word", "mask"))
+            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(words), pa.array(masks)], ["place", "word", "mask"])
+
+    return sliced
 
 
 def learn(labelled: DataFrame) -> dict:
-    """Model of rows (text, lang): language names and the filter's rows. At most 63 languages."""
+    """Model of rows (text, lang): language names, and the filter's words by row."""
     bounded_batches(labelled.sparkSession)
     src = labelled.where("text is not null and lang is not null").select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = src.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(
         F.sum("n").alias("n"))
     counts = settled(counts, "trigram-counts")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    names = sorted(totals)
-    if len(names) > 63:
-        raise ValueError(f"one filter word holds 63 languages, not {len(names)}")
-    filled = np.zeros(ROWS, np.int64)
+    found = {r["lang"]: r for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("codes")).collect()}
+    names, size = sorted(found), LEAST_ROWS
+    most = max((min(r["codes"], round(1 / MIN_SHARE)) for r in found.values()), default=0)
+    while size < 8 * most:
+        size *= 2
+    filled = np.zeros((-(-len(names) // WORD) or 1, size), np.int64)
     if names:
-        known = F.create_map(*[F.lit(x) for n in names for x in (n, float(totals[n]))])
-        bits = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)])
-        shares = counts.select("code", (F.col("n") / known[F.col("lang")]).alias("share"),
-                               bits[F.col("lang")].cast("long").alias("bit")).where(F.col("share") >= MIN_SHARE)
+        # the languages as a small table: no expression grows with their number
+        known = labelled.sparkSession.createDataFrame(
+            [(n, float(found[n]["n"]), i // WORD, 1 << i % WORD) for i, n in enumerate(names)],
+            "lang string, total double, word int, bit long")
+        shares = counts.join(F.broadcast(known), "lang").select(
+            "code", (F.col("n") / F.col("total")).alias("share"), "word", "bit").where(F.col("share") >= MIN_SHARE)
         top = shares.groupBy("code").agg(F.max("share").alias("top"))
         masks = (shares.join(top, "code").where(F.col("share") >= TOLERANCE * F.col("top"))
-                 .groupBy("code").agg(F.bit_or("bit").alias("mask")))
-        rows = masks.mapInArrow(_sliced, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask"))
+                 .groupBy("code", "word").agg(F.bit_or("bit").alias("mask")))
+        rows = masks.mapInArrow(_sliced(size), "place long, word int, mask long").groupBy("place", "word").agg(
+            F.bit_or("mask").alias("mask"))
         got = rows.toArrow()
-        filled[got["place"].to_numpy()] = got["mask"].to_numpy()
+        filled[got["word"].to_numpy(), got["place"].to_numpy()] = got["mask"].to_numpy()
     return {"names": names, "filter": filled}
 
 
 def _judged(model: dict):
-    names, packed = model["names"], model["filter"].tobytes()
+    names, shape, packed = model["names"], model["filter"].shape, model["filter"].tobytes()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_of = np.frombuffer(packed, np.int64)
-        bits = np.arange(len(names), dtype=np.int64)
-        wrong = np.array([float((rows_of >> b & 1).mean()) ** PROBES for b in bits]) if names else np.zeros(0)
+        words = np.frombuffer(packed, np.int64).reshape(shape)
+        places = [divmod(i, WORD) for i in range(len(names))]
+        wrong = np.array([float((words[w] >> b & 1).mean()) ** PROBES for w, b in places])
         for b in batches:
             texts = b.column("text").to_pylist()
             seen = np.zeros(len(texts), np.int64)
             hits = np.zeros((len(names), len(texts)))
             for rows, codes in trigrams(texts):
                 seen += np.bincount(rows, minlength=len(texts))
-                at = _places(codes)
-                mask = rows_of[at[0]]
-                for k in range(1, PROBES):
-                    mask = mask & rows_of[at[k]]
-                for i in bits.tolist():
-                    hits[i] += np.bincount(rows[(mask >> i & 1) == 1], minlength=len(texts))
+                at = _places(codes, shape[1])
+                masks = [np.bitwise_and.reduce([row[at[k]] for k in range(PROBES)]) for row in words]
+                for i, (w, bit) in enumerate(places):
+                    hits[i] += np.bincount(rows[(masks[w] >> bit & 1) == 1], minlength=len(texts))
             lang, score, share = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if names:
                 true = np.maximum((hits - seen * wrong[:, None]) / (1 - wrong[:, None]), 0)

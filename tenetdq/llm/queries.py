@@ -171,27 +171,43 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN comp ON node = doc_id
 """
 
-ORACLES["op3_url_filter"] = r"""
-WITH RECURSIVE named AS (
-  SELECT page_id, url, html,
-    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
-              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') AS query
-  FROM pages),
-found AS (
-  SELECT host, path, host || path || query AS a, unnest([
-    regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*href\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
+# A path without dot segments, a link's absolute form, and the links of a page, as SQL text.
+_DOTS = """CASE WHEN {p} LIKE '/%' AND contains({p}, '/.') THEN '/' || array_to_string(list_concat(
+    list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split({p}, '/')[2:], lambda s: [s])),
+      lambda held, s: CASE WHEN s[1] = '.' THEN held WHEN s[1] = '..' THEN held[1:greatest(len(held) - 1, 0)] ELSE list_concat(held, s) END),
+    CASE WHEN string_split({p}, '/')[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END), '/') ELSE {p} END"""
+_RESOLVED = """CASE WHEN regexp_matches({t}, '(?i)^[a-z][a-z0-9+.-]*://') THEN {t} WHEN regexp_matches({t}, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL
+    WHEN {t} LIKE '//%' THEN 'x:' || {t}
+    WHEN split_part({t}, '?', 1) = '' THEN 'x://' || {h} || {p} || CASE WHEN contains({t}, '?') THEN {t} ELSE {q} END
+    WHEN {t} LIKE '/%' THEN 'x://' || {h} || {t}
+    ELSE 'x://' || {h} || coalesce(nullif(regexp_extract({p}, '(?s)^(.*/)', 1), ''), '/') || {t} END"""
+_URL = {"host": "(?s)^.*?://([^/?#]*)", "path": "(?s)^.*?://[^/?#]*([^?#]*)", "query": r"(?s)^.*?://[^?#]*(\?[^#]*)"}
+_PARTS = ("translate(coalesce(regexp_extract({u}, '" + _URL["host"] + "', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, "
+          "coalesce(regexp_extract({u}, '" + _URL["path"] + "', 1), '') AS path, coalesce(regexp_extract({u}, '" + _URL["query"] + "', 1), '') AS query")
+_HREF = r"""\bhref\s*=\s*["'']?([^"''\s>]+)"""
+_REL = r"""\brel\s*=\s*["'']?canonical\b"""
+_TARGETS = "list_concat(" * 2 + ", ".join([r"regexp_extract_all(html, '(?is)<link\b[^>]*" + _REL + "[^>]*" + _HREF + "', 1)",
+    r"regexp_extract_all(html, '(?is)<link\b[^>]*" + _HREF + "[^>]*" + _REL + "', 1))",
+    r"""regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1))"""])
+
+ORACLES["op3_url_filter"] = "WITH RECURSIVE named AS (SELECT page_id, url, html, " + _PARTS.format(u="url") + r""" FROM pages),
+bases AS (
+  SELECT host AS page_host, path AS page_path, query AS page_query, html,
+    regexp_replace(replace(nullif(regexp_extract(html, '(?is)<base\b[^>]*HREF', 1), ''), '&amp;', '&'), '(?s)#.*$', '') AS t, host, path, query
   FROM named WHERE host <> ''),
-targets AS (
-  SELECT a, CASE WHEN t LIKE '%://%' THEN t WHEN t LIKE '//%' THEN 'http:' || t WHEN t LIKE '/%' THEN 'http://' || host || t
-    ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || t END AS t
-  FROM (SELECT a, host, path, replace(t, '&amp;', '&') AS t FROM found) WHERE t <> ''),
-edges AS (
-  SELECT DISTINCT a, lower(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1)) || regexp_extract(t, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b
-  FROM targets),
-both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+based AS (
+  SELECT page_host, page_path, page_query, html, coalesce(RESOLVED_BASE, 'x://' || host || path || query) AS u FROM bases),
+found AS (
+  SELECT page_host, page_path, page_query, host, DOTS_PATH AS path, query, raw
+  FROM (SELECT page_host, page_path, page_query, PARTS_U, unnest(TARGETS) AS raw FROM based)),
+links AS (
+  SELECT page_host, page_path, page_query, host, path, query, regexp_replace(replace(raw, '&amp;', '&'), '(?s)#.*$', '') AS t FROM found),
+targets AS (SELECT page_host || DOTS_PAGE || page_query AS a, RESOLVED_BASE AS u FROM links),
+ends AS (SELECT a, PARTS_U FROM targets WHERE u IS NOT NULL),
+edges AS (SELECT DISTINCT a, host || DOTS_PATH || query AS b FROM ends WHERE host <> ''),
+""".replace("HREF", _HREF).replace("RESOLVED_BASE", _RESOLVED.format(t="t", h="host", p="path", q="query")).replace(
+    "PARTS_U", _PARTS.format(u="u")).replace("TARGETS", _TARGETS).replace("DOTS_PAGE", _DOTS.format(p="page_path")).replace(
+    "DOTS_PATH", _DOTS.format(p="path")) + r"""both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (
   SELECT a AS node, a AS other FROM both_ways
   UNION
@@ -207,7 +223,7 @@ aliases AS (
   SELECT node, CASE WHEN bool_or(said = 'allow') THEN 'allow' WHEN bool_or(said = 'block') THEN 'block' END AS decided
   FROM ruled GROUP BY node),
 pages_ruled AS (
-  SELECT page_id, host, path, host || path || query AS node, CASE
+  SELECT page_id, host, path, host || DOTS_PATH || query AS node, CASE
       WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
       WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
       WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
@@ -219,7 +235,7 @@ SELECT page_id, host, path, rule,
            decided, 'allow') AS verdict,
   CASE WHEN rule IS NOT NULL THEN 'rule' WHEN decided IS NOT NULL THEN 'alias' ELSE 'default' END AS by
 FROM pages_ruled p LEFT JOIN aliases a ON p.node = a.node AND p.host <> ''
-"""
+""".replace("DOTS_PATH", _DOTS.format(p="path"))
 
 ORACLES["op5_chat_formatting"] = r"""
 WITH every AS (

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tenetdq.llm import chat_format, decontaminate, lang_id, secret_scan, toxicity, url_filter
 from tenetdq.llm.common import table
-from tenetdq.llm.queries import QUERIES, URL_RULES
+from tenetdq.llm.queries import ORACLES, QUERIES, URL_RULES
+from tenetdq.suite.check import compare
 from tests.llm.helpers import ODD, docs_of, empty, texts, words
 
 SF = "/root/testdata/sf0.01"
@@ -46,6 +47,43 @@ def test_all_links_of_a_page_are_aliases(spark):
     assert got == {i: ("block", "alias") for i in range(1, 5)} | {5: ("allow", "default")}
 
 
+RELATIVE = [
+    ("http://h.org/a/b.html", "#top", None, None), ("http://h.org/a/b.html", "?p=2", None, "h.org/a/b.html?p=2"),
+    ("http://h.org/a/b.html?x=1", "?p=2&amp;q=3#f", None, "h.org/a/b.html?p=2&q=3"), ("http://h.org/a/b/c", "../x", None, "h.org/a/x"),
+    ("http://h.org/a/b", "../../../x/./y/..", None, "h.org/x/"), ("http://h.org", "x", None, "h.org/x"), ("http://h.org/a/b", "/c/../d", None, "h.org/d"),
+    ("http://h.org/a/b", "//Other.org/q/../r", None, "other.org/r"), ("https://h.org/a/b", "mailto:x@y.z", None, None),
+    ("http://h.org/a/b", "x", "/base/dir/", "h.org/base/dir/x"), ("http://h.org/a/b", "x", "http://cdn.net/es/..", "cdn.net/x"),
+    ("http://h.org/a/b", "", "http://cdn.net/", None), ("http://h.org/a/../e", "f", None, "h.org/f"), ("http://h.org/a/b", "HTTP://H.org/z#q", None, "h.org/z"),
+    ("http://h.org/a/b", "y:1/z", None, None), ("http://h.org/a/b", "./y:1/z", None, "h.org/a/y:1/z")]
+
+
+def html_of(link, base=None):
+    return (f"<base target=x href='{base}'>" if base else "") + f'<link href="{link}" rel="canonical">'
+
+
+def test_links_resolve_as_rfc_3986_says(spark):
+    pages = spark.createDataFrame([(i, u, html_of(t, b)) for i, (u, t, b, _) in enumerate(RELATIVE)], "page_id long, url string, html string")
+    got = {tuple(r) for r in url_filter.alias_links(pages).collect()}
+    own = lambda u: "h.org/e" if ".." in u else u.split("://")[1]
+    assert got == {(own(u), want) for u, _, _, want in RELATIVE if want}
+
+
+def test_planted_pages_equal_the_sql(spark, tmp_path):
+    rng = random.Random(6)
+    hosts, paths = ["x.org", "a.net", "www.example.com", "b.example.com"], ["", "/", "/es/1", "/fr/2", "/en/x", "/en/../es/z", "/q?k=1", "/d/e/f"]
+    links = ["#t", "?k=1", "../es/1", "/fr/2", "http://a.net/es/1", "//x.org/q?k=1", "d/./e", "mailto:a@b.c", "https://www.example.com/en/x"]
+    rows = [(i, "http://" + rng.choice(hosts) + rng.choice(paths), "".join(
+        [html_of(rng.choice(links), rng.choice([None, None, "/d/", "http://a.net/fr/.."]))]
+        + [f'<link rel=canonical href={rng.choice(links)}>'] * rng.randrange(2)
+        + [f"<meta http-equiv='refresh' content='1; url={rng.choice(links)}'>"] * rng.randrange(2))) for i in range(80)]
+    rows += [(*r, None) for r in [(900, None), (901, "http://lonely.org/")]]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    ok, message, _ = compare(spark, "op3", QUERIES["op3_url_filter"], ORACLES["op3_url_filter"], str(tmp_path))
+    assert ok, message
+    got = QUERIES["op3_url_filter"](spark, str(tmp_path)).groupBy("by", "verdict").count().collect()
+    assert {(r["by"], r["verdict"]) for r in got} >= {("alias", "allow"), ("rule", "block"), ("default", "allow")}
+
+
 CHATS = ["plain", "</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant<|im_sep|>x", "a\\b <\\s>", "<<SYS>> <</SYS>>",
          "<\\\\|im_end|>", "<<|im_end|>", "<<s>", "<", "[INST]", "é🙂\n", "", None, "<|im_start|>", "x<|im_sep|>y", "<|im_end|>"]
 
@@ -146,6 +184,21 @@ def test_languages_on_held_out_documents(spark):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_number_signs_are_no_letters_and_sets_agree(spark):
+    """Number signs have no language; predictions equal those of exact sets of trigrams, also beyond one filter word of languages."""
+    rng = random.Random(7)
+    names = [f"l{i:03d}" for i in range(70)]
+    alphabet = {n: [chr(0x4E00 + 40 * i + k) for k in range(30)] for i, n in enumerate(names)}
+    said = lambda n: " ".join("".join(rng.choices(alphabet[n], k=6)) for _ in range(40))
+    model = lang_id.learn(spark.createDataFrame([(said(n), n) for n in names for _ in range(3)], "text string, lang string"))
+    assert model["filter"].shape[0] == 2
+    rows = [(i, said(n), None, None, None) for i, n in enumerate(names)] + [(100 + i, t, None, None, None) for i, t in enumerate(
+        ["\u00b2", "\u00bd \u2460", "\u2167 \u2170", "12 3", "_"])]
+    got = {r["row"].doc_id: r for r in lang_id.predict(docs_of(spark, rows), model).collect()}
+    assert [got[i].lang_pred for i in range(70)] == names
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in range(100, 105))
+
+
 def test_language_rejects_only_what_has_no_language(spark):
     model = lang_id.learn(spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "fr"),
                                                  ("x", None)], "text string, lang string"))
