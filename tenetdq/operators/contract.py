@@ -1,6 +1,7 @@
 """Contracts: freeze the accepted rules, store them, and re-validate any table."""
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from typing import Sequence
 
@@ -10,7 +11,7 @@ from tenetdq.functions.counting import joint_counts, spec_stats
 from tenetdq.operators.monitors import dc_monitor
 from tenetdq.operators.scoring import residual, split
 from tenetdq.plans.constraints import (Constraint, DenialConstraint, FunctionalDependency,
-                                       LinearConstraint, Predicate, slug)
+                                       LinearConstraint, Predicate)
 from tenetdq.plans.frame import Frame
 
 CONTRACT_SCHEMA = (
@@ -19,6 +20,7 @@ CONTRACT_SCHEMA = (
     "terms map<string,double>, offset double, tolerance double, "
     "predicates array<struct<left:string,op:string,right:string>>")
 VERSION = 1
+LOG = logging.getLogger(__name__)
 CHECK_SLACK = 1e-9
 
 
@@ -33,16 +35,18 @@ def freeze(spark: SparkSession, table: str, rules: Sequence[Constraint],
         rec.append((VERSION, table, len(rec), cid, kind, columns, lhs, rhs, confidence, terms,
                     offset, tolerance, predicates))
 
+    # an id says what the record says: key(a, b), fd(a, b -> c), linear(a, b, c), order(a = a, x > x, y < y)
     for k in keys:
-        add(slug("key", *sorted(k)), "key", columns=sorted(k))
+        add(f"key({', '.join(sorted(k))})", "key", columns=sorted(k))
     for fd in fds:
-        add(slug("fd", *fd.lhs, fd.rhs), "fd", lhs=list(fd.lhs), rhs=fd.rhs,
+        add(f"fd({', '.join(fd.lhs)} -> {fd.rhs})", "fd", lhs=list(fd.lhs), rhs=fd.rhs,
             confidence=round(float(fd.confidence), 4))
     for r in linear:
-        add(slug("lin", *sorted(r.attributes)), "linear", terms=dict(r.coefficients),
+        add(f"linear({', '.join(sorted(r.attributes))})", "linear", terms=dict(r.coefficients),
             offset=float(r.offset), tolerance=float(r.tolerance))
-    for i, dc in enumerate(order):
-        add(slug("order", i), "order", predicates=[(p.left, p.op, p.right) for p in dc.predicates])
+    for dc in order:
+        add(f"order({', '.join(f'{p.left} {p.op} {p.right}' for p in dc.predicates)})", "order",
+            predicates=[(p.left, p.op, p.right) for p in dc.predicates])
     return spark.createDataFrame(rec, CONTRACT_SCHEMA)
 
 
@@ -74,33 +78,41 @@ def as_rules(contract: DataFrame) -> list[Constraint]:
 
 @dataclass(frozen=True)
 class CheckResult:
+    """``violations``: cells (key, fd) or rows (linear) that break the record, -1 where it could not be evaluated, for the ``reason``
+    given. ``groups``: left sides with more than one value (key, fd). ``monitored``: rows of an order record in violation, not gated."""
     id: str
     kind: str
     violations: int
-    detail: str
-    monitored: int | None = None       # order constraints: rows in violation, not gated
+    reason: str | None = None
+    groups: int | None = None
+    monitored: int | None = None
 
     @property
     def ok(self) -> bool:
         return self.violations == 0
 
 
+UNKNOWN_KIND, INCOMPLETE, NO_COLUMN, UNKNOWN_OPERATOR, FAILED = (
+    "unknown kind", "incomplete record", "missing column", "unknown operator", "evaluation failed")
+
+
 def _evaluable(c, columns: set[str]) -> str | None:
     """Why a record cannot be evaluated, or None."""
     if c["kind"] not in ("key", "fd", "linear", "order"):
-        return "kind is not known"
+        return UNKNOWN_KIND
     try:
         need = {"key": lambda: c["columns"], "fd": lambda: [*c["lhs"], c["rhs"]],
                 "linear": lambda: list(c["terms"]),
                 "order": lambda: [x for p in c["predicates"] for x in (p[0], p[2])]}[c["kind"]]()
     except TypeError:
-        return "record is incomplete"
-    if any(x is None for x in need) or c["kind"] == "linear" and None in (*c["terms"].values(), c["offset"], c["tolerance"]):
-        return "record is incomplete"
+        return INCOMPLETE
+    if not need or any(x is None for x in need) or c["kind"] == "linear" and None in (
+            *c["terms"].values(), c["offset"], c["tolerance"]):
+        return INCOMPLETE
     if not set(need) <= columns:
-        return "columns are missing"
+        return NO_COLUMN
     if c["kind"] == "order" and any(p[1] not in ("=", "!=", "<", "<=", ">", ">=") for p in c["predicates"]):
-        return "operator is not known"
+        return UNKNOWN_OPERATOR
     return None
 
 
@@ -142,28 +154,26 @@ def check(frame: Frame, contract: DataFrame, order_counts: bool = False) -> list
             broken_cells[i] = row[f"v{i}"] or 0
     out = []
     for i, c in enumerate(records):
-        cid, kind = c["id"] or "?", c["kind"] or "?"
-        if reason[i] is not None:
-            out.append(CheckResult(cid, kind, -1, reason[i]))
-        elif kind == "key":
-            out.append(CheckResult(cid, kind, broken_cells[i],
-                       f"{broken_cells[i]} cells differ within equal {', '.join(c['columns'])}"))
-        elif kind == "fd":
-            out.append(CheckResult(cid, kind, broken_cells[i], f"{broken_cells[i]} cells of {c['rhs']} differ "
-                       f"from their group ({broken_groups[i]} groups of {', '.join(c['lhs'])})"))
-        elif kind == "linear":
-            out.append(CheckResult(cid, kind, broken_cells[i], f"{broken_cells[i]} rows beyond tolerance"))
+        cid, kind, why = c["id"] or "?", c["kind"] or "?", reason[i]
+        seen = None
+        if why is None and kind == "order" and order_counts:
+            try:
+                seen = dc_monitor(frame, DenialConstraint(tuple(Predicate(*p) for p in c["predicates"]))).count()
+            except Exception as exc:                         # the other records still stand
+                LOG.warning("%s: %s: %s", cid, type(exc).__name__, exc)
+                why = FAILED
+        if why is not None:
+            out.append(CheckResult(cid, kind, -1, why))
         else:
-            dc = DenialConstraint(tuple(Predicate(*p) for p in c["predicates"]))
-            seen = dc_monitor(frame, dc).count() if order_counts else None
-            out.append(CheckResult(cid, kind, 0, "watched, never failing", seen))
+            out.append(CheckResult(cid, kind, broken_cells[i], groups=broken_groups[i] if kind in ("key", "fd") else None,
+                                   monitored=seen))
     return out
 
 
 def check_frame(spark: SparkSession, results: Sequence[CheckResult]) -> DataFrame:
     return spark.createDataFrame(
-        [(i, r.id, r.kind, r.violations, r.detail, r.monitored, r.ok) for i, r in enumerate(results)],
-        "ord int, id string, kind string, violations long, detail string, monitored long, ok boolean")
+        [(i, r.id, r.kind, r.violations, r.reason, r.groups, r.monitored, r.ok) for i, r in enumerate(results)],
+        "ord int, id string, kind string, violations long, reason string, groups long, monitored long, ok boolean")
 
 
 def check_summary(results: DataFrame, fail_on_violations: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tenetdq.functions.counting import Weighted, fold_pays
 from tenetdq.functions.values import as_number, as_text, num_name, number_of, value_view
-from tenetdq.session import settle
+from tenetdq.session import settle, settle_table
 
 ROW_ID = "row_id"
 
@@ -100,10 +100,10 @@ class Frame:
 def from_df(df: DataFrame, row_id: str | None = None, columns: list[str] | None = None,
             id_cardinality: int = 300) -> Frame:
     """Normalize ``df``. ``row_id`` names a unique column; without one, ids that follow the
-    input order are assigned once and written to the checkpoint folder, because they would
+    input order are assigned once and written as Parquet to the checkpoint folder, because they would
     change if the plan were evaluated twice."""
     if row_id is None:
-        df = settle(df.withColumn(ROW_ID, F.monotonically_increasing_id()))
+        df = settle_table(df.withColumn(ROW_ID, F.monotonically_increasing_id()))
         row_id = ROW_ID
     columns = columns if columns is not None else [c for c in df.columns if c != row_id]
     view = value_view(df, columns, keep=row_id)

@@ -6,7 +6,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -82,6 +82,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_table(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and go on from the files: columns, not serialized rows, for wide tables
+    of which later jobs read a part."""
+    path = scratch_path(df.sparkSession, label)
+    flat = df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType.typeName() == "void" else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+    flat.write.parquet(path)
+    return df.sparkSession.read.schema(flat.schema).parquet(path)
+
+
 def settle_measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     """:func:`settle`, with aggregates of the written rows observed in the same job."""
     seen = Observation()

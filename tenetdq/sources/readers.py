@@ -6,6 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tenetdq.functions.lookup import attach, settle_sized
+from tenetdq.functions.running import running
+
 # Texts that count as missing in delimited files.
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -45,12 +48,13 @@ def read_parquet(spark: SparkSession, path: str, nrows: int | None = None,
     file metadata, so it is stable without writing the table again."""
     df = spark.read.parquet(path)
     if row_id is not None:
-        # file names as the scan reports them (no column is read for this)
-        names = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
-        files = spark.createDataFrame([(f, i) for i, f in enumerate(names)], "__file string, __ord long")
+        # file names as the scan reports them (no column is read for this), numbered without a list on the driver
+        names = df.select(F.col("_metadata.file_path").alias("__file")).distinct().select(
+            "__file", F.lit(0).alias("__all"), F.lit(1).cast("long").alias("__one"))
+        files, small, _ = settle_sized(running(names, ["__all"], ["__file"], {"__ord": ("sum", "__one")}).select("__file", "__ord"))
         located = df.select("*", F.col("_metadata.file_path").alias("__file"),
                             F.col("_metadata.row_index").alias("__pos"))
-        df = located.join(F.broadcast(files), "__file").select(
+        df = attach(located, files, ["__file"], how="inner", small=small).select(
             (F.col("__ord") * F.lit(ROWS_PER_FILE) + F.col("__pos")).alias(row_id), *df.columns)
     return _capped(df, nrows, sample)
 

@@ -1,9 +1,10 @@
 """Sinks. All writes are distributed; nothing passes through the driver."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenetdq.functions.values import round_even
+from tenetdq.plans.constraints import RULE_SCHEMA
 
 
 def write_scored(scored: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
@@ -27,3 +28,22 @@ def write_relations(tables: dict[str, DataFrame], folder: str, mode: str = "erro
 def write_rules(rules: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The rules of a model as JSON lines (a handful of rows, one file)."""
     rules.coalesce(1).write.mode(mode).json(path)
+
+
+def write_model(model, folder: str, mode: str = "errorifexists") -> dict[str, str]:
+    """A model as JSON tables: its rules, its keys with the normal form, and its 3NF and BCNF relations; returns their paths."""
+    parts = {"rules": model.constraints, "keys": model.keys, "relations": model.relations}
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in parts}
+    for name, part in parts.items():
+        part.coalesce(1).write.mode(mode).json(paths[name])          # a handful of rows
+    return paths
+
+
+MODEL_SCHEMAS = {
+    "rules": RULE_SCHEMA, "keys": "ord int, key array<string>, normal_form string",
+    "relations": "form string, name string, attributes array<string>, key array<string>"}
+
+
+def read_model(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of :func:`write_model`."""
+    return {name: spark.read.schema(schema).json(f"{folder.rstrip('/')}/{name}") for name, schema in MODEL_SCHEMAS.items()}

@@ -53,6 +53,15 @@ def jsonl_source(spark, sf_dir):
     return _values(readers.read_any(spark, path))
 
 
+@query("json_array_source", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def json_array_source(spark, sf_dir):
+    """An array of records over several lines, in one file."""
+    path = scratch_path(spark, "nations") + ".json"
+    rows = fx.table(spark, sf_dir, "nation").select(F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("r"))
+    rows.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("\n]")).alias("value")).write.text(path)
+    return _values(readers.read_any(spark, path))
+
+
 @query("parquet_source", "SELECT event_id, user_id, event_type FROM events")
 def parquet_source(spark, sf_dir):
     return readers.read_any(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")

@@ -176,32 +176,53 @@ def _check(spark, frame, contract, kind):
 
 @query("contract_check_key", "WITH " + fx.GEO + ", t AS (SELECT "
        + " + ".join(_majority_sql("geo", "nationkey", c) for c in ["nation_name", "region_name", "segment"])
-       + " AS v) SELECT 'key_nationkey' AS id, v AS violations, v = 0 AS ok FROM t")
+       + " AS v) SELECT 'key(nationkey)' AS id, v AS violations, v = 0 AS ok FROM t")
 def contract_check_key(spark, sf_dir):
     return _check(spark, fx.geo(spark, sf_dir), _geo_contract(spark), "key")
 
 
-@query("contract_check_fd", "WITH " + fx.GEO + ", t AS (SELECT 'fd_nationkey_nation_name' AS id, "
-       + _majority_sql("geo", "nationkey", "nation_name") + " AS violations UNION ALL SELECT 'fd_nationkey_region_name', "
+@query("contract_check_fd", "WITH " + fx.GEO + ", t AS (SELECT 'fd(nationkey -> nation_name)' AS id, "
+       + _majority_sql("geo", "nationkey", "nation_name") + " AS violations UNION ALL SELECT 'fd(nationkey -> region_name)', "
        + _majority_sql("geo", "nationkey", "region_name") + ") SELECT *, violations = 0 AS ok FROM t")
 def contract_check_fd(spark, sf_dir):
     return _check(spark, fx.geo(spark, sf_dir), _geo_contract(spark), "fd")
 
 
 @query("contract_check_linear", "WITH " + fx.SUMMED + """, t AS (
-SELECT 'lin_x_y0_z' AS id, count(*) FILTER (abs(z - x - y0) > 0.5 + 1e-9) AS violations FROM summed)
+SELECT 'linear(x, y0, z)' AS id, count(*) FILTER (abs(z - x - y0) > 0.5 + 1e-9) AS violations FROM summed)
 SELECT *, violations = 0 AS ok FROM t""")
 def contract_check_linear(spark, sf_dir):
     return _check(spark, fx.summed(spark, sf_dir), ct.freeze(spark, "summed", [SUM_RULE]), "linear")
 
 
 @query("contract_check_order", "WITH " + fx.ORDERED + ", " + ORDER_HITS.format(a="ordered", b="ordered") + """
-SELECT 'order_0' AS id, CAST(0 AS BIGINT) AS violations, count(*) AS monitored, true AS ok FROM hits""")
+SELECT 'order(ctx = ctx, x > x, y < y)' AS id, CAST(0 AS BIGINT) AS violations, count(*) AS monitored, true AS ok FROM hits""")
 def contract_check_order(spark, sf_dir):
     results = ct.check(fx.ordered(spark, sf_dir), ct.freeze(spark, "ordered", [ORDER_RULE]), order_counts=True)
     return ct.check_frame(spark, results).select("id", "violations", "monitored", "ok")
 
 
+def _broken_sql(source: str, lhs: str, rhs: str) -> str:
+    return f"(SELECT count(*) FROM (SELECT {lhs} FROM {source} GROUP BY {lhs} HAVING count(DISTINCT {rhs}) > 1))"
+
+
+@query("contract_unevaluable", "WITH " + fx.GEO + """, t AS (SELECT """ + _majority_sql("geo", "nationkey", "nation_name") + " AS v, "
+       + _broken_sql("geo", "nationkey", "nation_name") + """ AS g)
+SELECT u.* FROM t, LATERAL (VALUES ('fd(nationkey -> nation_name)', v, NULL, g, v = 0), ('linear()', -1, 'incomplete record', NULL, false),
+  ('order()', -1, 'incomplete record', NULL, false), ('key()', -1, 'incomplete record', NULL, false), ('fd(gone)', -1, 'missing column', NULL, false),
+  ('order(?)', -1, 'unknown operator', NULL, false), ('view', -1, 'unknown kind', NULL, false)) AS u(id, violations, reason, "groups", ok)""")
+def contract_unevaluable(spark, sf_dir):
+    """Records that cannot be evaluated stand beside one that can."""
+    good = ct.freeze(spark, "geo", [GEO_FDS[1]])
+    rows = [("linear()", "linear", None, None, None, None, {}, 0.0, 1.0, None), ("order()", "order", None, None, None, None, None, None, None, []),
+            ("key()", "key", [], None, None, None, None, None, None, None), ("fd(gone)", "fd", None, ["nationkey"], "gone", 1.0, None, None, None, None),
+            ("order(?)", "order", None, None, None, None, None, None, None, [("nationkey", "~", "nationkey")]),
+            ("view", "view", None, None, None, None, None, None, None, None)]
+    bad = spark.createDataFrame([(ct.VERSION, "geo", 10 + i, *r) for i, r in enumerate(rows)], ct.CONTRACT_SCHEMA)
+    found = ct.check(fx.geo(spark, sf_dir), good.unionByName(bad), order_counts=True)
+    return ct.check_frame(spark, found).select("id", "violations", "reason", "groups", "ok")
+
+
 @query("contract_summary", "WITH " + fx.GEO + ", v AS (SELECT "
        + _majority_sql("geo", "nationkey", "nation_name") + " AS a, " + _majority_sql("geo", "nationkey", "region_name") + " AS b, "
        + _majority_sql("geo", "nationkey", "segment") + """ AS c)
@@ -217,11 +238,11 @@ def contract_summary(spark, sf_dir):
 @query("contract_roundtrip", "WITH " + fx.GEO + ", " + """
 t AS (SELECT count(*) AS n FROM geo)
 SELECT id, kind, "columns", rhs, confidence FROM t, LATERAL (VALUES
-  ('key_nation_name', 'key', 'nation_name', NULL, NULL),
-  ('key_nationkey', 'key', 'nationkey', NULL, NULL),
-  ('fd_nation_name_nationkey', 'fd', NULL, 'nationkey', (SELECT round(CAST(sum(m) AS DOUBLE) / n, 4) FROM (SELECT max(k) AS m FROM (SELECT nation_name, nationkey, count(*) AS k FROM geo GROUP BY ALL) GROUP BY nation_name))),
-  ('fd_nationkey_nation_name', 'fd', NULL, 'nation_name', (SELECT round(CAST(sum(m) AS DOUBLE) / n, 4) FROM (SELECT max(k) AS m FROM (SELECT nation_name, nationkey, count(*) AS k FROM geo GROUP BY ALL) GROUP BY nationkey))),
-  ('fd_nationkey_region_name', 'fd', NULL, 'region_name', (SELECT round(CAST(sum(m) AS DOUBLE) / n, 4) FROM (SELECT max(k) AS m FROM (SELECT region_name, nationkey, count(*) AS k FROM geo GROUP BY ALL) GROUP BY nationkey)))
+  ('key(nation_name)', 'key', 'nation_name', NULL, NULL),
+  ('key(nationkey)', 'key', 'nationkey', NULL, NULL),
+  ('fd(nation_name -> nationkey)', 'fd', NULL, 'nationkey', (SELECT round(CAST(sum(m) AS DOUBLE) / n, 4) FROM (SELECT max(k) AS m FROM (SELECT nation_name, nationkey, count(*) AS k FROM geo GROUP BY ALL) GROUP BY nation_name))),
+  ('fd(nationkey -> nation_name)', 'fd', NULL, 'nation_name', (SELECT round(CAST(sum(m) AS DOUBLE) / n, 4) FROM (SELECT max(k) AS m FROM (SELECT nation_name, nationkey, count(*) AS k FROM geo GROUP BY ALL) GROUP BY nationkey))),
+  ('fd(nationkey -> region_name)', 'fd', NULL, 'region_name', (SELECT round(CAST(sum(m) AS DOUBLE) / n, 4) FROM (SELECT max(k) AS m FROM (SELECT region_name, nationkey, count(*) AS k FROM geo GROUP BY ALL) GROUP BY nationkey)))
 ) AS u(id, kind, "columns", rhs, confidence)""")
 def contract_roundtrip(spark, sf_dir):
     fds = learn_simple(fx.geo(spark, sf_dir))
@@ -385,6 +406,34 @@ def relation_sink(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query("model_sink", "WITH " + fx.CHAIN + """, f AS (
+  SELECT (SELECT CAST(sum(m) AS DOUBLE) / sum(s) FROM (SELECT max(n) AS m, sum(n) AS s FROM (SELECT nationkey, region_name, count(*) AS n FROM chain GROUP BY ALL) GROUP BY nationkey)) AS a,
+         (SELECT CAST(sum(m) AS DOUBLE) / sum(s) FROM (SELECT max(n) AS m, sum(n) AS s FROM (SELECT suppkey, nationkey, count(*) AS n FROM chain GROUP BY ALL) GROUP BY suppkey)) AS b)
+SELECT 'rule' AS part, 'nationkey -> region_name' AS said, round(a, 4) AS confidence, (SELECT count(DISTINCT nationkey) FROM chain) AS "groups" FROM f
+UNION ALL SELECT 'rule', 'suppkey -> nationkey', round(b, 4), (SELECT count(DISTINCT suppkey) FROM chain) FROM f
+UNION ALL SELECT 'key', 'suppkey (lower than 3NF)', NULL, (SELECT count(DISTINCT suppkey) FROM chain)
+UNION ALL SELECT form, 'nationkey, region_name by nationkey', NULL, (SELECT count(*) FROM (SELECT DISTINCT nationkey, region_name FROM chain)) FROM (VALUES ('3NF'), ('BCNF')) AS v(form)
+UNION ALL SELECT form, 'nationkey, suppkey by suppkey', NULL, (SELECT count(*) FROM (SELECT DISTINCT nationkey, suppkey FROM chain)) FROM (VALUES ('3NF'), ('BCNF')) AS v(form)""")
+def model_sink(spark, sf_dir):
+    """A model written whole and read back; each part with the number of rows it has in the data."""
+    from tenetdq.operators.report import Model
+    from tenetdq.sources.writers import read_model, write_model
+    frame = fx.chain(spark, sf_dir)
+    rules = learn_simple(frame)
+    path = scratch_path(spark, "model")
+    write_model(Model(frame, None, rules, dn.Schema(rules), frame.df), path)
+    stored = read_model(spark, path)
+
+    def size(columns):
+        return frame.df.select(*columns).distinct().count()
+
+    out = [("rule", r["rule"], r["confidence"], size(r["lhs"])) for r in stored["rules"].collect()]
+    out += [("key", f"{', '.join(r['key'])} ({r['normal_form']})", None, size(r["key"])) for r in stored["keys"].collect()]
+    out += [(r["form"], f"{', '.join(r['attributes'])} by {', '.join(r['key'])}", None, size(r["attributes"]))
+            for r in stored["relations"].collect()]
+    return spark.createDataFrame(out, "part string, said string, confidence double, `groups` long")
+
+
 @query("quality_metrics", CELLS + """, n AS (SELECT count(*) AS n,
    count(*) FILTER (v_key > 0.7) + count(*) FILTER (v_nation > 0.7) + count(*) FILTER (v_region > 0.7) AS flagged,
    count(DISTINCT nation_name || '|' || nationkey) * 2 AS c1, count(DISTINCT nationkey || '|' || region_name || '|' || nation_name) * 3 AS c3 FROM viol)

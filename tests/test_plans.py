@@ -3,7 +3,7 @@ import pytest
 from tenetdq.operators.decompose import Schema
 from tenetdq.plans import algebra as al
 from tenetdq.plans.constraints import FunctionalDependency as FD
-from tenetdq.plans.constraints import LinearConstraint, Predicate, Rule, active, denial_of, expert_fd, slug
+from tenetdq.plans.constraints import LinearConstraint, Predicate, Rule, active, denial_of, expert_fd
 
 
 def deps(*pairs):
@@ -15,7 +15,6 @@ def test_rule_text():
     assert str(FD(("a", "b"), "c")) == "(a, b) -> c"
     assert str(Predicate("x", ">", "y")) == "t1.x > t2.y"
     assert str(LinearConstraint((("z", 1), ("x", -1)), 0, 0.5)) == "1.00*z -1.00*x ~= +0.00  (+-0.5)"
-    assert slug("fd", "A b", "c!") == "fd_a_b_c"
 
 
 def test_fd_as_denial_constraint():
