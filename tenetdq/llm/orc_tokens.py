@@ -26,6 +26,7 @@ from tenetdq.llm.tokens import encoder
 
 STRIDE = 1_000                 # rows per row-index entry
 STRIPE_BYTES = 16 << 20
+PIECES = 500_000               # cache of a worker that does nothing else: 17 % of a corpus' words miss, 150 MB
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -35,7 +36,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, PIECES)
         for b in batches:
             ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
             counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4

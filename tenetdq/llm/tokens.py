@@ -119,6 +119,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int = CACHE_PIECES) -> Encoder:
     """One encoder per Python worker and vocabulary."""
-    return Encoder(path)
+    return Encoder(path, pieces)
