@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tenetdq.session import settle_measured
+from tenetdq.session import settle, settle_measured
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
@@ -64,3 +64,23 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], weight: str | Non
                    .withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
                    .drop("__parts"))
     return split_rows.join(split_table, [*keys, "__part"], how).drop("__part")
+
+
+def attach_cells(rows: DataFrame, table: DataFrame, columns: dict[str, str], found: str, value: str = "value",
+                 weight: str = "n") -> DataFrame:
+    """``rows`` plus, for each of ``columns`` (column -> name of the output), what ``table`` (column, ``value``, ``found``,
+    ``weight``) says of the row's value there; null where it says nothing.
+
+    For tables too large for a broadcast: the cells of all columns meet their statistics in one shuffle, hot values split, and
+    go back to their rows in another, whatever the number of columns. ``rows`` are settled first, so that their references hold.
+    """
+    kind = table.schema[value].dataType
+    named = settle(rows.withColumn("__ref", F.monotonically_increasing_id()))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(kind).alias(value)) for c in columns]))
+    each = named.select("__ref", cells.alias("c")).select("__ref", "c.*").where(F.col(value).isNotNull())
+    met = attach(each, table.select("column", value, found, weight), ["column", value], weight=weight, how="inner", small=False)
+    back = met.groupBy("__ref").agg(*[
+        F.max(F.when(F.col("column") == c, F.col(found))).alias(f"__o{i}") for i, c in enumerate(columns)])
+    joined = named.join(back, "__ref", "left")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in columns.values()]
+    return joined.select(*kept, *[F.col(f"__o{i}").alias(out) for i, out in enumerate(columns.values())])

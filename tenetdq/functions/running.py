@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tenetdq.functions.lookup import attach, settle_sized
+from tenetdq.functions.lookup import attach_cells, settle_sized
 from tenetdq.session import settle
 
 SMALL_HISTOGRAM = 1_000_000      # distinct values up to which one task ranks a histogram
@@ -263,22 +263,10 @@ def rank_columns(scores: DataFrame, columns: Sequence[str], constant_to_zero: bo
     else:
         ranks = settle(average_rank(hist, ["column"], "score", "n", constant_to_zero))
     if not small:
-        return _ranked_cells(scores, list(columns), cells, ranks)
+        return attach_cells(scores, ranks, {c: c for c in columns}, "rank01", "score").select(*[f"`{c}`" for c in scores.columns])
     out = scores
     for c in columns:
         table = ranks.where(F.col("column") == c).select(F.col("score").alias(c), F.col("rank01").alias("__rank"))
         out = (out.withColumn(c, F.col(f"`{c}`").cast("double")).join(F.broadcast(table), c, "left")
                .withColumn(c, F.col("__rank")).drop("__rank"))
     return out.select(*[f"`{c}`" for c in scores.columns])
-
-
-def _ranked_cells(scores: DataFrame, columns: list[str], cells: Column, ranks: DataFrame) -> DataFrame:
-    """:func:`rank_columns` by two shuffles of cells: to their ranks, and back to their rows."""
-    named = settle(scores.withColumn("__ref", F.monotonically_increasing_id()))
-    each = named.select("__ref", cells.alias("c")).select("__ref", "c.*")
-    found = attach(each.where("score is not null"), ranks, ["column", "score"], weight="n", small=False)
-    back = found.groupBy("__ref").agg(*[
-        F.max(F.when(F.col("column") == c, F.col("rank01"))).alias(f"__r{i}") for i, c in enumerate(columns)])
-    out = named.join(back, "__ref", "left")
-    place = {c: i for i, c in enumerate(columns)}
-    return out.select(*[F.col(f"__r{place[c]}").alias(c) if c in place else F.col(f"`{c}`") for c in scores.columns])

@@ -112,11 +112,13 @@ class MarginalSurprise:
         cells, seen = settle_measured(cells, **{
             k: v for i, c in enumerate(columns)
             for k, v in ((f"r{i}", F.count(F.when(own[c], 1))), (f"b{i}", F.sum(F.when(own[c], width))))})
-        sizes = {c: within_broadcast(seen[f"r{i}"], seen[f"b{i}"]) for i, c in enumerate(columns)}
+        large = [c for i, c in enumerate(columns) if not within_broadcast(seen[f"r{i}"], seen[f"b{i}"])]
         for c in columns:
-            table = cells.where(F.col("column") == c).select(
-                F.col("value").alias(c), F.col("surprise").alias(f"{prefix}{c}"), F.col("n").alias("__n"))
-            rows = attach(rows, table, [c], weight="__n", small=sizes[c]).drop("__n")
+            if c not in large:
+                table = cells.where(F.col("column") == c).select(F.col("value").alias(c), F.col("surprise").alias(f"{prefix}{c}"))
+                rows = rows.join(F.broadcast(table), [c], "left")
+        if large:                                # identifiers: two shuffles of cells, however many columns
+            rows = attach_cells(rows, cells, {c: f"{prefix}{c}" for c in large}, "surprise")
         return rows
 
     def score(self, frame: Frame) -> DataFrame:
