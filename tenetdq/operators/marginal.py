@@ -6,7 +6,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenetdq.functions.counting import value_counts
-from tenetdq.functions.lookup import attach, row_width, settle_sized, within_broadcast
+from tenetdq.functions.lookup import attach, attach_cells, row_width, settle_sized, within_broadcast
 from tenetdq.functions.running import SMALL_HISTOGRAM, average_rank, small_rank, weighted_median
 from tenetdq.functions.values import as_number, finite
 from tenetdq.operators.profile import NUMERIC

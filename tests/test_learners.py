@@ -233,3 +233,26 @@ def test_analyze_reports_model(spark):
     top = model.top_violations(3).collect()
     assert any(r["row_id"] == 11 and r["reason"] == "violates a constraint" for r in top)
     assert model.relations.count() >= 1 and model.keys.first()["normal_form"] in ("BCNF", "3NF", "lower than 3NF")
+
+
+def test_identifier_columns_are_looked_up_together(spark, monkeypatch):
+    """With nothing small enough for a broadcast, the cells of all columns share two shuffles and give the same scores."""
+    from tenetdq.functions import lookup
+    from tenetdq.operators.marginal import MarginalSurprise
+    rng = np.random.default_rng(5)
+    frame = frame_of(spark, {"a": [f"id{i}" for i in range(90)], "b": rng.integers(0, 60, 90), "c": rng.choice(["x", "yy", ""], 90)})
+    want = rows_of(MarginalSurprise().score(frame), "row_id", "a", "b", "c")
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    assert rows_of(MarginalSurprise().score(frame), "row_id", "a", "b", "c") == want
+
+
+def test_dominance_of_many_rows_forms_no_pairs(spark):
+    """Three comparisons without an equality over 3 000 rows, against a sweep by hand."""
+    from tenetdq.operators.monitors import dc_monitor
+    from tenetdq.plans.constraints import DenialConstraint, Predicate
+    rng = np.random.default_rng(6)
+    x, y, z = rng.integers(0, 900, 3000), rng.integers(0, 900, 3000), rng.integers(0, 900, 3000)
+    frame = frame_of(spark, {"x": x, "y": y, "z": z}, id_cardinality=10_000)
+    dc = DenialConstraint((Predicate("x", "<", "x"), Predicate("y", "<=", "y"), Predicate("z", "<", "z")))
+    want = [i for i in range(3000) if ((x > x[i]) & (y >= y[i]) & (z > z[i])).any()]
+    assert [r[0] for r in rows_of(dc_monitor(frame, dc), "row_id")] == want
