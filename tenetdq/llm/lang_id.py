@@ -38,12 +38,15 @@ WORD = 63                      # languages of one filter word
 PROBES = 3
 SLICE = 400_000                # characters looked at together
 LEAST_SHARE = 0.05             # of trigrams that a language must explain for a text to be accepted
-# what the word class holds besides letters and decimal digits: numbers of categories Nl and No
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c)[0] != "L" and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+# what that class holds besides letters: number signs of categories Nl and No
+NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x110000))
+                                    if c.isalnum() and unicodedata.category(c)[0] != "L" and not c.isdecimal()) + "]")
 
 
 def _framed(text: str | None) -> str:
+    if text and not text.isascii():
+        text = NUMERALS.sub(" ", text)
     words = LETTERS.findall(text.lower()) if text else []
     return f" {' '.join(words)} " if words else ""
 
