@@ -39,14 +39,18 @@ PROBES = 3
 SLICE = 400_000                # characters looked at together
 LEAST_SHARE = 0.05             # of trigrams that a language must explain for a text to be accepted
 LETTERS = re.compile(r"[^\W\d_]+")
-# what that class holds besides letters: number signs of categories Nl and No
-NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x110000))
-                                    if c.isalnum() and unicodedata.category(c)[0] != "L" and not c.isdecimal()) + "]")
+# What that class holds besides letters: number signs of categories Nl and No. Those beyond the basic plane have a set of
+# their own, since the others alone compile to a table.
+_SIGNS = [c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c)[0] != "L" and not c.isdecimal()]
+NUMERALS = re.compile("[" + "".join(c for c in _SIGNS if c <= "\uffff") + "]")
+ASTRAL, ASTRAL_NUMERALS = re.compile("[\U00010000-\U0010ffff]"), re.compile("[" + "".join(c for c in _SIGNS if c > "\uffff") + "]")
 
 
 def _framed(text: str | None) -> str:
     if text and not text.isascii():
         text = NUMERALS.sub(" ", text)
+        if ASTRAL.search(text):
+            text = ASTRAL_NUMERALS.sub(" ", text)
     words = LETTERS.findall(text.lower()) if text else []
     return f" {' '.join(words)} " if words else ""
 
