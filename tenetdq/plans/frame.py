@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tenetdq.functions.counting import Weighted, fold_pays
+from tenetdq.functions.counting import Weighted, fold_pays, value_counts
 from tenetdq.functions.values import as_number, as_text, num_name, number_of, value_view
 from tenetdq.session import settle, settle_table
 
@@ -63,11 +63,17 @@ class Frame:
         return self._folded
 
     def known_values(self, columns: Sequence[str], limit: int = 32 * 1024 * 1024) -> dict[str, list[str]] | None:
-        """The distinct values of modeling columns, if the profile kept their histogram and
-        their total size stays within ``limit`` bytes."""
+        """The distinct values of ``columns``, if the profile kept a histogram and their total size stays within ``limit``
+        bytes. Columns beyond the identifier bound, which that histogram leaves out, are counted here."""
         if self._counts is None:
             return None
+        kept = {r["column"] for r in self._counts.select("column").distinct().collect()}
         mine = self._counts.where(F.col("column").isin(list(columns)))
+        left = [c for c in columns if c not in kept]
+        if left:
+            if sum(self.profile.by_column[c].distinct for c in left) * 8 > 1.2 * limit:    # sketches err by 5 %
+                return None
+            mine = settle(mine.unionByName(value_counts(self.df, left)))
         if (mine.agg(F.sum(F.octet_length("value") + 8)).first()[0] or 0) > limit:
             return None
         out: dict[str, list[str]] = {c: [] for c in columns}

@@ -51,6 +51,20 @@ def test_wide_tables_are_counted_on_grids(spark, monkeypatch):
         assert mine(frame) == want
 
 
+def test_pairs_of_an_identifier_are_counted_as_well(spark):
+    """A column that the profile left out as an identifier: its pairs are counted on grids too, or exploded where it is too large."""
+    from tenetdq.functions.counting import pair_stats
+    from tenetdq.operators.fd import pair_table
+    rng = np.random.default_rng(3)
+    frame = frame_of(spark, {**{f"c{i}": rng.integers(0, 20 + i, 3000) for i in range(6)}, "key": rng.integers(0, 1000, 3000)})
+    keys = ["l", "r", "covered", "combos", "rows"]
+    want = rows_of(pair_stats(frame.weighted(frame.columns), frame.columns), *keys)
+    assert "key" not in frame.profile.modeling() and frame._folded is None and len(want) == 42
+    assert len(frame.known_values(frame.columns)["key"]) == len({r["key"] for r in frame.df.collect()})
+    assert rows_of(pair_table(frame, frame.columns), *keys) == want
+    assert frame.known_values(frame.columns, limit=4000) is None
+
+
 def test_three_attribute_rule(spark):
     rng = np.random.default_rng(1)
     a, b, c = (rng.integers(0, 3, 2000) for _ in range(3))
