@@ -6,6 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tenetdq.functions.dominance import KEY, front_of, judged, keyed, needed, open_reach, reach, within_reach
 from tenetdq.functions.lookup import attach, fits_broadcast, settle_sized
 from tenetdq.functions.running import running
 from tenetdq.functions.values import as_number, number_in
@@ -13,7 +14,7 @@ from tenetdq.operators.fd import count_cells
 from tenetdq.operators.scoring import residual
 from tenetdq.plans.constraints import DenialConstraint, FunctionalDependency, LinearConstraint, Predicate
 from tenetdq.plans.frame import ROW_ID, Frame
-from tenetdq.session import settle_measured
+from tenetdq.session import settle, settle_measured
 
 NUMERIC_OPS = ("<", "<=", ">", ">=")
 
@@ -157,17 +158,19 @@ def culprits_among(probe: DataFrame, right: DataFrame, dc: DenialConstraint) ->
         raise ValueError("a denial constraint needs at least one predicate")
     keys, cs = _keys(eq), [f"c{i}" for i in range(len(rest))]
     left = probe.select(*[_side(probe, p, p.left).alias(k) for k, p in zip(keys, eq)],
-                        *[_side(probe, p, p.left).alias(c) for c, p in zip(cs, rest)]).distinct()
-    left = left.dropna()
+                        *[_side(probe, p, p.left).alias(c) for c, p in zip(cs, rest)]).dropna()
+    ordered = any(p.op in NUMERIC_OPS for p in rest)
+    if len(rest) < 3 or not ordered:
+        left = left.distinct()
     if not rest:
         return left.join(right.distinct(), keys, "left_semi")
     if not keys:
         left, right, keys = left.withColumn("k", F.lit(0)), right.withColumn("k", F.lit(0)), ["k"]
     if len(rest) == 1:
         found = _one_comparison(left, right, keys, rest[0])
-    elif len(rest) == 2 and any(p.op in NUMERIC_OPS for p in rest):
+    elif len(rest) == 2 and ordered:
         found = _two_comparisons(left, right, keys, rest)
-    elif all(p.op == "!=" for p in rest):
+    elif not ordered:
         found = _only_differences(left, right, keys, cs)
     else:
         found = _many_comparisons(left, right, keys, rest)
@@ -239,6 +242,26 @@ def _halved(rows: DataFrame, place: str, levels: int, half: int, op: str, out: s
 
 
 def _many_comparisons(left, right, keys, rest) -> DataFrame:
+    """Three or more comparisons: a front of strong members decides most probes and makes most members superfluous (see
+    ``functions.dominance``); what is left goes by nodes. Rows in which strong values of one column mean weak ones of another
+    leave much to the nodes, in random ones next to nothing is left."""
+    left, right = keyed(left, keys), keyed(right, keys)
+    bounds, tops = reach(right, rest), reach(left, rest, probes=True)
+    if None in bounds + tops:                                # no member or no probe
+        return left.drop(KEY).where(F.lit(False))
+    front = front_of(within_reach(right, rest, tops), rest)
+    if not front.num_rows:                                   # no member within reach of a probe
+        return left.drop(KEY).where(F.lit(False))
+    placed, seen = settle_measured(judged(left, rest, front, bounds), **open_reach(rest))
+    tops = [seen[name] for name in open_reach(rest)]
+    hits = placed.where("hit").drop("hit", KEY).distinct()
+    if None in tops:                                         # no probe is open
+        return hits
+    others = placed.where("not hit").drop("hit", KEY).distinct()
+    return hits.unionByName(_by_nodes(others, settle(needed(right, rest, front, tops)), keys, rest))
+
+
+def _by_nodes(left, right, keys, rest) -> DataFrame:
     """Three or more comparisons, by divide and conquer: each comparison beyond two becomes an equality.
 
     The values of its column are put in order as the leaves of a binary tree. A member that is smaller than a probe

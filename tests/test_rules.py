@@ -50,6 +50,23 @@ def test_denial_constraints_match_brute_force(spark, preds):
     assert got == brute(frame.df.collect(), dc)
 
 
+@pytest.mark.parametrize("front, preds", [
+    (256, [P("x", ">", "x"), P("y", "<", "y"), P("z", ">=", "z"), P("g", "!=", "g")]),
+    (3, [P("g", "=", "g"), P("x", ">", "x"), P("y", "<=", "y"), P("z", "<", "z")]),
+])
+def test_a_front_of_strong_members_leaves_little_to_the_nodes(spark, monkeypatch, front, preds):
+    """Random rows: few probes and members are left for n log n rows a comparison, and the result stays that of all pairs."""
+    rnd, n, left = random.Random(5), 1500, []
+    frame = frame_of(spark, {"g": [rnd.choice("ab") for _ in range(n)], **{c: [rnd.randint(0, 999) for _ in range(n)] for c in "xyz"}})
+    nodes = mo._by_nodes
+    monkeypatch.setattr("tenetdq.functions.dominance.FRONT", front)
+    monkeypatch.setattr(mo, "_by_nodes", lambda a, b, *rest: left.extend([a.count(), b.count()]) or nodes(a, b, *rest))
+    dc = DenialConstraint(tuple(preds))
+    got = sorted(r["row_id"] for r in mo.dc_monitor(frame, dc).select("row_id").collect())
+    assert got == brute(frame.df.collect(), dc) and 0 < len(got) < n
+    assert sum(left) < n if front > 100 else 0 < sum(left) < 2 * n
+
+
 def test_running_spans_partitions(spark):
     rows = [(g, i, i % 7) for g in ("a", "b") for i in range(500)]
     df = spark.createDataFrame(rows, "g string, i int, v int").repartition(4)
