@@ -23,6 +23,7 @@ side of an edit count only where they fill a window, so an edit near an item's e
 """
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenetdq.functions.lookup import attach
-from tenetdq.llm.common import bounded_batches, settled, wrapped
+from tenetdq.llm.common import bounded_batches, own_cache, settled, wrapped
 
 WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
 RUN = 20
 FILTER_BITS = 1 << 22
+BASE = 0x9E3779B97F4A7C15      # of the windows' polynomials; odd
 WORD_CACHE = 200_000
 CLOSING, ENDS = "\"')]”’»", frozenset(".!?:…|")
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
+END = 8                        # added to a kind
 PLAIN, STARTS, RAW = range(3)  # readings: sentence starts are literal, or names; all words are literal
 MARKS = [0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333, 0]
 # Unit words that may follow a number.
@@ -55,47 +58,60 @@ OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”‘’«»¿¡–—"
 
 
 class _Words(dict):
-    """Raw word -> place in growing arrays of literal hash, kind and whether a sentence ends there."""
+    """Raw word -> place in growing arrays of literal hash, and of kind (plus ``END`` where a sentence ends there)."""
 
     def __init__(self):
         super().__init__()
-        self.hash, self.kind, self.ends = (np.zeros(4096, t) for t in (np.uint64, np.int8, bool))
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.hash, self.code = array("Q"), array("b")
 
     def __missing__(self, raw: str) -> int:
-        core = raw.strip(OUTER)
-        kind = NOTHING
-        if core:
-            if core.isalpha():
-                kind = (NAME if core[0].isupper() and core[1:].islower() else
-                        UNIT if core.lower() in UNITS else LITERAL)
-            else:
-                kind = NUMBER if any(map(str.isdigit, core)) else LITERAL
-        place = len(self)
-        if place == len(self.hash):
-            self.hash, self.kind, self.ends = (np.append(x, np.zeros_like(x)) for x in (self.hash, self.kind, self.ends))
-        self[raw] = place
-        self.hash[place] = xxhash.xxh3_64_intdigest(core.lower()) | 1
-        self.kind[place] = kind
-        self.ends[place] = not core or raw.rstrip(CLOSING)[-1:] in ENDS
+        core, code = raw, LITERAL
+        if not raw.isalpha():
+            core = raw.strip(OUTER)
+            if not core:
+                code = NOTHING + END
+            elif raw.rstrip(CLOSING)[-1:] in ENDS:
+                code = END
+        low = core.lower()
+        if core.isalpha():
+            if core[0].isupper() and core[1:].islower():
+                code += NAME
+            elif low in UNITS:
+                code += UNIT
+        elif any(map(str.isdigit, core)):
+            code += NUMBER
+        place = self[raw] = len(self)
+        self.hash.append(xxhash.xxh3_64_intdigest(low) | 1)
+        self.code.append(code)
         return place
 
 
-_words = _Words()
-
-
 def words_of(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Words of a text, the literal hash and kind of each, and whether it begins a sentence."""
-    global _words
-    if len(_words) > WORD_CACHE:
-        _words = _Words()
+    known = own_cache("decontaminate", _Words)
+    if len(known) > WORD_CACHE:
+        known.restart()
     raw = (text or "").split()
     if not raw:
         return [], np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, bool)
-    at = np.fromiter(map(_words.__getitem__, raw), np.int64, len(raw))
-    hashes, kinds, ends = _words.hash[at], _words.kind[at], _words.ends[at]
+    at = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
+    hashes, codes = np.frombuffer(known.hash, np.uint64)[at], np.frombuffer(known.code, np.int8)[at]
+    kinds, starts = codes & (END - 1), _after(codes >= END, True)   # what stood before ends a sentence
+    if not (kinds == NOTHING).any():
+        return raw, hashes, kinds, starts
     used = np.flatnonzero(kinds != NOTHING)
-    starts = np.append(True, ends[:-1])[used]                  # what stood before ends a sentence
-    return [raw[i] for i in used.tolist()], hashes[used], kinds[used], starts
+    return [raw[i] for i in used.tolist()], hashes[used], kinds[used], starts[used]
+
+
+def _after(flags: np.ndarray, first: bool) -> np.ndarray:
+    """Of each place what holds for the one before it."""
+    out = np.empty(len(flags), bool)
+    out[:1], out[1:] = first, flags[:-1]
+    return out
 
 
 def template(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray, reading: int) -> tuple[np.ndarray, ...]:
@@ -105,10 +121,10 @@ def template(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray, reading:
     kinds = kinds.copy()
     if reading == PLAIN:
         kinds[(kinds == NAME) & starts] = LITERAL
-    after_number = np.append(False, kinds[:-1] == NUMBER)
+    after_number = _after(kinds == NUMBER, False)
     kinds[(kinds == UNIT) & ~after_number] = LITERAL
     name = kinds == NAME
-    at = np.flatnonzero(~(name & np.append(False, name[:-1]) & ~starts))        # a run of names is one token
+    at = np.flatnonzero(~(name & _after(name, False) & ~starts))        # a run of names is one token
     kinds = kinds[at]
     return np.where(kinds == LITERAL, hashes[at], np.array(MARKS, np.uint64)[kinds]), kinds, np.append(at, len(name))
 
@@ -118,17 +134,23 @@ def window_hashes(tokens: np.ndarray, kinds: np.ndarray, reading: int, size: int
     n = len(tokens) - size + 1
     if n < 1 or not size or (size < LITERALS and n > 1):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.full(n, np.uint64(size + 256 * reading))
-    literal = np.append(0, np.cumsum(kinds == LITERAL))
-    for k in range(size):
-        h = (h ^ tokens[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
+    h, done, power, width = np.full(n, np.uint64(size + 256 * reading)), 0, tokens, 1
+    while width <= size:                                     # power: polynomial of the next width tokens, by doubling
+        factor = np.uint64(pow(BASE, width, 1 << 64))
+        if size & width:
+            h, done = h * factor + power[done:done + n], done + width
+        if 2 * width <= size:
+            power = power[:-width] * factor + power[width:]
+        width *= 2
+    h ^= h >> np.uint64(31)
+    literal = np.zeros(len(kinds) + 1, np.int32)
+    np.cumsum(kinds == LITERAL, out=literal[1:])
     starts = np.flatnonzero(literal[size:] - literal[:n] >= (0 if reading == RAW else LITERALS))
     return starts, h[starts].astype(np.int64)
 
 
 def _bit(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.astype(np.uint64) >> np.uint64(11)).astype(np.int64) & (FILTER_BITS - 1)
+    return (hashes >> 11) & (FILTER_BITS - 1)
 
 
 def _slots(words: list[str], kinds: np.ndarray, at: np.ndarray, start: int, end: int) -> list[str]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenetdq.llm.common import WHITE, bounded_batches, settled, windows, wrapped
+from tenetdq.llm.common import WHITE, bounded_batches, own_cache, settled, windows, wrapped
 
 WINDOW_BYTES = 24 << 20
 WINDOW_ROWS = 100_000
@@ -107,6 +107,7 @@ def _fold(records: pa.Table, bodies: list[bytes]) -> tuple[list[int], list[int],
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own_cache("exact_dedup")                                 # nothing is kept; what others kept goes
     base, done = TaskContext.get().partitionId() << 40, 0
     for win in windows(batches, WINDOW_BYTES, WINDOW_ROWS):
         n = win.num_rows

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenetdq.llm.common import bounded_batches, settled, windows, wrapped
+from tenetdq.llm.common import bounded_batches, own_cache, settled, windows, wrapped
 
 MIN_SHARE = 1e-6
 TOLERANCE = 0.25
@@ -93,6 +93,7 @@ def _places(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own_cache("lang_id")                                     # nothing is kept; what others kept goes
     for win in windows(batches, 16 << 20, 50_000):
         langs = np.array(win["lang"].to_pylist(), object)
         held: dict[str, list] = {}
@@ -152,6 +153,7 @@ def _judged(model: dict):
     names, shape, packed = model["names"], model["filter"].shape, model["filter"].tobytes()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("lang_id")
         words = np.frombuffer(packed, np.int64).reshape(shape)
         places = [divmod(i, WORD) for i in range(len(names))]
         wrong = np.array([float((words[w] >> b & 1).mean()) ** PROBES for w, b in places])

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenetdq.functions.lookup import attach
-from tenetdq.llm.common import bounded_batches, placed, settled
+from tenetdq.llm.common import bounded_batches, own_cache, placed, settled
 from tenetdq.llm.components import components
 
 BANDS, BAND_ROWS = 25, 5
@@ -59,7 +59,6 @@ class _WordHashes(dict):
         return h
 
 
-_words = _WordHashes()
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -84,7 +83,7 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(own_cache("near_dedup", _WordHashes).__getitem__, words), np.uint64, len(words))
     n = len(h) - size + 1
     x = h[:n] * _STEPS[0]
     for k in range(1, size):

@@ -10,11 +10,12 @@ encoded whole.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 import regex
 
+from tenetdq.llm.common import own_cache
+
 CACHE_PIECES = 300_000         # pieces kept per worker and generation: 21 % of a corpus' words miss, 78 MB
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # The published pre-tokenizer pattern of byte-level BPE vocabularies (a fixed value).
@@ -118,7 +119,6 @@ class Encoder:
         return b"".join(map(self.end, PRE_TOKENS.findall(first))) + rest
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str, pieces: int = CACHE_PIECES) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    return Encoder(path, pieces)
+    """The encoder that a Python worker keeps."""
+    return own_cache(("tokens", path, pieces), lambda: Encoder(path, pieces))

@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tenetdq.llm import orc_tokens, packing
-from tenetdq.llm.tokens import Encoder
+from tenetdq.llm.tokens import Encoder, encoder
 from tenetdq.session import scratch_path
 from tests.llm.helpers import ODD, empty, texts, words
 
@@ -100,6 +100,20 @@ def test_best_fit_takes_the_tightest_room():
     assert sorted(fill) == [100, 100] and where[0] == where[2]
 
 
+def test_a_worker_holds_the_cache_of_one_operator():
+    """Workers are reused by all stages: whoever comes next gives up what the operator before kept."""
+    from tenetdq.llm import common, decontaminate, near_dedup
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first = encoder(path)
+    assert encoder(path) is first
+    near_dedup.shingle_set([b"a"] * 9, 5)
+    assert list(common._caches) == ["near_dedup"]
+    words, hashes, kinds, starts = decontaminate.words_of("One two. Three 4 kg")
+    assert list(common._caches) == ["decontaminate"] and len(words) == 5
+    assert starts.tolist() == [True, False, True, False, False]
+    assert encoder(path) is not first
+
+
 def test_empty(spark):
     path = scratch_path(spark, "test-orc")
     orc_tokens.write_ids(empty(spark), path, PATH, end_id=2)
