@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tenetdq.session import settle, settle_measured
 
-SMALL_CELLS = 1_000_000
-CHUNK = 1_000_000
+SMALL_CELLS = 250_000
+CHUNK = 250_000                # rows a task counts at a time: about 30 arrays of so many numbers
 PARTS = "k string, part long, y double, n double, d double"
 
 
@@ -50,9 +50,11 @@ def inversions(key: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
 def chunks(batches: Iterator[pa.RecordBatch], size: int, whole: Sequence[str] = ()) -> Iterator[pa.Table]:
     """Consecutive rows, about ``size`` at a time, never cut between rows that are equal in ``whole``."""
     held: list[pa.RecordBatch] = []
+    rows = 0
     for b in batches:
         held.append(b)
-        if sum(x.num_rows for x in held) >= size:
+        rows += b.num_rows
+        if rows >= size:
             t = pa.Table.from_batches(held).combine_chunks()
             cut = t.num_rows
             if whole:
@@ -61,7 +63,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int, whole: Sequence[str] =
                     cut -= 1
             if cut:
                 yield t.slice(0, cut).combine_chunks()
-                held = t.slice(cut).to_batches()
+                held, rows = t.slice(cut).to_batches(), t.num_rows - cut
     if any(x.num_rows for x in held):
         yield pa.Table.from_batches(held).combine_chunks()
 

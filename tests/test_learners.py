@@ -122,6 +122,14 @@ def test_kendall_matches_pair_counting(spark, monkeypatch, cells, chunk):
     assert inv.kendall(hist.where("false"), ["p", "g"]).count() == 0
 
 
+def test_a_task_counts_few_cells_at_a_time():
+    """Whatever the rows of a range, what a task holds at once is bounded, and nothing is left out."""
+    import pyarrow as pa
+    part = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000))], ["y"])
+    sizes = [t.num_rows for t in inv.chunks(iter([part] * 90), inv.CHUNK)]
+    assert sum(sizes) == 900_000 and max(sizes) <= 260_000 and inv.SMALL_CELLS <= 260_000
+
+
 def test_inversions_of_weighted_rows():
     rng = np.random.default_rng(8)
     key = np.sort(rng.integers(0, 4, 200))
